@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from decimal import Decimal
 from string import Formatter
 
 from pyspark.sql import Column
@@ -28,28 +29,33 @@ def fixed_decimals(c: Column, digits: int, grouped: bool = False) -> Column:
     """``c`` with exactly ``digits`` decimals, rounded half-even on its exact binary value."""
     c = c.cast("double")
     size = F.abs(c)
-    usual = size < F.lit(1e15)
-    safe = F.when(usual, size).otherwise(F.lit(0.0))
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
     if digits == 0:
-        whole, tail = F.rint(safe).cast("bigint"), F.lit("")
+        whole = F.rint(size).cast("bigint")
+        text = F.format_number(whole, 0) if grouped else whole.cast("string")
+        exact = size < F.lit(2.0**62)
     else:
-        full = F.lit(10**digits).cast("bigint")
-        base = F.floor(safe)
-        part = rint_scaled(safe - base.cast("double"), digits).cast("bigint")
-        whole = base + F.when(part == full, F.lit(1)).otherwise(F.lit(0))
-        part = F.when(part == full, F.lit(0)).otherwise(part)
-        tail = F.concat(F.lit("."), F.lpad(part.cast("string"), digits, "0"))
-    front = F.format_number(whole, 0) if grouped else whole.cast("string")
-    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
-    huge = F.format_string(f"%{',' if grouped else ''}.{digits}f", F.when(usual, F.lit(0.0)).otherwise(c))
-    text = F.when(usual, F.concat(sign, front, tail)).otherwise(huge)
-    return F.when(c.isNotNull(), _unusual(c, text))
+        steps = rint_scaled(size, digits).cast("bigint")
+        if grouped:
+            front = F.format_number(F.floor(steps / F.lit(10**digits)), 0)
+            text = F.concat(front, F.lit("."), F.lpad((steps % F.lit(10**digits)).cast("string"), digits, "0"))
+        else:
+            text = (steps.cast("decimal(17,0)") * F.lit(Decimal(1).scaleb(-digits))).cast("string")
+        exact = size < F.lit(2.0**53 / 10.0**digits)
+    # beyond that, what follows the point has few binary digits and scales without an error
+    base = F.floor(size)
+    rest = F.rint((size - base.cast("double")) * F.lit(10.0**digits)).cast("bigint")
+    front = F.format_number(base, 0) if grouped else base.cast("string")
+    large = F.concat(front, F.lit("."), F.lpad(rest.cast("string"), digits, "0")) if digits else front
+    huge = F.format_string(f"%{',' if grouped else ''}.{digits}f", size)
+    text = F.when(exact, text).when(size < F.lit(2.0**62), large).otherwise(huge)
+    return F.when(c.isNotNull(), _unusual(c, F.concat(sign, text)))
 
 
 def number_text(c: Column) -> Column:
     """Print format of a floating number: six decimals at most, no trailing zeros."""
-    text = fixed_decimals(c, 6)
-    return F.when(text.contains("."), F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
+    text = F.rtrim(F.rtrim(fixed_decimals(c, 6), F.lit("0")), F.lit("."))
+    return F.when(F.isnan(c), F.lit("nan")).otherwise(text)
 
 
 def shortest_text(c: Column) -> Column:
@@ -134,12 +140,14 @@ def spec_text(c: Column, dtype: T.DataType, spec: str) -> Column:
         text = F.format_number(c, 0)
     elif comma:
         short = plain_text(c, dtype)
-        text = F.concat(
+        usual = F.abs(c.cast("double")) < F.lit(1e16)
+        parted = F.concat(
             F.when(c < 0, F.lit("-")).otherwise(F.lit("")),
-            F.format_number(F.floor(F.abs(c.cast("double"))), 0),
+            F.format_number(F.floor(F.when(usual, F.abs(c.cast("double")))), 0),
             F.lit("."),
             F.substring_index(short, ".", -1),
         )
+        text = F.when(usual & ~short.contains("e"), parted).otherwise(short)
     else:
         text = plain_text(c, dtype)
         if parts["digits"]:

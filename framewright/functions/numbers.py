@@ -47,9 +47,14 @@ def round_exact(c: Column, digits: int) -> Column:
     c = c.cast("double")
     if digits < 0:
         return round_even(c, digits)
-    exact = rint_scaled(c, digits) / F.lit(10.0**digits)
-    # from here on a double has no digits left to round
-    return F.when(F.abs(c) >= F.lit(2.0**52 / 10.0**digits), c).otherwise(exact)
+    scale = F.lit(10.0**digits)
+    # a large number has few binary digits after the point; they scale without an error
+    whole = F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)).cast("double")
+    return (
+        F.when(F.abs(c) < F.lit(2.0**52 / 10.0**digits), rint_scaled(c, digits) / scale)
+        .when(F.abs(c) < F.lit(2.0**53), whole + F.rint((c - whole) * scale) / scale)
+        .otherwise(c)
+    )
 
 
 def floor_mod(a: Column, n) -> Column:
