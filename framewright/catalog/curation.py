@@ -183,10 +183,10 @@ def cur_held_out(t):
     return curation.held_out_audit(split_documents(t), "lang", "es", "split")
 
 
-@query("""select 'o_orderstatus' as "column", (select count(distinct o_orderstatus) from orders where o_orderstatus not in ('F', 'O', 'X')) as undeclared,
-  3 - (select count(distinct o_orderstatus) from orders where o_orderstatus in ('F', 'O', 'X')) as not_found
-union all select 'o_orderpriority', (select count(distinct o_orderpriority) from orders where o_orderpriority not in ('5-LOW', '1-URGENT')),
-  2 - (select count(distinct o_orderpriority) from orders where o_orderpriority in ('5-LOW', '1-URGENT'))""")
+@query("""select 'o_orderstatus' as "column", count(*) filter (where o_orderstatus not in ('F', 'O', 'X')) as undeclared,
+  3 - count(distinct o_orderstatus) filter (where o_orderstatus in ('F', 'O', 'X')) as not_found from orders
+union all select 'o_orderpriority', count(*) filter (where o_orderpriority not in ('5-LOW', '1-URGENT')),
+  2 - count(distinct o_orderpriority) filter (where o_orderpriority in ('5-LOW', '1-URGENT')) from orders""")
 def cur_domain_check(t):
     return curation.domain_check(t.orders, {"o_orderstatus": ["F", "O", "X"], "o_orderpriority": ["5-LOW", "1-URGENT"]})
 

@@ -133,3 +133,17 @@ def freq_table(t):
 @query("select event_id, value from events order by value desc, event_id limit 7")
 def sort_head(t):
     return order.cut(t.events.select("event_id", "value"), order.descending("value", "event_id"), 7)
+
+
+@query("""select doc_id, array_to_string(list_transform(list_sort(list_transform(w, lambda x, i: {'k': -length(x), 'i': i, 'w': x}))[1:3],
+  lambda r: r.w), '|') as longest, array_to_string(w[1:2], '|') as head, array_to_string(w[-2:], '|') as tail
+from (select doc_id, string_split(text, ' ') as w from documents)""")
+def array_sort_by(t):
+    w = F.col("w")
+    longest = nested.first_items(nested.sort_items(w, F.length, desc=True), 3)
+    return t.documents.select("doc_id", F.split("text", " ").alias("w")).select(
+        "doc_id",
+        F.array_join(longest, "|").alias("longest"),
+        F.array_join(nested.first_items(w, 2), "|").alias("head"),
+        F.array_join(nested.last_items(w, 2), "|").alias("tail"),
+    )

@@ -128,3 +128,14 @@ def mask_value(t):
 def array_drop(t):
     words = t.documents.select("doc_id", F.split("text", " ").alias("w"))
     return words.select("doc_id", F.size(nested.drop_item(F.col("w"), "the")).cast("bigint").alias("kept"))
+
+
+@query("""select p_partkey, array_to_string(list_filter(string_split(p_name, ' '), lambda w: length(w) >= 5), '|') as long_words,
+  array_to_string(list_filter(string_split(p_name, ' '), lambda w: contains(w, 'e')), '|') as e_words from part""")
+def where_items(t):
+    record = F.transform(F.split("p_name", " "), lambda w: F.struct(w.alias("word"), F.length(w).alias("size")))
+    frame = t.part.select("p_partkey", record.alias("long"), F.split("p_name", " ").alias("e"))
+    kept = select.where_items(select.where_items(frame, "long", "size", "ge", 5), "e", "it", "has", "e")
+    return kept.select(
+        "p_partkey", F.array_join("long.word", "|").alias("long_words"), F.array_join("e", "|").alias("e_words")
+    )

@@ -116,6 +116,24 @@ def json_parse(t):
     return shape.each(parsed, "props.k", keep=["event_id"], alias="k")
 
 
+@query("select event_id, json_extract(props, '$.k')::bigint as k from events")
+def json_parse_any(t):
+    parsed = readers.parse_json_any(t.events, "props")
+    return parsed.select("event_id", F.variant_get("props", "$.k", "bigint").alias("k"))
+
+
+@query("select c_nationkey::bigint as nation, count(*) as n, sum(c_custkey)::bigint as total from customer group by c_nationkey")
+def src_json_values(t):
+    folder = scratch_path(t.spark)
+    # a file holds the customer numbers of one nation, 100,000 at most
+    part = F.floor(F.col("c_custkey") / 100_000).alias("part")
+    lists = t.customer.groupBy(F.col("c_nationkey").alias("nation"), part).agg(F.to_json(F.collect_list("c_custkey")).alias("value"))
+    lists.write.partitionBy("nation", "part").text(folder)
+    values = readers.json_values(t.spark, f"{folder}/nation=*/part=*")
+    nation = F.regexp_extract("path", r"nation=(\d+)/", 1).cast("bigint").alias("nation")
+    return values.groupBy(nation).agg(F.count("value").alias("n"), F.sum("value").alias("total"))
+
+
 KEY_VALUES = """
 select o_custkey || '{sep}' || regexp_replace(printf('%.6f', round_even(sum(o_totalprice), 2)), '\\.?0+$', '') as line
 from orders group by o_custkey"""

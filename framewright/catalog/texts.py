@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from framewright.catalog.registry import query
 from framewright.functions import text
-from framewright.functions.formatting import value_text
+from framewright.functions.formatting import items_template, value_text
 from framewright.operators import elementwise
 from framewright.plans.reports import classes
 from framewright.sources import sinks
@@ -73,3 +73,9 @@ def def_reuse(t):
     return t.orders.select(
         "o_orderkey", size(F.col("o_totalprice") / 1000).alias("by_price"), size(F.col("o_custkey") % 400).alias("by_customer")
     )
+
+
+@query("select p_partkey, string_split(p_name, ' ')[2] || ', ' || printf('%-7s', string_split(p_name, ' ')[1]) || '.' as line from part")
+def fmt_items(t):
+    words = t.part.select("p_partkey", F.split("p_name", " ").alias("w"))
+    return words.select("p_partkey", items_template("{1}, {0:<7}.", F.col("w"), words.schema["w"].dataType).alias("line"))

@@ -163,12 +163,8 @@ def spec_text(c: Column, dtype: T.DataType, spec: str) -> Column:
     return padded(text, width, parts["align"] or (">" if number else "<"), parts["fill"] or " ")
 
 
-def template(text: str, schema: T.StructType, fields: list[str] | None = None) -> Column:
-    """A row filled into ``text``: ``{0}`` is the first of ``fields``, ``{name}`` a column.
-
-    Column types come from ``schema``; every piece becomes one part of a single ``concat``.
-    """
-    fields = fields or schema.names
+def _filled(text: str, piece) -> Column:
+    """One ``concat`` of the literal parts of ``text`` and ``piece(name, spec)`` for its fields."""
     pieces: list[Column] = []
     automatic = 0
     for literal, name, spec, _ in Formatter().parse(text):
@@ -178,6 +174,21 @@ def template(text: str, schema: T.StructType, fields: list[str] | None = None) -
             continue
         if name == "":
             name, automatic = str(automatic), automatic + 1
-        column = fields[int(name)] if name.isdigit() else name
-        pieces.append(spec_text(F.col(f"`{column}`"), schema[column].dataType, spec or ""))
+        pieces.append(piece(name, spec or ""))
     return F.concat(*pieces) if pieces else F.lit("")
+
+
+def template(text: str, schema: T.StructType, fields: list[str] | None = None) -> Column:
+    """A row filled into ``text``: ``{0}`` is the first of ``fields``, ``{name}`` a column."""
+    fields = fields or schema.names
+
+    def piece(name: str, spec: str) -> Column:
+        column = fields[int(name)] if name.isdigit() else name
+        return spec_text(F.col(f"`{column}`"), schema[column].dataType, spec)
+
+    return _filled(text, piece)
+
+
+def items_template(text: str, items: Column, dtype: T.ArrayType) -> Column:
+    """An array filled into ``text``: ``{0}`` is its first element."""
+    return _filled(text, lambda name, spec: spec_text(F.get(items, F.lit(int(name))), dtype.elementType, spec))

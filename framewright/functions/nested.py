@@ -21,7 +21,38 @@ def path(name: str | int) -> Column:
 
 def walk(c: Column, steps: list[str]) -> Column:
     """Follow the steps of a path from ``c``; a step past the end of a list gives null."""
-    return reduce(lambda x, step: F.get(x, F.lit(int(step))) if step.isdigit() else x[step], steps, c)
+    return reduce(step_into, steps, c)
+
+
+def step_into(c: Column, step: str | int) -> Column:
+    """A field of a record, or an element of a list: 0 is the first, -1 the last."""
+    try:
+        index = int(step)
+    except ValueError:
+        return c[step]
+    return F.try_element_at(c, F.lit(index + 1 if index >= 0 else index))
+
+
+def first_items(items: Column, n: int) -> Column:
+    return F.slice(items, 1, n)
+
+
+def last_items(items: Column, n: int) -> Column:
+    return F.slice(items, F.greatest(F.size(items) - F.lit(n), F.lit(0)) + 1, F.lit(n))
+
+
+def sort_items(items: Column, key=lambda x: x, desc: bool = False) -> Column:
+    """Sort an array by ``key(element)``; equal keys keep their order."""
+    marked = F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"), x.alias("item")))
+
+    def compare(a: Column, b: Column) -> Column:
+        left, right = (b, a) if desc else (a, b)
+        return (
+            F.when(left["key"] < right["key"], -1).when(left["key"] > right["key"], 1)
+            .when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
+        )
+
+    return F.transform(F.array_sort(marked, compare), lambda s: s["item"])
 
 
 def top_items(items: Column, n: int) -> Column:

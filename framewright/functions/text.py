@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 # What counts as a word, a line end and a number.
 WORD = r"[\p{L}\p{N}_']+"
-LINE_END_CHARACTERS = r"\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029"
+LINE_END = r"\R|[\x1c-\x1e]"
+LINE_END_CHARACTERS = list("\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029")
 NUMBER = r"-?\d+(?:\.\d+)?"
 FENCED_BLOCK = r"(?s)```[^\n]*\n(.*?)```"
 BLANK = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -22,8 +23,12 @@ def words(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """All lines of a text; a line end at the very end opens no further line."""
-    line = rf"(?s)(?=.)([^{LINE_END_CHARACTERS}]*+)(?:\r\n|[{LINE_END_CHARACTERS}]|\z)"
-    return F.regexp_extract_all(text, F.lit(line), F.lit(1))
+    closed = (
+        F.when(text.endswith("\r\n"), F.left(text, F.length(text) - 2))
+        .when(F.right(text, F.lit(1)).isin(LINE_END_CHARACTERS), F.left(text, F.length(text) - 1))
+        .otherwise(text)
+    )
+    return F.when(text != "", F.split(closed, LINE_END)).when(text == "", F.array().cast("array<string>"))
 
 
 def strip(text: Column) -> Column:
@@ -63,22 +68,26 @@ def masked(text: Column) -> Column:
 
 
 def non_blank_lines(text: Column) -> Column:
-    return F.filter(lines(text), lambda line: strip(line) != "")
+    """All lines with anything but white space in them."""
+    return F.filter(F.split(text, LINE_END), lambda line: strip(line) != "")
 
 
 def same_line(a: Column, b: Column, tolerance: float = 0.01) -> Column:
-    """Same text once numbers are masked, and every pair of numbers nearer than ``tolerance``."""
-    left, right = numbers(a), numbers(b)
-    near = F.zip_with(left, right, lambda x, y: F.coalesce(F.abs(x - y) < tolerance, F.lit(False)))
-    alike = (masked(a) == masked(b)) & (F.size(left) == F.size(right)) & F.forall(near, lambda ok: ok)
-    return (a == b) | alike
+    """Same text once numbers are masked, and every pair of numbers nearer than ``tolerance``.
+
+    The shorter list of numbers is filled up with nulls, and null is near to nothing.
+    """
+    near = F.zip_with(numbers(a), numbers(b), lambda x, y: F.coalesce(F.abs(x - y) < tolerance, F.lit(False)))
+    return (a == b) | ((masked(a) == masked(b)) & F.forall(near, lambda ok: ok))
 
 
 def same_output(a: Column, b: Column, tolerance: float = 0.01) -> Column:
     """Line-by-line match of two outputs; blank lines do not count."""
-    left, right = non_blank_lines(a), non_blank_lines(b)
-    match = F.zip_with(left, right, lambda x, y: F.coalesce(same_line(x, y, tolerance), F.lit(False)))
-    return (F.size(left) == F.size(right)) & F.forall(match, lambda ok: ok)
+
+    def match(x: Column, y: Column) -> Column:
+        return F.coalesce(same_line(x, y, tolerance), F.lit(False))
+
+    return F.forall(F.zip_with(non_blank_lines(a), non_blank_lines(b), match), lambda ok: ok)
 
 
 def fenced_code(answer: Column) -> Column:

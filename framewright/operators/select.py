@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.functions.formatting import plain_text
-from framewright.functions.nested import path
+from framewright.functions.nested import path, walk
 
 COMPARE = {
     "gt": Column.__gt__,
@@ -106,6 +106,16 @@ def filter_array(df: DataFrame, name: str, predicate) -> DataFrame:
     return df.withColumn(name, F.filter(name, predicate))
 
 
+def where_items(df: DataFrame, name: str, field, op: str, value) -> DataFrame:
+    """Keep the elements of array column ``name`` whose ``field`` compares with ``value``.
+
+    The field ``it`` is the element itself, otherwise a path into the element.
+    """
+    steps = [] if field == "it" else str(field).split(".")
+    inside = df.select(walk(F.get(name, F.lit(0)), steps).alias("_f")).schema["_f"].dataType
+    return filter_array(df, name, lambda x: condition(walk(x, steps), inside, op, value))
+
+
 def drop_null(df: DataFrame, *names: str) -> DataFrame:
     """Remove the rows with a null in any of ``names`` (in any column if none is given)."""
     return df.dropna("any", subset=list(names) or None)

@@ -16,6 +16,7 @@ from framewright.session import cut_lineage
 TEST_BELOW, VALIDATION_BELOW = 4, 8
 TOLERANCE = 0.01
 
+FOLD = 1_000_000.0  # numbers are folded into 0 ... FOLD before they are summed
 ORDER_BLOCK = 1_000_000  # rows compared with their neighbour in one window
 
 
@@ -81,27 +82,36 @@ def _shape(answers: DataFrame, answer: str) -> DataFrame:
     return answers.select(digest(mask).alias("_mask"), found.alias("_numbers"), digest(F.col(answer)).alias("_answer"))
 
 
+def number_cell(numbers: Column) -> Column:
+    """A whole number that is equal or off by one for two lists of numbers that match pairwise.
+
+    Every number is folded into a bounded range without stretching distances and weighted by its
+    place; the sum of two matching lists then differs by less than half a cell.
+    """
+    flat = F.flatten(numbers)
+    fold = lambda x: F.abs(F.pmod(x + F.lit(FOLD), F.lit(2 * FOLD)) - F.lit(FOLD))
+    weighted = F.transform(flat, lambda x, i: fold(x) * (1 + F.pmod(i * F.lit(0.618), F.lit(1.0))))
+    level = F.aggregate(weighted, F.lit(0.0), lambda total, x: total + x)
+    width = F.lit(4 * TOLERANCE) * F.greatest(F.size(flat), F.lit(1))
+    return F.floor(F.nanvl(level, F.lit(0.0)) / width)
+
+
 def leaked_answers(examples: DataFrame, answer: str, banned: DataFrame, banned_answer: str) -> DataFrame:
     """Digests of the answers that equal a banned one line by line, numbers within the tolerance.
 
-    Masked lines must be equal, and the first numbers must lie in the same or neighbouring steps
-    of twice the tolerance; both are join keys, so a mask shared by many rows spreads over its
-    first numbers. The other numbers are compared inside the join. Copies are folded before it.
+    Join keys are the masked lines and a cell made of all numbers, so answers that share a mask
+    spread over their numbers, and only near ones meet. What meets is compared number by number.
+    Copies are folded before the join.
     """
 
-    def cell(numbers: Column) -> Column:
-        return F.floor(F.get(F.flatten(numbers), F.lit(0)) / F.lit(2 * TOLERANCE))
-
     def near(xs: Column, ys: Column) -> Column:
         close = F.zip_with(xs, ys, lambda x, y: F.coalesce(F.abs(x - y) < TOLERANCE, F.lit(False)))
-        return F.coalesce((F.size(xs) == F.size(ys)) & F.forall(close, lambda ok: ok), F.lit(False))
+        return F.coalesce(F.forall(close, lambda ok: ok), F.lit(False))
 
-    none = F.lit(0).cast("bigint")
-    mine = _shape(examples, answer).distinct().withColumn("_cell", F.coalesce(cell(F.col("_numbers")), none))
+    mine = _shape(examples, answer).distinct().withColumn("_cell", number_cell(F.col("_numbers")))
     theirs = _shape(banned, banned_answer).select(F.col("_mask").alias("_like"), F.col("_numbers").alias("_other"))
-    middle = cell(F.col("_other"))
-    around = F.when(middle.isNull(), F.array(none)).otherwise(F.array(middle - 1, middle, middle + 1))
-    theirs = theirs.distinct().select("_like", "_other", F.explode(around).alias("_at"))
+    cell = number_cell(F.col("_other"))
+    theirs = theirs.distinct().select("_like", "_other", F.explode(F.array(cell - 1, cell, cell + 1)).alias("_at"))
     same = F.forall(F.zip_with("_numbers", "_other", near), lambda ok: ok)
     hit = mine.join(theirs, (F.col("_mask") == F.col("_like")) & (F.col("_cell") == F.col("_at")) & same, "left_semi")
     return hit.select("_answer").distinct()
@@ -194,20 +204,25 @@ def held_out_audit(examples: DataFrame, group: str, held_out: str, split: str) -
 
 
 def domain_check(table: DataFrame, declared: dict[str, list]) -> DataFrame:
-    """For every declared column: values found that are not declared, and declared ones not found.
+    """For every declared column: rows with an undeclared value, and declared values not found.
 
-    Only the distinct values leave the scan, and only their counts are gathered.
+    One pass over the table with plain counters, whatever the number of columns.
     """
     if missing := [c for c in declared if c not in table.columns]:
         raise ValueError(f"columns not found: {missing}")
-    checks = [
-        table.agg(
-            F.count_distinct(F.when(~F.col(c).isin(values), F.col(c))).alias("undeclared"),
-            (F.lit(len(set(values))) - F.count_distinct(F.when(F.col(c).isin(values), F.col(c)))).alias("not_found"),
-        ).select(F.lit(c).alias("column"), "undeclared", "not_found")
+
+    def absent(c: str, value) -> Column:
+        return F.coalesce(F.max((F.col(c) == F.lit(value)).cast("int")), F.lit(0)) == 0
+
+    counters = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.count_if(~F.col(c).isin(values)).alias("undeclared"),
+            sum((absent(c, v).cast("bigint") for v in values), F.lit(0).cast("bigint")).alias("not_found"),
+        )
         for c, values in declared.items()
     ]
-    return reduce(DataFrame.unionByName, checks)
+    return table.agg(F.array(*counters).alias("checks")).select(F.inline("checks"))
 
 
 def prompt_rows(examples: DataFrame, descriptions: DataFrame, key: str, task: str, answer: str, intro: Column, closing: str):

@@ -98,11 +98,11 @@ def text_size(texts: DataFrame, text: str, version: str, base: str) -> DataFrame
         F.size(lines(F.col(text))).alias("_lines"),
         F.regexp_count(F.col(text), F.lit(r"\S+")).alias("_words"),
     )
-    totals = sizes.rollup(version).agg(
-        total("_chars").alias("chars"), total("_lines").alias("lines"), total("_words").alias("words"),
-        F.grouping(version).alias("_all"),
-    )
+    names = ("chars", "lines", "words")
+    each = sizes.groupBy(version).agg(*[total(f"_{n}").alias(n) for n in names])
+    # the line for all versions comes from the few rows above, not from the texts again
+    totals = each.rollup(version).agg(*[F.sum(n).alias(n) for n in names], F.grouping(version).alias("_all"))
     name = F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col(version))
-    first = sizes.where(F.col(version) == F.lit(base)).agg(total("_chars")).scalar()
+    first = each.agg(F.max(F.when(F.col(version) == F.lit(base), F.col("chars")))).scalar()
     ratio = F.concat(fixed_decimals(true_div(F.col("chars"), first), 1), F.lit("×"))
     return totals.select(name.alias(version), "chars", "lines", "words", ratio.alias("ratio"))

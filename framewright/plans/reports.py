@@ -57,12 +57,13 @@ def ratio(facts: DataFrame, key, upper: Column, lower: Column, digits: int = 2)
 
 
 def share_of_total(facts: DataFrame, key, measure: Column) -> DataFrame:
-    """Every group's percentage of the measure over all rows, one decimal.
+    """Every group's percentage of the sum over all groups, one decimal.
 
-    The total is a one-value subquery, so no join is needed.
+    The grand total is a one-value subquery over the groups: no join, and no second pass over the
+    facts, since both read the same shuffle.
     """
-    grand = facts.agg(measure.alias("value")).scalar()
     part = by(facts, key, measure)
+    grand = part.agg(total("value")).scalar()
     return part.select("key", round_even(true_div(F.col("value"), grand) * 100, 1).alias("value"))
 
 

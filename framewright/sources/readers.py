@@ -87,6 +87,12 @@ def json_files(spark: SparkSession, path, schema=None) -> DataFrame:
     return reader.json(path, multiLine=True)
 
 
+def json_values(spark: SparkSession, path, element: str = "bigint") -> DataFrame:
+    """JSON files holding a list of plain values: one row per value."""
+    files = read_text(spark, path)
+    return files.select("path", F.explode(F.from_json("value", f"array<{element}>")).alias("value"))
+
+
 def json_lines(spark: SparkSession, paths, schema) -> DataFrame:
     """Result rows from one or more JSON-lines files, as one table."""
     return spark.read.schema(schema).json(paths)
@@ -97,6 +103,11 @@ def parse_json(df: DataFrame, name: str, schema: str, alias: str | None = None)
     return df.withColumn(alias or name, F.from_json(name, schema))
 
 
+def parse_json_any(df: DataFrame, name: str, alias: str | None = None) -> DataFrame:
+    """JSON text of a column as a value of any shape; ``variant_get`` walks into it."""
+    return df.withColumn(alias or name, F.parse_json(F.col(name)))
+
+
 def upto(spark: SparkSession, n: int) -> DataFrame:
     """The numbers 1 to ``n`` as ``value``, made on the executors."""
     return spark.range(1, n + 1).select(F.col("id").alias("value"))
