@@ -183,6 +183,15 @@ def pivot_count(t):
     return agg.pivot_count(t.orders, "o_orderpriority", "o_orderstatus", ["F", "O", "P", "X"])
 
 
+@query("""select o_orderpriority, round_even(coalesce(sum(o_totalprice) filter (where o_orderstatus = 'F'), 0), 2) as "F",
+  round_even(coalesce(sum(o_totalprice) filter (where o_orderstatus = 'O'), 0), 2) as "O" from orders group by o_orderpriority""")
+def pivot_sum(t):
+    def money(cell):
+        return round_even(agg.total(F.when(cell, F.col("o_totalprice"))), 2)
+
+    return agg.pivot(t.orders, "o_orderpriority", "o_orderstatus", ["F", "O"], money)
+
+
 @query("select o_orderpriority as key, round_even(sum(o_totalprice), 2) as value from orders group by o_orderpriority")
 def group_sum_sorted(t):
     sums = agg.group_sum_sorted(t.orders, "o_orderpriority", F.col("o_totalprice"))

@@ -7,6 +7,7 @@ from framewright.functions import text
 from framewright.operators import aggregate as agg
 from framewright.operators import order
 from framewright.plans import curation
+from framewright.session import cut_lineage
 from framewright.sources import sinks
 
 BUCKET_SQL = """((('0x' || substr(md5({0}), 1, 16))::ubigint % 100 * 16 + ('0x' || substr(md5({0}), 17, 16))::ubigint % 100) % 100)::bigint"""
@@ -40,7 +41,9 @@ def cur_hash_split(t):
 
 def customer_answers(t, digits, shift):
     """One answer text per customer: the total of every order status on its own line."""
-    wide = t.orders.groupBy("o_custkey").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.sum("o_totalprice")).na.fill(0.0)
+    wide = agg.pivot(
+        t.orders, "o_custkey", "o_orderstatus", ["F", "O", "P"], lambda cell: agg.total(F.when(cell, F.col("o_totalprice")))
+    )
     moved = wide.select("o_custkey", *[(F.col(c) + shift).alias(c) for c in ("F", "O", "P")])
     lines = "\n".join(f"{c}: {{{c}:.{digits}f}}" for c in ("F", "O", "P"))
     return sinks.fmt(moved, lines, alias="answer", keep=["o_custkey"])
@@ -68,13 +71,14 @@ select o_custkey from s where {0} exists (select 1 from b where abs(s.f - b.f) <
 
 @query(LEAK_SQL.format("not"))
 def cur_decontaminate(t):
-    return curation.without_leaks(customer_answers(t, 2, 0.0), "answer", banned_answers(t), "answer").select("o_custkey")
+    answers = cut_lineage(customer_answers(t, 2, 0.0))
+    return curation.without_leaks(answers, "answer", banned_answers(t), "answer").select("o_custkey")
 
 
 @query(LEAK_SQL.format(""))
 def cur_leaks(t):
-    leaks = curation.without_leaks(customer_answers(t, 2, 0.0), "answer", banned_answers(t), "answer", negate=False)
-    return leaks.select("o_custkey")
+    answers = cut_lineage(customer_answers(t, 2, 0.0))
+    return curation.without_leaks(answers, "answer", banned_answers(t), "answer", negate=False).select("o_custkey")
 
 
 @query("""select item_id, item_id not in (select item_id from benchmark b where exists (select 1 from documents d where d.text = b.text)) as clean

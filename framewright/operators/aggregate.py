@@ -140,9 +140,17 @@ def median(df: DataFrame, value: str, by: tuple[str, ...] = (), name: str = "med
     return percentiles(df, value, {name: 0.5}, by)
 
 
+def pivot(df: DataFrame, index: str, columns: str, values: list, measure: Callable[[Column], Column]) -> DataFrame:
+    """One row per ``index`` and one column per value of ``columns``.
+
+    ``measure`` gets the condition that selects a cell's rows; all cells come from one shuffle.
+    """
+    return df.groupBy(index).agg(*[measure(F.col(columns) == F.lit(v)).alias(str(v)) for v in values])
+
+
 def pivot_count(df: DataFrame, index: str, columns: str, values: list) -> DataFrame:
-    """Row counts, one row per ``index`` and one column per value of ``columns``; none is zero."""
-    return df.groupBy(index).pivot(columns, values).agg(rows()).na.fill(0)
+    """Row counts per cell; a cell without rows is zero."""
+    return pivot(df, index, columns, values, F.count_if)
 
 
 def group_sum_sorted(df: DataFrame, key: str, value: Column) -> DataFrame:

@@ -59,9 +59,12 @@ def condition(c: Column, dtype: T.DataType, op: str, value) -> Column:
     """
     if op in ("in", "nin"):
         usable = [v for v in items(value) if v is not None and comparable(dtype, v)]
-        found = F.coalesce(c.isin(usable), F.lit(False)) if usable else F.lit(False)
-        return ~found if op == "nin" else found
+        if not usable:
+            return F.lit(op == "nin")
+        return c.isNull() | ~c.isin(usable) if op == "nin" else c.isin(usable)
     if op == "has":
+        if isinstance(dtype, T.StringType):
+            return c.contains(str(value))
         return plain_text(c, dtype).contains(str(value)) & c.isNotNull()
     if op not in COMPARE and op not in ("eq", "ne"):
         raise ValueError(f"unknown operator {op!r}")

@@ -11,6 +11,7 @@ from framewright.functions.text import lines
 from framewright.operators.aggregate import rows, total
 from framewright.operators.order import top
 from framewright.operators.select import where_in_table
+from framewright.session import cut_lineage
 
 
 def score_text(ok: Column, n: Column) -> Column:
@@ -99,10 +100,11 @@ def text_size(texts: DataFrame, text: str, version: str, base: str) -> DataFrame
         F.regexp_count(F.col(text), F.lit(r"\S+")).alias("_words"),
     )
     names = ("chars", "lines", "words")
-    each = sizes.groupBy(version).agg(*[total(f"_{n}").alias(n) for n in names])
-    # the line for all versions comes from the few rows above, not from the texts again
+    # one row per version, kept, so that the texts are read once for all that follows
+    each = cut_lineage(sizes.groupBy(version).agg(*[total(f"_{n}").alias(n) for n in names]))
     totals = each.rollup(version).agg(*[F.sum(n).alias(n) for n in names], F.grouping(version).alias("_all"))
     name = F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col(version))
     first = each.agg(F.max(F.when(F.col(version) == F.lit(base), F.col("chars")))).scalar()
-    ratio = F.concat(fixed_decimals(true_div(F.col("chars"), first), 1), F.lit("×"))
-    return totals.select(name.alias(version), "chars", "lines", "words", ratio.alias("ratio"))
+    named = totals.select(name.alias(version), *names, true_div(F.col("chars"), first).alias("_ratio"))
+    ratio = F.concat(fixed_decimals(F.col("_ratio"), 1), F.lit("×"))
+    return named.select(version, *names, ratio.alias("ratio"))

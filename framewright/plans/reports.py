@@ -9,6 +9,7 @@ from framewright.functions.numbers import round_even, true_div
 from framewright.functions.text import slice_text
 from framewright.operators.aggregate import by, by_many, percentiles, rows, share, total
 from framewright.operators.order import ascending, bottom, counted, descending, sort, top
+from framewright.session import cut_lineage
 
 # A fragment is one to three letters; single letters come from this set only.
 SINGLE_LETTERS = list("eiukcdflmhjwzv")
@@ -163,30 +164,37 @@ def fragments(names: DataFrame, name: str, reserved: list[str] = ()) -> DataFram
 def sales_report(facts: DataFrame, done: Column, returned: Column, value: Column, group: str, customer: str, date: str):
     """Report lines ``(section, key, value)``: counts and money, then three group reports.
 
-    The figures of the head come from one aggregate and the group reports from one grouping-sets
-    aggregate, so the facts are read twice and nothing has to be kept in memory.
+    The facts are read once: one grouping-sets aggregate, checkpointed, holds the figures of all
+    sections, one row per group, customer and month.
     """
+    sides = {"by_group": "_group", "by_customer": "_customer", "by_month": "_month"}
     marked = facts.select(
-        done.alias("_done"), returned.alias("_returned"), value.alias("_value"),
+        done.alias("_done"), returned.alias("_returned"), F.when(done, value).alias("_money"),
         F.col(group).cast("string").alias("_group"), F.col(customer).cast("string").alias("_customer"),
         month_of(F.col(date)).alias("_month"),
     )
-    money = F.when(F.col("_done"), F.col("_value"))
-    head = marked.agg(
-        F.count_if("_done").cast("double").alias("completed"),
-        round_even(total(money), 2).alias("revenue"),
-        round_even(F.avg(money), 2).alias("average"),
-        share(F.col("_returned")).alias("returned_share"),
-    ).unpivot([], ["completed", "revenue", "average", "returned_share"], "section", "value")
-    head = head.select("section", F.lit("").alias("key"), "value")
-
-    sides = ["_group", "_customer", "_month"]
-    groups = (
-        marked.where("_done")
-        .groupingSets([[F.col(c)] for c in sides], *[F.col(c) for c in sides])
-        .agg(round_even(total(F.col("_value")), 2).alias("value"), F.grouping_id().alias("_set"))
+    columns = [F.col(c) for c in sides.values()]
+    figures = cut_lineage(
+        marked.groupingSets([[c] for c in columns] + [[]], *columns).agg(
+            F.count_if("_done").alias("_n"),
+            total("_money").alias("_sum"),
+            share(F.col("_returned")).alias("_share"),
+            *[F.grouping(c).alias(f"_all{c}") for c in sides.values()],
+        )
+    )
+    over_all = F.lit(True)
+    for c in sides.values():
+        over_all = over_all & (F.col(f"_all{c}") == 1)
+    head = figures.where(over_all).select(
+        F.col("_n").cast("double").alias("completed"),
+        round_even(F.col("_sum"), 2).alias("revenue"),
+        round_even(true_div(F.col("_sum"), F.nullif("_n", F.lit(0))), 2).alias("average"),
+        F.col("_share").alias("returned_share"),
     )
-    section = F.when(F.col("_set") == 3, "by_group").when(F.col("_set") == 5, "by_customer").otherwise("by_month")
-    lines = groups.select(section.alias("section"), F.coalesce(*sides).alias("key"), "value")
-    first = top(lines.where(F.col("section") == "by_customer"), 3, "value", "key")
-    return head.unionByName(lines.where(F.col("section") != "by_customer")).unionByName(first)
+    head = head.unpivot([], head.columns, "section", "value")
+    report = head.select("section", F.lit("").alias("key"), "value")
+    for section, c in sides.items():
+        own = figures.where((F.col(f"_all{c}") == 0) & F.col(c).isNotNull() & (F.col("_n") > 0))
+        lines = own.select(F.lit(section).alias("section"), F.col(c).alias("key"), round_even(F.col("_sum"), 2).alias("value"))
+        report = report.unionByName(top(lines, 3, "value", "key") if section == "by_customer" else lines)
+    return report
