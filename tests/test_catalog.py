@@ -48,7 +48,7 @@ def plan(frame):
     [
         ("where_eq", "EqualTo(event_type,view)"),
         ("where_gt", "GreaterThan(o_totalprice,112946.26)"),
-        ("where_in", "In(event_type, [view,click])"),
+        ("where_in", "In(event_type, ["),
         ("where_has", "StringContains(p_name,ring)"),
         ("best_customers", "EqualTo(o_orderstatus,F)"),
     ],
