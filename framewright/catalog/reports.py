@@ -7,7 +7,7 @@ from framewright.functions.numbers import round_even
 from framewright.operators import aggregate as agg
 from framewright.operators import order, select
 from framewright.plans import reports
-from framewright.session import scratch_path
+from framewright.session import cut_lineage, scratch_path
 from framewright.sources import readers, sinks
 
 REV_SQL = "l_extendedprice * (1 - l_discount)"
@@ -185,9 +185,7 @@ WORDS_SQL = """(select doc_id * 16777216 + i as seq, word from (select doc_id, u
 def lower_words(t):
     """Lower-case words but ``the``, numbered in reading order."""
     words = readers.words(t.documents, F.lower("text"), "doc_id").where(F.col("word") != "the")
-    fits = (F.col("word_no") < 1 << 24) & (F.col("doc_id") < 1 << 39)
-    seq = F.when(fits, F.shiftleft("doc_id", 24) + F.col("word_no"))
-    return words.select(F.coalesce(seq, F.raise_error(F.lit("too many words or documents"))).alias("seq"), "word")
+    return words.select(readers.reading_order("doc_id", "word_no").alias("seq"), "word")
 
 
 @query(f"""select word || ' (' || n || 'x)' as line
@@ -227,6 +225,6 @@ def class_cuts(t):
 select case when value >= high then 'high' when value >= low then 'medium' else 'low' end as key, count(*) as value,
   min(event_id) as first_seen from events, c group by 1""")
 def q_classify_by_quantile(t):
-    cuts = reports.class_cuts(t.events, "value", {"low": 0.3, "high": 0.75})
+    cuts = cut_lineage(reports.class_cuts(t.events, "value", {"low": 0.3, "high": 0.75}))
     limits = [("ge", cuts.select("high").scalar()), ("ge", cuts.select("low").scalar())]
     return reports.classify(t.events, F.col("value"), limits, ["high", "medium", "low"], "event_id")

@@ -50,7 +50,7 @@ def _kind(c: Column) -> Column:
 
     return (
         F.when(every(c.rlike(r"^\s*[+-]?\d{1,18}\s*$")), F.when(missing, "double").otherwise("bigint"))
-        .when(every(c.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")), "double")
+        .when(every(c.rlike(r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$")), "double")
         .when(every(c.isin("True", "False", "TRUE", "FALSE", "true", "false")) & ~missing, "boolean")
         .otherwise("string")
     )
@@ -81,6 +81,15 @@ def words(df: DataFrame, name, *keep: str) -> DataFrame:
     )
 
 
+def reading_order(text_id: str, part_no: str) -> Column:
+    """One number that orders parts by text and place: any 64-bit id, any place in an array.
+
+    A single decimal keeps ``min`` in the hash aggregate; a pair of columns would need a sort.
+    """
+    places = F.lit(2**31).cast("decimal(10,0)")
+    return F.col(text_id).cast("decimal(19,0)") * places + F.col(part_no).cast("decimal(10,0)")
+
+
 def json_files(spark: SparkSession, path, schema=None) -> DataFrame:
     """JSON files holding one value each: an array gives one row per record."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
