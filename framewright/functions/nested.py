@@ -42,17 +42,14 @@ def last_items(items: Column, n: int) -> Column:
 
 
 def sort_items(items: Column, key=lambda x: x, desc: bool = False) -> Column:
-    """Sort an array by ``key(element)``; equal keys keep their order."""
-    marked = F.transform(items, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"), x.alias("item")))
+    """Sort an array by ``key(element)``; equal keys keep their order, missing keys come last."""
 
-    def compare(a: Column, b: Column) -> Column:
-        left, right = (b, a) if desc else (a, b)
-        return (
-            F.when(left["key"] < right["key"], -1).when(left["key"] > right["key"], 1)
-            .when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0)
-        )
+    def mark(x: Column, i: Column) -> Column:
+        known = key(x).isNotNull() if desc else key(x).isNull()
+        return F.struct(known.alias("known"), key(x).alias("key"), (-i if desc else i).alias("at"))
 
-    return F.transform(F.array_sort(marked, compare), lambda s: s["item"])
+    places = F.sort_array(F.transform(items, mark), asc=not desc)
+    return F.transform(places, lambda p: F.get(items, -p["at"] if desc else p["at"]))
 
 
 def top_items(items: Column, n: int) -> Column:

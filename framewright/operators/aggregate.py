@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from framewright.functions.numbers import round_even
 from framewright.session import cut_lineage
 
+FEW_GROUPS = 100  # up to this many groups a sketch per group stays in a hash aggregate
+SKETCH_ACCURACY = 10_000
+SMALL_GROUP = 100_000  # rows of a group that need no bracket
+
 
 def total(c) -> Column:
     """Sum that skips nulls; the sum of nothing is zero."""
@@ -95,44 +99,98 @@ def nuniq_rows(df: DataFrame) -> DataFrame:
 def percentiles(df: DataFrame, value: str, fractions: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per entry of ``fractions``.
 
-    Equal values are counted first, the distinct ones are range-sorted and checkpointed. Totals
-    per partition tell which partitions hold the wanted ranks; only those are looked at again.
-    So no task holds a whole group, and the answer is exact.
+    With few groups a sketch first brackets every percentile; rows outside the brackets are only
+    counted, so little is left to sort. With many groups all distinct values are sorted.
     """
     by = tuple(by)
-    counts = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    counts = counts.groupBy(*by, "_v").agg(rows().alias("_n"))
-    ranked = cut_lineage(counts.orderBy(*by, "_v").withColumn("_part", F.spark_partition_id()))
+    v = F.col(value).cast("double")
+    values = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
+    if not by or values.agg(F.approx_count_distinct(F.xxhash64(*by))).first()[0] <= FEW_GROUPS:
+        result = _bracketed(values, fractions, by)
+        if result is not None:
+            return result
+    counts = values.groupBy(*by, "_v").agg(rows().alias("_n"))
+    spots = [(F.col("_all") - 1) * F.lit(float(f)) for f in fractions.values()]
+    found = _values_at(counts, by, F.array(*[F.floor(x) for x in spots], *[F.ceil(x) for x in spots]))
+    return found.groupBy(*by).agg(*[_interpolated(x).alias(name) for name, x in zip(fractions, spots)])
+
+
+def _interpolated(spot: Column, among: Column | None = None) -> Column:
+    """The value at a fractional rank, from the values at the ranks below and above."""
+    keep = F.lit(True) if among is None else among
+    low = F.max(F.when(keep & (F.col("_rank") == F.floor(spot)), F.col("_v")))
+    high = F.max(F.when(keep & (F.col("_rank") == F.ceil(spot)), F.col("_v")))
+    return low + (high - low) * F.max(F.when(keep, spot - F.floor(spot)))
+
+
+def _bracketed(values: DataFrame, fractions: dict[str, float], by: tuple[str, ...]) -> DataFrame | None:
+    """Percentiles from the rows near them; None if a bracket misses its rank after all.
+
+    The sketch errs by ``1 / SKETCH_ACCURACY`` of the rows at most, the brackets allow for five
+    times that. A group so small that this is less than a few rows is kept whole.
+    """
+    names, wanted = list(fractions), [float(f) for f in fractions.values()]
+    slack = 5 / SKETCH_ACCURACY
+    ends = [e for f in wanted for e in (max(f - slack, 0.0), min(f + slack, 1.0))]
+    sketch = cut_lineage(
+        values.groupBy(*by).agg(
+            rows().alias("_all"),
+            F.min("_v").alias("_min"),
+            F.max("_v").alias("_max"),
+            F.percentile_approx("_v", ends, SKETCH_ACCURACY).alias("_ends"),
+        )
+    )
+    pieces = []
+    for i, f in enumerate(wanted):
+        whole = F.col("_all") <= SMALL_GROUP
+        low = F.when(whole | F.lit(f <= slack), F.col("_min")).otherwise(F.col("_ends")[2 * i])
+        high = F.when(whole | F.lit(f >= 1 - slack), F.col("_max")).otherwise(F.col("_ends")[2 * i + 1])
+        # a value below the bracket is counted as null, a value above it falls out
+        piece = F.struct(F.lit(i).alias("_f"), F.when(F.col("_v") >= low, F.col("_v")).alias("_v"))
+        pieces.append(F.when(F.col("_v") <= high, piece))
+    if by:
+        near = values.join(F.broadcast(sketch), list(by))  # FEW_GROUPS rows, give or take the estimate's error
+    else:
+        bounds = {c: sketch.select(c).scalar() for c in ("_all", "_min", "_max", "_ends")}
+        near = values.select("_v", *[c.alias(name) for name, c in bounds.items()])
+    near = near.select(*by, "_all", F.inline(F.array(*pieces))).where(F.col("_f").isNotNull())
+    counts = near.groupBy(*by, "_f", "_all", "_v").agg(rows().alias("_n"))
+    spot = (F.col("_all") - 1) * F.get(F.array(*[F.lit(f) for f in wanted]), F.col("_f"))
+    found = _values_at(counts, (*by, "_f"), F.array(F.floor(spot), F.ceil(spot)), total="_all")
+    result = found.groupBy(*by).agg(*[_interpolated(spot, F.col("_f") == i).alias(n) for i, n in enumerate(names)])
+    result = cut_lineage(result)
+    complete = result.dropna("any", subset=names).count() == sketch.where(F.col("_all") > 0).count()
+    return result if complete else None
+
+
+def _values_at(counts: DataFrame, keys: tuple[str, ...], ranks: Column, total: str | None = None) -> DataFrame:
+    """``(keys, _all, _rank, _v)``: the value at every wanted rank (from 0) of every group.
+
+    ``counts`` holds each distinct value once with its number of rows, null for rows that come
+    first. The values are range-sorted and checkpointed. Totals per partition tell which
+    partitions hold the wanted ranks; only those are looked at again. No task holds a whole group.
+    """
+    ranked = cut_lineage(counts.orderBy(*keys, F.asc_nulls_first("_v")).withColumn("_part", F.spark_partition_id()))
 
     # one row per group and partition: what lies before it, and which ranks fall into it
-    totals = ranked.groupBy(*by, "_part").agg(F.sum("_n").alias("_size"))
-    whole = Window.partitionBy(*by)
+    size = [F.sum("_n").alias("_size")] + ([F.max(total).alias("_all")] if total else [])
+    spans = ranked.groupBy(*keys, "_part").agg(*size)
+    whole = Window.partitionBy(*keys)
     before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    spans = totals.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
-    spans = spans.withColumn("_all", F.sum("_size").over(whole))
-    spots = []
-    for fraction in fractions.values():
-        spot = (F.col("_all") - 1) * F.lit(float(fraction))
-        spots += [F.floor(spot), F.ceil(spot)]
+    spans = spans.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    if total is None:
+        spans = spans.withColumn("_all", F.sum("_size").over(whole))
     inside = lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_size"))
-    spans = spans.withColumn("_ranks", F.array_distinct(F.filter(F.array(*spots), inside)))
-    spans = spans.where(F.size("_ranks") > 0)
+    spans = spans.withColumn("_ranks", F.array_distinct(F.filter(ranks, inside))).where(F.size("_ranks") > 0)
 
     # running counts inside the partitions that hold a wanted rank
-    near = ranked.join(spans.select(*by, "_part", "_before", "_all", "_ranks"), [*by, "_part"])
-    upto = Window.partitionBy(*by, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    near = ranked.select(*keys, "_part", "_v", "_n").join(
+        spans.select(*keys, "_part", "_before", "_all", "_ranks"), [*keys, "_part"]
+    )
+    upto = Window.partitionBy(*keys, "_part").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
     here = F.filter("_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_n")))
-    found = near.select(*by, "_all", "_v", F.explode(here).alias("_rank"))
-
-    columns = []
-    for name, fraction in fractions.items():
-        spot = (F.col("_all") - 1) * F.lit(float(fraction))
-        low = F.max(F.when(F.col("_rank") == F.floor(spot), F.col("_v")))
-        high = F.max(F.when(F.col("_rank") == F.ceil(spot), F.col("_v")))
-        part = F.max(spot - F.floor(spot))
-        columns.append((low + (high - low) * part).alias(name))
-    return found.groupBy(*by).agg(*columns)
+    return near.select(*keys, "_all", "_v", F.explode(here).alias("_rank"))
 
 
 def median(df: DataFrame, value: str, by: tuple[str, ...] = (), name: str = "median") -> DataFrame:

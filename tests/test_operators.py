@@ -125,13 +125,17 @@ def test_by_drops_null_keys_and_sums_nothing_to_zero(sales):
     assert aggregate.nuniq_rows(sales.select("item", "kind")).first()[0] == 4
 
 
-def test_percentiles_equal_numpy(spark):
+@pytest.mark.parametrize("few, small, accuracy", [(100, 100_000, 10_000), (100, 200, 100), (1, 200, 100), (100, 0, 10)])
+def test_percentiles_equal_numpy(spark, monkeypatch, few, small, accuracy):
+    monkeypatch.setattr(aggregate, "FEW_GROUPS", few)
+    monkeypatch.setattr(aggregate, "SMALL_GROUP", small)
+    monkeypatch.setattr(aggregate, "SKETCH_ACCURACY", accuracy)
     rnd = random.Random(9)
     rows = [("hot", float(rnd.choice([1, 2, 2, 2, 5, 8]))) for _ in range(4000)]
-    rows += [("wide", rnd.uniform(-5, 5)) for _ in range(1501)] + [("one", 3.5), ("none", None)]
+    rows += [("wide", rnd.uniform(-5, 5)) for _ in range(1504)] + [("one", 3.5), ("none", None), ("one", math.nan)]
     frame = spark.createDataFrame(rows, "k string, v double").repartition(6)
     wanted = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "lo": 0.0, "hi": 1.0}
-    data = pd.DataFrame(rows, columns=["k", "v"])
+    data = pd.DataFrame(rows, columns=["k", "v"]).dropna()
     for r in aggregate.percentiles(frame, "v", wanted, ("k",)).collect():
         for name, q in wanted.items():
             assert math.isclose(r[name], np.quantile(data[data.k == r.k].v, q), abs_tol=1e-9)
@@ -195,6 +199,9 @@ def test_array_forms(spark):
         "top": [9, 3], "sum": 13.0, "mean": 13 / 3, "last": [9, 1], "first": [3, 9, 1], "drop": [3, 1],
         "desc": [9, 3, 1], "n": "y", "gone": None,
     }
+    stable = spark.sql("select array('bb', 'a', null, 'cc', 'ddd') as w")
+    ordered = stable.select(nested.sort_items(F.col("w"), F.length), nested.sort_items(F.col("w"), F.length, desc=True)).first()
+    assert list(ordered) == [["a", "bb", "cc", "ddd", None], ["ddd", "bb", "cc", "a", None]]
     assert [x.n for x in select.where_items(frame, "r", "q", "gt", 2).first().r] == ["y"]
     assert shape.each_nested(frame, "r", "q").first().r == [2, 5]
     assert shape.set_nested(frame, "r", "d", lambda r: r["q"] * 2).first().r[1].d == 10
