@@ -89,6 +89,15 @@ def where(df: DataFrame, field, op: str, value) -> DataFrame:
     return df.where(condition(path(field), field_type(df, field), op, value))
 
 
+def same_key(key: Column, other: Column) -> Column:
+    """Join condition between rows and a side that was grouped by its key before; null equals null.
+
+    The hash, a second join key, makes Spark shuffle the grouped side anew. Only between two plain
+    shuffles can AQE split the partition of a hot key.
+    """
+    return key.eqNullSafe(other) & (F.xxhash64(key) == F.xxhash64(other))
+
+
 def where_in_table(df: DataFrame, field: str, table: DataFrame, key: str | None = None, negate: bool = False) -> DataFrame:
     """Keep the rows whose ``field`` is (not) among the values held in ``table``.
 
@@ -96,7 +105,7 @@ def where_in_table(df: DataFrame, field: str, table: DataFrame, key: str | None
     allows it and otherwise joins by key, splitting partitions that a hot key makes too large.
     """
     wanted = table.select(F.col(key or field).alias("_wanted")).where(F.col("_wanted").isNotNull()).distinct()
-    return df.join(wanted, path(field) == F.col("_wanted"), "left_anti" if negate else "left_semi")
+    return df.join(wanted, same_key(path(field), F.col("_wanted")), "left_anti" if negate else "left_semi")
 
 
 def filter_rows(df: DataFrame, predicate: Column) -> DataFrame:

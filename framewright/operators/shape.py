@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from framewright.functions.nested import path
 from framewright.functions.text import slice_text
 from framewright.operators.order import with_position
-from framewright.operators.select import items
+from framewright.operators.select import items, same_key
 
 
 def pick(df: DataFrame, names) -> DataFrame:
@@ -90,7 +90,7 @@ def group_rows(df: DataFrame, key: str, seq: str, keep_null: bool = False) -> Da
     rows = df if keep_null else df.where(F.col(key).isNotNull())
     firsts = rows.groupBy(F.col(key).alias("_key")).agg(F.min(seq).alias("_first"))
     placed = with_position(
-        rows.join(firsts, F.col(key).eqNullSafe(F.col("_key"))).drop("_key"), "_first", seq, name="_at"
+        rows.join(firsts, same_key(F.col(key), F.col("_key"))).drop("_key"), "_first", seq, name="_at"
     )
     starts = placed.groupBy("_first").agg(F.min("_at").alias("_start"))
     starts = with_position(starts, "_first", name="group_pos")

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from framewright.functions import text as texts
 from framewright.operators.aggregate import rows
+from framewright.operators.select import same_key
 from framewright.session import cut_lineage
 
 # Percentages of the hash split, and the tolerance between equal numbers.
@@ -114,7 +115,7 @@ def leaked_answers(examples: DataFrame, answer: str, banned: DataFrame, banned_a
     theirs = theirs.distinct().select("_like", "_other", F.explode(F.array(cell - 1, cell, cell + 1)).alias("_at"))
     same = F.forall(F.zip_with("_numbers", "_other", near), lambda ok: ok)
     hit = mine.join(theirs, (F.col("_mask") == F.col("_like")) & (F.col("_cell") == F.col("_at")) & same, "left_semi")
-    return hit.select("_answer").distinct()
+    return hit.select("_answer")  # distinct already
 
 
 def without_leaks(examples: DataFrame, answer: str, banned: DataFrame, banned_answer: str, negate: bool = True):
@@ -230,7 +231,8 @@ def prompt_rows(examples: DataFrame, descriptions: DataFrame, key: str, task: st
 
     The prompt is the intro, the description if there is one, the task, and a closing instruction.
     """
-    described = examples.join(descriptions.withColumnRenamed(key, "_key"), F.col(key) == F.col("_key"), "left")
+    about = descriptions.where(F.col(key).isNotNull()).withColumnRenamed(key, "_key")
+    described = examples.join(about, same_key(F.col(key), F.col("_key")), "left")
     data = F.when(F.col("description") != "", F.concat(F.lit("# Data\n\n"), texts.strip(F.col("description"))))
     ask = F.concat(F.lit("# Task\n\n"), texts.strip(F.col(task)), F.lit("\n\n" + closing))
     prompt = F.concat(F.concat_ws("\n\n", F.regexp_replace(intro, r"\s+$", ""), data, ask), F.lit("\n"))

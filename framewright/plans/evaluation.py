@@ -10,7 +10,7 @@ from framewright.functions.numbers import true_div
 from framewright.functions.text import lines
 from framewright.operators.aggregate import rows, total
 from framewright.operators.order import top
-from framewright.operators.select import where_in_table
+from framewright.operators.select import same_key, where_in_table
 from framewright.session import cut_lineage
 
 
@@ -70,8 +70,9 @@ def fair(results: DataFrame, flagged: DataFrame, key: str) -> DataFrame:
 
 def label_split(results: DataFrame, labelled: DataFrame, flagged: DataFrame, key: str, ok: Column) -> DataFrame:
     """One row: the score on questions without and with a label, flagged questions left out."""
-    marks = labelled.select(F.col(key).alias("_id")).distinct().withColumn("_labelled", F.lit(True))
-    rows_ = fair(results, flagged, key).join(marks, F.col(key) == F.col("_id"), "left")
+    marks = labelled.where(F.col(key).isNotNull()).select(F.col(key).alias("_id")).distinct()
+    marks = marks.withColumn("_labelled", F.lit(True))
+    rows_ = fair(results, flagged, key).join(marks, same_key(F.col(key), F.col("_id")), "left")
     has_label = F.coalesce(F.col("_labelled"), F.lit(False))
     return rows_.agg(score(ok, ~has_label).alias("without_label"), score(ok, has_label).alias("with_label"))
 

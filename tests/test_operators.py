@@ -217,3 +217,27 @@ def test_pick_each_set(sales):
     total = shape.set_column(sales, "total", F.col("qty") * F.col("price"))
     assert {r.total for r in shape.each(total, "total").collect()} == {4.5, 9.0, 3.0, 21.25, None, 12.0}
     assert sorted(r.item for r in shape.slice_column(sales, "item", 0, 2).collect())[:2] == ["ca", "ca"]
+
+
+def test_a_hot_key_is_split_in_joins(spark):
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "400KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        hot = F.when(F.col("id") % 3 == 0, 0).otherwise(F.xxhash64("id") % 5000)
+        frame = spark.range(0, 600_000, 1, 16).select("id", hot.alias("k"), F.md5(F.col("id").cast("string")).alias("t"))
+        wanted = frame.select("k").where("k >= 0")
+        for negate in (False, True):
+            kept = select.where_in_table(frame, "k", wanted, negate=negate).agg(F.max("t"), F.count("id").alias("n"))
+            assert kept.collect()[0].n == frame.where(f"{'not' if negate else ''} (k >= 0)").count()
+            assert "skew=true" in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
