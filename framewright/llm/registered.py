@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.catalog.registry import Tables
-from framewright.llm import packing, tokens
+from framewright.llm import cleaning, languages, packing, tokenfiles, tokens
+from framewright.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,3 +39,73 @@ def op1_cutting_stock_packing(t: Tables) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query()
+def op2_simple8b_token_files(t: Tables) -> DataFrame:
+    """All documents written as Simple-8b token files with end id 2, and read back."""
+    path = tokenfiles.write(t.documents, scratch_path(t.spark), tokens.tokenizer_path(tokens.WORD_END), end_id=2)
+    return tokenfiles.read(t.spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+# The same counts, line rules and verdict as cleaning.Rules() has, in DuckDB's words.
+OP9_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id, coalesce("text", '') as t from documents
+), words as (
+  select rid, w, p from (select rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d),
+    unnest(ws) with ordinality as u(w, p)
+), windows as (
+  select rid, p, w, lead(w, 1) over o as w2, lead(w, 2) over o as w3 from words window o as (partition by rid order by p)
+), again as (
+  select rid, w, w2, w3 from windows where w3 is not null group by all having count(*) > 1
+), covered as (
+  select x.rid, count(distinct x.p + k) as n_repeat_words
+  from windows x join again a on x.rid = a.rid and x.w = a.w and x.w2 = a.w2 and x.w3 = a.w3, unnest([0, 1, 2]) as s(k)
+  group by x.rid
+), lines as (
+  select rid, l, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) as n,
+    length(regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g')) as chars
+  from (select rid, string_split(t, chr(10)) as ls from d), unnest(ls) as u(l)
+), judged as (
+  select rid, l, chars,
+    100 * len(regexp_extract_all(l, '[|»›•]|::')) > 25 * n
+    or 100 * length(regexp_replace(l, '[^#*$%&|<>]', '', 'g')) > 20 * n
+    or (n >= 4 and 100 * length(regexp_replace(l, '[^\p{Lu}]', '', 'g')) > 70 * length(regexp_replace(l, '[^\p{L}]', '', 'g')))
+    or regexp_matches(lower(l), 'accept cookies|cookie policy|cookie settings|use of cookies|terms of use|terms of service|privacy policy|all rights reserved|enable javascript|javascript is disabled|lorem ipsum|click here|sign in|sign up|log in|subscribe to|newsletter|share this|read more|skip to content|back to top')
+    or not regexp_matches(l, '[.!?…"'')\]”’»:;][ \t\x0b\f\r]*$') as bad
+  from lines where n > 0
+), by_line as (
+  select rid, count(*) - count(distinct l) as n_dup_lines, coalesce(sum(chars) filter (bad), 0) as lost from judged group by rid
+), counted as (
+  select d.rid, d.doc_id, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) as n_words,
+    length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+    coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(lost, 0) as lost
+  from d left join by_line using (rid) left join covered using (rid)
+)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
+  cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
+  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and 100 * lost <= 55 * word_chars as kept
+from counted
+"""
+
+
+@query(OP9_SQL)
+def op9_line_first_rules(t: Tables) -> DataFrame:
+    """Counts and verdict of the quality rules for all documents."""
+    return cleaning.clean(t.documents).drop("lost_chars", "clean_text")
+
+
+def held_out(modulus: int, rest: int):
+    """Rows that no model may learn labels from, by the checksum of the doc_id's text; a null doc_id is never one."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == rest, F.lit(False))
+
+
+@query()
+def op10_rank_order_language(t: Tables) -> DataFrame:
+    """Language of all documents, profiles learned from those not held out."""
+    docs = t.documents
+    profiles = languages.train(docs.where(~held_out(5, 0)))
+    return languages.identify(docs, profiles).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
