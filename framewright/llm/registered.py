@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.catalog.registry import Tables
-from framewright.llm import cleaning, languages, packing, tokenfiles, tokens
+from framewright.llm import cleaning, dedup, languages, packing, tokenfiles, tokens
 from framewright.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,20 @@ def op10_rank_order_language(t: Tables) -> DataFrame:
     docs = t.documents
     profiles = languages.train(docs.where(~held_out(5, 0)))
     return languages.identify(docs, profiles).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
+OP5_SQL = """
+with d as (
+  select doc_id, sha256(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256
+  from documents
+)
+select doc_id, max(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = max(doc_id) over same as kept, text_sha256
+from d window same as (partition by text_sha256)
+"""
+
+
+@query(OP5_SQL)
+def op5_cuckoo_exact_dedup(t: Tables) -> DataFrame:
+    """Every document with the copy of its text that stays."""
+    marked = dedup.mark(t.documents)
+    return marked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
