@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.catalog.registry import Tables
-from framewright.llm import cleaning, dedup, languages, packing, tokenfiles, tokens
+from framewright.llm import cleaning, dedup, html, languages, packing, tokenfiles, tokens, toxicity
 from framewright.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,17 @@ def op5_cuckoo_exact_dedup(t: Tables) -> DataFrame:
     """Every document with the copy of its text that stays."""
     marked = dedup.mark(t.documents)
     return marked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query()
+def op6_tree_scored_html(t: Tables) -> DataFrame:
+    """The main text of all pages."""
+    return html.extract(t.pages)
+
+
+@query()
+def op7_noisy_or_toxicity(t: Tables) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that are not held out."""
+    labels = t.labels.where(~held_out(5, 0)).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity.score(t.documents, toxicity.train(t.documents, labels))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
