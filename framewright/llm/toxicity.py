@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import blocks
 
-SAMPLE = 8_000  # labelled documents that the weights are trained on; the choice goes by a hash of the doc_id
+SAMPLE = 12_000  # labelled documents that the weights are trained on; the choice goes by a hash of the doc_id
 BITS = 20
 PREFIXES = (4, 5, 6)  # beside the whole word, its first bytes: stems
 _CHOSEN = 30_000  # features trained, those that speak most for the label; all others weigh nothing
