@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.catalog.registry import Tables
-from framewright.llm import cleaning, dedup, html, languages, packing, tokenfiles, tokens, toxicity
+from framewright.llm import cleaning, dedup, html, languages, packing, quality, tokenfiles, tokens, toxicity
 from framewright.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,14 @@ def op7_noisy_or_toxicity(t: Tables) -> DataFrame:
     labels = t.labels.where(~held_out(5, 0)).select("doc_id", F.col("toxic").alias("label"))
     scored = toxicity.score(t.documents, toxicity.train(t.documents, labels))
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op8_sparse_rule_quality(t: Tables) -> DataFrame:
+    """Quality of all documents, rules learned from the labels that are not held out."""
+    path = scratch_path(t.spark)
+    quality.statistics(t.documents).write.parquet(path)
+    measured = t.spark.read.parquet(path)  # a few numbers a document, read for learning and for scoring
+    labels = t.labels.where(~held_out(4, 2)).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(measured, quality.train(measured, labels))
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
