@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.catalog.registry import Tables
-from framewright.llm import cleaning, dedup, html, languages, packing, quality, tokenfiles, tokens, toxicity
+from framewright.llm import cleaning, dedup, html, jaccard, languages, packing, quality, tokenfiles, tokens, toxicity
 from framewright.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,9 @@ def op8_sparse_rule_quality(t: Tables) -> DataFrame:
     labels = t.labels.where(~held_out(4, 2)).select("doc_id", F.col("quality").alias("label"))
     scored = quality.score(measured, quality.train(measured, labels))
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op3_token_group_jaccard(t: Tables) -> DataFrame:
+    """Components of all documents under links of four-word shingle sets with 85 percent in common."""
+    return jaccard.join(t.documents, words=4, percent=85)
