@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.catalog.registry import Tables
-from framewright.llm import cleaning, dedup, html, jaccard, languages, packing, quality, tokenfiles, tokens, toxicity
+from framewright.llm import bpe, cleaning, dedup, html, jaccard, languages, packing, quality, tokenfiles, tokens, toxicity
 from framewright.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +157,9 @@ def op8_sparse_rule_quality(t: Tables) -> DataFrame:
 def op3_token_group_jaccard(t: Tables) -> DataFrame:
     """Components of all documents under links of four-word shingle sets with 85 percent in common."""
     return jaccard.join(t.documents, words=4, percent=85)
+
+
+@query()
+def op4_chunk_reuse_bpe(t: Tables) -> DataFrame:
+    """Digests of the ids and of the decoded ids of all documents."""
+    return bpe.encode(t.documents, tokens.tokenizer_path(tokens.WORD_END), bpe.digests, bpe.DIGESTS)

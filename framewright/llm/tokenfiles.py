@@ -2,7 +2,8 @@
 
 A file set is a folder of Parquet part files that Spark commits. A row is a run of neighbouring documents: their ids
 (``doc_ids``), their sizes (``sizes``), and ``words`` / ``blocks``, the coded token ids of all of them in a row and
-the word offset of each block of 1024 ids. Rows are numbered by ``shard`` (a range of documents) and ``run``.
+the word offset of each block of 1024 ids. Rows are numbered by ``shard`` (a range of documents) and ``run``; ``before`` counts the ids of
+earlier runs of the shard.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from framewright.llm import blocks, simple8b, tokens
 
-_FILE = "shard int, run int, n_tokens long, doc_ids array<bigint>, sizes array<bigint>, words binary, blocks binary"
+_FILE = "shard int, run int, before long, n_tokens long, doc_ids array<bigint>, sizes array<bigint>, words binary, blocks binary"
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> str:
@@ -26,12 +27,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> str:
     A null doc_id comes first; rows with the same doc_id stand in the order of their texts. Extra columns are not
     written. No rows give no files to speak of (reading gives no rows).
     """
-    state = {"shard": -1, "run": 0}
+    state = {"shard": -1, "run": 0, "before": 0}
 
     def code(rows: pa.RecordBatch, texts: pa.LargeStringArray) -> dict:
         shard = TaskContext.get().partitionId()
         if state["shard"] != shard:
-            state.update(shard=shard, run=0)
+            state.update(shard=shard, run=0, before=0)
         ids, offsets = tokens.encoder(tokenizer).encode(texts)
         n = len(offsets) - 1
         ends = offsets[1:] + np.arange(1, n + 1)
@@ -40,11 +41,13 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> str:
         inside[ends - 1] = False
         whole[inside] = ids
         words, starts = simple8b.encode(whole)
-        state["run"] += 1
+        run, before = state["run"], state["before"]
+        state["run"], state["before"] = run + 1, before + len(whole)
         doc_ids = rows.column("doc_id")
         return {
             "shard": [shard],
-            "run": [state["run"] - 1],
+            "run": [run],
+            "before": [before],
             "n_tokens": [len(whole)],
             "doc_ids": [doc_ids.to_pylist()],
             "sizes": [np.diff(np.concatenate([[0], ends]))],
@@ -69,9 +72,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     shards = files.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
-    inside = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = files.select("shard", "run", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("run_start"))
-    starts = runs.join(F.broadcast(shards), "shard").select("shard", "run", (F.col("shard_start") + F.col("run_start")).alias("first"))
+    files = files.join(F.broadcast(shards), "shard").withColumn("first", F.col("shard_start") + F.col("before"))
 
     target = "doc_id long, start long, n_tokens long, ids binary"
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
@@ -91,6 +92,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 start = row["first"].as_py() + ends[:-1]
                 yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(start), pa.array(sizes), body], schema=schema)
 
-    # Small (one row per run of documents) against the files, joined by place; the coded ids themselves stay where they are
-    # read when Spark finds the starts small enough to send round.
-    return files.join(starts, ["shard", "run"]).mapInArrow(decode, target)
+    return files.mapInArrow(decode, target)
