@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import blocks
+from framewright.llm.rows import content, stay
 from framewright.session import scratch_path
 
 BUCKET_KEYS = 20_000  # digests that a bucket is meant for; the number of buckets follows the number of rows
@@ -121,7 +122,7 @@ class Bucket:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """row_id, doc_id, digest (sha256 of the text with A-Z lower-cased, null counts as empty), size in bytes.
+    """row_id, doc_id, content (hash of the text), digest (sha256 of the text with A-Z lower-cased, null counts as empty), size.
 
     Written to the shared folder and read back, so the place of a row (task and number) stays what it is.
     """
@@ -138,12 +139,15 @@ def digests(docs: DataFrame) -> DataFrame:
         return {
             "row_id": (np.int64(task) << _LOCAL_BITS) + first + np.arange(n),
             "doc_id": rows.column("doc_id"),
+            "content": rows.column("content"),
             "digest": [hashlib.sha256(whole[a:b]).digest() for a, b in zip(ends[:-1], ends[1:], strict=True)],
             "size": np.diff(bounds),
         }
 
     path = scratch_path(docs.sparkSession)
-    made = blocks.mapped(docs.select("doc_id", "text"), "row_id long, doc_id long, digest binary, size long", work)
+    made = blocks.mapped(
+        docs.select("doc_id", "text", content().alias("content")), "row_id long, doc_id long, content long, digest binary, size long", work
+    )
     made.write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
@@ -232,7 +236,7 @@ def delete(index: DataFrame, gone: DataFrame, left: DataFrame, buckets: int) ->
 
 
 def mark(docs: DataFrame) -> DataFrame:
-    """A row per document (doc_id, text): doc_id, row_id, keep_id, group_size, kept, digest.
+    """A row per document (doc_id, text): doc_id, row_id, content, keep_id, group_size, kept, digest.
 
     Of texts that are equal after lower-casing A-Z (null counts as empty) the row with the greatest doc_id stays; of
     repeated rows with that doc_id the last in the input; a null doc_id is below all. No rows give none.
@@ -240,5 +244,10 @@ def mark(docs: DataFrame) -> DataFrame:
     rows = digests(docs)
     index = build(rows).select("digest", "size", F.col("doc_id").alias("keep_id"), F.col("row_id").alias("keep_row"), F.col("copies").alias("group_size"))
     return rows.join(index, ["digest", "size"]).select(
-        "doc_id", "row_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "digest"
+        "doc_id", "row_id", "content", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "digest"
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without exact copies, all columns: what ``mark`` keeps."""
+    return stay(docs, mark(docs).where("kept").select("doc_id", "content"))
