@@ -18,7 +18,7 @@ from framewright.llm import blocks
 
 PROFILE = 400
 UNKNOWN = "und"
-_BREAK = 0
+_BREAK = 1  # not a letter, and not 0: a leading break must count
 _SIZES = (1, 2, 3)
 
 
@@ -29,7 +29,7 @@ def _letters() -> np.ndarray:
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of a text as 64-bit codes (21 bits a character, the break is 0), and how often each occurs."""
+    """The n-grams of a text as 64-bit codes (21 bits a character, the break is 1), and how often each occurs."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     if not len(codes):
         return codes, np.zeros(0, np.int64)
@@ -49,9 +49,9 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
             runs = (runs << np.uint64(21)) | codes[i : i + len(runs)]
             if i < n - 1:
                 whole &= inner[i : i + len(whole)]  # a break only at the ends
-        # A lone pair of breaks is nothing; a two-gram needs a letter.
-        some = inner[: len(runs)] | inner[n - 1 : n - 1 + len(runs)]
-        made.append(runs[whole & some])
+        if n == 2:  # needs a letter on one side
+            whole &= inner[:-1] | inner[1:]
+        made.append(runs[whole])
     return np.unique(np.concatenate(made), return_counts=True)
 
 

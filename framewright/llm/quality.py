@@ -25,6 +25,7 @@ STATISTICS = (
     "pipe_share", "loud_share", "comma_share", "stop_share", "words_per_stop", "n_lines", "words_per_line", "dup_line_share",
     "ended_line_share", "longest_word",
 )
+COLUMNS = tuple(f"_q_{name}" for name in STATISTICS)  # as columns of a table: names that documents will hardly have
 _ENDS = (b".", b"!", b"?", b":", b'"', b"'", b")")
 
 
@@ -65,13 +66,13 @@ def measure(text: bytes) -> tuple[float, ...]:
 def statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and the statistics of every row of ``docs`` (with text); null counts as empty.
 
-    Repeated rows give equal rows, no rows give none. Columns named like a statistic cannot be kept.
+    The statistics are the columns ``COLUMNS``. Repeated rows give equal rows, no rows give none.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     extra = [docs.schema[name] for name in keep]
-    schema = StructType([*extra, *(StructField(s, DoubleType()) for s in STATISTICS)])
+    schema = StructType([*extra, *(StructField(s, DoubleType()) for s in COLUMNS)])
     target = to_arrow_schema(schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,12 +101,12 @@ class RuleModel:
     bias: float
 
     def column(self) -> Column:
-        """The score as a Spark expression over columns named as in ``STATISTICS``."""
+        """The score as a Spark expression over ``COLUMNS``."""
         total = F.lit(self.bias)
         for conditions, weight in self.rules:
             holds = F.lit(True)
             for c in conditions:
-                value = F.col(c.statistic)
+                value = F.col(COLUMNS[STATISTICS.index(c.statistic)])
                 holds = holds & (value > c.limit if c.above else value <= c.limit)
             total = total + F.when(holds, F.lit(weight)).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -205,12 +206,12 @@ def train(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleM
     Null labels are passed over; of several labels of a document the smallest counts.
     """
     known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    rows = measured.select("doc_id", *STATISTICS).join(known, "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", *STATISTICS).limit(sample).collect()
-    x = np.array([[r[s] for s in STATISTICS] for r in rows], float).reshape(-1, len(STATISTICS))
+    rows = measured.select("doc_id", *COLUMNS).join(known, "doc_id")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", *COLUMNS).limit(sample).collect()
+    x = np.array([[r[c] for c in COLUMNS] for r in rows], float).reshape(-1, len(STATISTICS))
     return fit(x, np.array([r["label"] for r in rows], float))
 
 
-def score(measured: DataFrame, model: RuleModel) -> DataFrame:
-    """``measured`` with a column ``score`` (0 to 1) in place of the statistics."""
-    return measured.withColumn("score", model.column()).drop(*STATISTICS)
+def score(measured: DataFrame, model: RuleModel, name: str = "score") -> DataFrame:
+    """``measured`` with the score (0 to 1) as column ``name`` in place of the statistics."""
+    return measured.withColumn(name, model.column()).drop(*COLUMNS)

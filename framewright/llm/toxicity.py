@@ -145,24 +145,24 @@ def _fit(rows: list, steps: int = 300, rate: float = 0.1, decay: float = 2e-5) -
     return Model(weights.astype(np.float32), float(bias))
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and score (0 to 1) for every row of ``docs`` (with text).
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns ``keep`` and the score (0 to 1) as column ``name`` for every row of ``docs`` (with text).
 
     A null or empty text, or one without words, has no sentence and score 0. Repeated rows give equal rows, no rows
-    give none. A column named score cannot be kept.
+    give none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** BITS floats
-    kept = StructType([docs.schema[name] for name in keep])
-    target = to_arrow_schema(StructType([*kept, StructField("score", DoubleType())]))
+    kept = StructType([docs.schema[c] for c in keep])
+    target = to_arrow_schema(StructType([*kept, StructField(name, DoubleType())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks.slices(batches, "text"):
             none_toxic, text, _, _ = _probabilities(shared.value, texts)
             total = np.bincount(text, none_toxic, rows.num_rows) if len(text) else np.zeros(rows.num_rows)
-            columns = [rows.column(name).cast(target.field(name).type) for name in keep]
+            columns = [rows.column(c).cast(target.field(c).type) for c in keep]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(-np.expm1(total))], schema=target)
 
-    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(work, StructType([*kept, StructField("score", DoubleType())]))
+    return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(work, StructType([*kept, StructField(name, DoubleType())]))
 
 
 def sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
