@@ -25,16 +25,16 @@ def _labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that noisy-or scoring does not reject."""
     model = toxicity.train(docs, _labels(spark, sf_dir, "toxic"))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns))
-    return scored.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+    scored = toxicity.score(docs, model, keep=tuple(docs.columns), name="_toxic")
+    return scored.where(F.col("_toxic") < TOXIC_FROM).select(*docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble does not reject."""
     measured = quality.statistics(docs)
     model = quality.train(measured, _labels(spark, sf_dir, "quality"))
-    scored = quality.score(quality.statistics(docs, keep=tuple(docs.columns)), model)
-    return scored.where(F.col("score") >= GOOD_FROM).select(*docs.columns)
+    scored = quality.score(quality.statistics(docs, keep=tuple(docs.columns)), model, name="_good")
+    return scored.where(F.col("_good") >= GOOD_FROM).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
