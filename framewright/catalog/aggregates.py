@@ -49,7 +49,9 @@ def agg_count(t):
 @query("select doc_id, length(text)::bigint as chars, len(string_split(text, ' '))::bigint as items from documents")
 def count_items(t):
     return t.documents.select(
-        "doc_id", F.length("text").cast("bigint").alias("chars"), F.size(F.split("text", " ")).cast("bigint").alias("items")
+        "doc_id",
+        nested.count_characters(F.col("text")).alias("chars"),
+        nested.count_items(F.split("text", " ")).alias("items"),
     )
 
 
@@ -67,6 +69,22 @@ def array_agg(t):
     )
 
 
+# keys moved above 2^53, where doubles are too coarse
+@query("""select doc_id, sum(9007199254740992 + k)::bigint as total, count(distinct k) as kinds
+from (select doc_id, unnest([doc_id, 1, doc_id]) as k from documents) group by doc_id""")
+def array_agg_whole(t):
+    keys = F.array("doc_id", F.lit(1).cast("bigint"), "doc_id")
+    large = F.transform(keys, lambda k: F.lit(9007199254740992) + k)
+    return t.documents.select("doc_id", nested.array_sum(large, "bigint").alias("total"), nested.nuniq_items(keys).alias("kinds"))
+
+
+@query("""select max(o_orderkey + 9007199254740992)::bigint as o_orderkey, max(o_custkey + 9007199254740992)::bigint as o_custkey,
+  max(o_orderstatus) as o_orderstatus, max(o_orderpriority) as o_orderpriority from orders""")
+def max_all_columns_exact(t):
+    moved = [(F.col(c).cast("bigint") + F.lit(9007199254740992)).alias(c) for c in ("o_orderkey", "o_custkey")]
+    return agg.wide_columns(t.orders.select(*moved, "o_orderstatus", "o_orderpriority"), F.max)
+
+
 LINE_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

@@ -31,6 +31,13 @@ _math("math_add_text", "event_type", "add", "!", "event_type || '!'")
 _math("math_mul_text", "event_type", "mul", 2, "repeat(event_type, 2)")
 
 
+# up to 7^20 = 79792266297612001, where doubles fail
+@query("select event_id, " + " * ".join(["(user_id % 8)::bigint"] * 20) + " as result from events")
+def math_pow_large(t):
+    small = t.events.select("event_id", (F.col("user_id") % 8).alias("k"))
+    return elementwise.math(small, "k", "pow", 20, "result").select("event_id", "result")
+
+
 @query("""select event_id, value = 12.31::double as eq, value <> 12.31::double as ne, value > 12.31::double as gt,
   value >= 12.31::double as ge, value < 12.31::double as lt, value <= 12.31::double as le, event_type = 'view' as is_view,
   false as mixed_eq, true as mixed_ne from events""")

@@ -30,6 +30,14 @@ def cur_exact_dedup(t):
   where keep or not (hit_a or hit_b))
 select doc_id, lang from documents where doc_id in (select doc_id from r where state = 'kept')""")
 def cur_two_key_dedup(t):
+    second = F.concat("source", F.lit(":"), F.floor(F.col("n_chars") / 10).cast("string"))
+    return curation.keep_first_in_turn(t.documents, F.col("text"), second, "doc_id").select("doc_id", "lang")
+
+
+@query("""with one as (select min(doc_id) as doc_id from documents group by text)
+select doc_id, lang from documents where doc_id in (select min(doc_id) from documents where doc_id in (select doc_id from one)
+  group by source || ':' || (n_chars // 10))""")
+def cur_two_key_batch(t):
     second = F.concat("source", F.lit(":"), F.floor(F.col("n_chars") / 10).cast("string"))
     return curation.keep_first_of_two(t.documents, F.col("text"), second, "doc_id").select("doc_id", "lang")
 
@@ -84,9 +92,8 @@ def cur_leaks(t):
 @query("""select item_id, item_id not in (select item_id from benchmark b where exists (select 1 from documents d where d.text = b.text)) as clean
 from benchmark""")
 def cur_leak_texts(t):
-    clean = curation.without_leaks(t.benchmark, "text", t.documents, "text").select("item_id", F.lit(True).alias("clean"))
-    leaked = curation.without_leaks(t.benchmark, "text", t.documents, "text", negate=False)
-    return clean.unionByName(leaked.select("item_id", F.lit(False).alias("clean")))
+    marked = curation.mark_leaks(t.benchmark, "text", t.documents, "text", name="leaked")
+    return marked.select("item_id", (~F.col("leaked")).alias("clean"))
 
 
 @query("select event_id, event_type not in ('view', 'click') as same from events")

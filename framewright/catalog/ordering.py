@@ -27,9 +27,10 @@ def sort_desc(t):
     return order.with_position(placed_values(t), *order.descending("value", "event_id"))
 
 
-@query("select event_id, event_type, value from events")
+@query("""select event_id, event_type, value, row_number() over (order by event_type nulls last, value nulls last, event_id) as pos from events""")
 def sort_rows(t):
-    return order.sort(t.events.select("event_id", "event_type", "value"), ["event_type", "value"], "event_id")
+    ordered = order.sort(t.events.select("event_id", "event_type", "value"), ["event_type", "value"], "event_id")
+    return order.numbered(ordered)
 
 
 @query("""select event_type as key, round_even(sum(value), 2) as value,
@@ -42,7 +43,7 @@ def sort_values(t):
 @query("""select vec_id, unnest(s)::double as x, generate_subscripts(s, 1)::bigint as i
 from (select vec_id, list_sort(embedding) as s from embeddings)""")
 def array_sort(t):
-    ordered = t.embeddings.select("vec_id", F.posexplode(F.array_sort("embedding")).alias("i", "x"))
+    ordered = t.embeddings.select("vec_id", F.posexplode(nested.sort_items(F.col("embedding"))).alias("i", "x"))
     return ordered.select("vec_id", (F.col("i") + 1).cast("bigint").alias("i"), F.col("x").cast("double").alias("x"))
 
 
@@ -98,7 +99,7 @@ def rev_rows(t):
 
 @query("select p_partkey, reverse(p_name) as p_name from part")
 def reverse_text(t):
-    return t.part.select("p_partkey", F.reverse("p_name").alias("p_name"))
+    return t.part.select("p_partkey", nested.reversed_items(F.col("p_name")).alias("p_name"))
 
 
 @query("""select o_custkey, row_number() over (order by min(o_orderkey)) as pos from orders group by o_custkey""")
@@ -107,15 +108,24 @@ def uniq_first_seen(t):
     return order.with_position(seen, "first_seen").select("o_custkey", "pos")
 
 
-@query("select distinct p_name from part")
+@query("select p_name, row_number() over (order by min(p_partkey)) as pos from part group by p_name")
 def uniq_values(t):
-    return order.uniq(t.part, "p_name", "p_partkey")
+    return order.numbered(order.uniq(t.part, "p_name", "p_partkey"))
 
 
 @query("select vec_id, len(list_distinct(list_transform(embedding, lambda x: round_even(x::double, 1))))::bigint as n from embeddings")
 def array_uniq(t):
     rounded = F.transform("embedding", lambda x: agg.round_even(x.cast("double"), 1) + F.lit(0.0))
-    return t.embeddings.select("vec_id", F.size(F.array_distinct(rounded)).cast("bigint").alias("n"))
+    return t.embeddings.select("vec_id", nested.count_items(nested.uniq_items(rounded)).alias("n"))
+
+
+@query("""with w as (select p_partkey, u.w, u.i from (select p_partkey, string_split(p_name, '') as ws from part), unnest(ws) with ordinality as u(w, i)),
+c as (select p_partkey, w, count(*) as n, min(i) as first from w group by p_partkey, w)
+select p_partkey, string_agg(w || n, '|' order by n desc, first) as counts from c group by p_partkey""")
+def array_freq(t):
+    pairs = nested.freq_items(F.split("p_name", ""))
+    shown = nested.join_items(pairs, "|", lambda p: F.concat(p["key"], p["value"].cast("string")))
+    return t.part.select("p_partkey", shown.alias("counts"))
 
 
 @query("""select o_custkey as key, count(*) as value,
@@ -125,9 +135,10 @@ def freq(t):
     return order.with_position(counted, *order.descending("value", "first_seen")).select("key", "value", "pos")
 
 
-@query("select p_name as key, count(*) as value from part group by p_name")
+@query("""select p_name as key, count(*) as value, row_number() over (order by count(*) desc, min(p_partkey)) as pos
+from part group by p_name""")
 def freq_table(t):
-    return order.freq(t.part, "p_name", "p_partkey")
+    return order.numbered(order.freq(t.part, "p_name", "p_partkey"))
 
 
 @query("select event_id, value from events order by value desc, event_id limit 7")
@@ -140,7 +151,7 @@ def sort_head(t):
 from (select doc_id, string_split(text, ' ') as w from documents)""")
 def array_sort_by(t):
     w = F.col("w")
-    longest = nested.first_items(nested.sort_items(w, F.length, desc=True), 3)
+    longest = nested.sort_items(w, F.length, desc=True, n=3)
     return t.documents.select("doc_id", F.split("text", " ").alias("w")).select(
         "doc_id",
         F.array_join(longest, "|").alias("longest"),

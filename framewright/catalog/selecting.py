@@ -55,6 +55,35 @@ def where_in_table(t):
     return select.where_in_table(t.documents.select("doc_id"), "doc_id", toxic)
 
 
+def _mixed_orders(t, kind):
+    """Keys of returned items as another number type than the orders have."""
+    picked = t.lineitem.where(F.col("l_returnflag") == "R").select(F.col("l_orderkey").cast(kind).alias("key"))
+    return t.orders.select(F.col("o_orderkey").cast("int").alias("o_orderkey")), picked
+
+
+RETURNED = "(select l_orderkey from lineitem where l_returnflag = 'R')"
+
+
+@query(f"""select kind, o_orderkey from orders, (values ('bigint'), ('double'), ('decimal(12,2)')) as k(kind) where o_orderkey in {RETURNED}""")
+def where_in_table_mixed(t):
+    parts = []
+    for kind in ("bigint", "double", "decimal(12,2)"):
+        orders, picked = _mixed_orders(t, kind)
+        found = select.where_in_table(orders, "o_orderkey", picked, "key")
+        parts.append(found.select(F.lit(kind).alias("kind"), F.col("o_orderkey").cast("bigint").alias("o_orderkey")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(f"""select kind, o_orderkey from orders, (values ('bigint'), ('double')) as k(kind) where o_orderkey not in {RETURNED}""")
+def where_nin_table_mixed(t):
+    parts = []
+    for kind in ("bigint", "double"):
+        orders, picked = _mixed_orders(t, kind)
+        found = select.where_in_table(orders, "o_orderkey", picked, "key", negate=True)
+        parts.append(found.select(F.lit(kind).alias("kind"), F.col("o_orderkey").cast("bigint").alias("o_orderkey")))
+    return parts[0].unionByName(parts[1])
+
+
 @query("select doc_id from documents where doc_id not in (select doc_id from labels where toxic = 1)")
 def where_nin_table(t):
     toxic = select.where(t.labels, "toxic", "eq", 1)

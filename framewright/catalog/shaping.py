@@ -126,10 +126,24 @@ def group_rows(t):
 def slice_text(t):
     names = t.events.select("event_id", *[F.col("event_type").alias(n) for n in ("head", "tail", "middle")])
     names = shape.slice_column(names, "head", 0, 3)
-    names = shape.slice_column(names, "tail", -3, 1_000)
+    names = shape.slice_column(names, "tail", -3, None)
     return shape.slice_column(names, "middle", 1, -1)
 
 
+@query("""select doc_id, right(text, 3) as tail, substr(text, 3) as rest, left(text, greatest(length(text) - 2, 0)) as front from documents""")
+def slice_long_text(t):
+    names = t.documents.select("doc_id", *[F.col("text").alias(n) for n in ("tail", "rest", "front")])
+    names = shape.slice_column(names, "tail", -3, None)
+    names = shape.slice_column(names, "rest", 2, None)
+    return shape.slice_column(names, "front", None, -2)
+
+
+@query("select conv_id, string_agg(role || ': ' || text, chr(10) order by turn) as talk from conversations group by conv_id")
+def join_rows_of_group(t):
+    said = t.conversations.select("conv_id", "turn", F.concat("role", F.lit(": "), "text").alias("line"))
+    return shape.join_rows(said, "conv_id", "line", "turn", "\n", name="talk")
+
+
 @query("select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: w[1:2]), '|') as heads from part")
 def slice_array(t):
     words = t.part.select("p_partkey", F.split("p_name", " ").alias("heads"))

@@ -38,6 +38,22 @@ def src_csv_declared(t):
     return readers.csv(t.spark, folder, "o_orderkey bigint, o_orderstatus string, o_totalprice double, o_date string")
 
 
+@query("select o_orderkey + 1000000000000000000 as id, o_custkey - 1000000000000000000 as other from orders")
+def src_csv_large_ids(t):
+    folder = scratch_path(t.spark)
+    large = F.lit(1_000_000_000_000_000_000)
+    sinks.save_csv(t.orders.select((F.col("o_orderkey") + large).alias("id"), (F.col("o_custkey") - large).alias("other")), folder)
+    return readers.csv(t.spark, folder)
+
+
+@query("""select doc_id, '  ' || replace(text, 'e', '"') || chr(10) || ' end ' as text from documents""")
+def sink_csv_texts(t):
+    folder = scratch_path(t.spark)
+    framed = F.concat(F.lit("  "), F.regexp_replace("text", "e", '"'), F.lit("\n end "))
+    kept = sinks.save_csv(t.documents.select("doc_id", framed.alias("text")), folder)
+    return readers.csv(t.spark, folder, kept.schema, multi_line=True)
+
+
 @query(ORDER_ROWS)
 def sink_csv_roundtrip(t):
     folder = scratch_path(t.spark)

@@ -167,7 +167,9 @@ def _filled(text: str, piece) -> Column:
     """One ``concat`` of the literal parts of ``text`` and ``piece(name, spec)`` for its fields."""
     pieces: list[Column] = []
     automatic = 0
-    for literal, name, spec, _ in Formatter().parse(text):
+    for literal, name, spec, conversion in Formatter().parse(text):
+        if conversion or (name and ("." in name or "[" in name)):
+            raise ValueError(f"field {name!r}: conversions and parts of values are not supported")
         if literal:
             pieces.append(F.lit(literal))
         if name is None:

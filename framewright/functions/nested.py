@@ -41,14 +41,16 @@ def last_items(items: Column, n: int) -> Column:
     return F.slice(items, F.greatest(F.size(items) - F.lit(n), F.lit(0)) + 1, F.lit(n))
 
 
-def sort_items(items: Column, key=lambda x: x, desc: bool = False) -> Column:
-    """Sort an array by ``key(element)``; equal keys keep their order, missing keys come last."""
+def sort_items(items: Column, key=lambda x: x, desc: bool = False, n: int | None = None) -> Column:
+    """Sort an array by ``key(element)``; equal keys keep their order, missing keys come last. ``n``: the first so many only."""
 
     def mark(x: Column, i: Column) -> Column:
         known = key(x).isNotNull() if desc else key(x).isNull()
         return F.struct(known.alias("known"), key(x).alias("key"), (-i if desc else i).alias("at"))
 
     places = F.sort_array(F.transform(items, mark), asc=not desc)
+    if n is not None:
+        places = F.slice(places, 1, n)
     return F.transform(places, lambda p: F.get(items, -p["at"] if desc else p["at"]))
 
 
@@ -57,9 +59,48 @@ def top_items(items: Column, n: int) -> Column:
     return F.slice(F.sort_array(items, asc=False), 1, n)
 
 
-def array_sum(items: Column) -> Column:
-    """Sum of an array; nulls are skipped, the empty array gives zero."""
-    return F.aggregate(items, F.lit(0.0), lambda total, x: total + F.coalesce(x.cast("double"), F.lit(0.0)))
+def array_sum(items: Column, kind: str = "double") -> Column:
+    """Sum of an array as type ``kind`` (``bigint`` keeps whole numbers exact); nulls are skipped, the empty array gives zero."""
+    zero = F.lit(0).cast(kind)
+    return F.aggregate(items, zero, lambda total, x: total + F.coalesce(x.cast(kind), zero))
+
+
+def join_items(items: Column, sep: str, show=lambda x: x.cast("string")) -> Column:
+    """The elements as texts, joined by ``sep``; ``show`` makes the text of an element, nulls are passed over."""
+    return F.array_join(F.transform(items, show), sep)
+
+
+def reversed_items(c: Column) -> Column:
+    """A text or an array, last character or element first."""
+    return F.reverse(c)
+
+
+def uniq_items(items: Column) -> Column:
+    """Distinct elements in order of first appearance."""
+    return F.array_distinct(items)
+
+
+def count_items(items: Column) -> Column:
+    """Number of elements, nulls included; a null array has none to count."""
+    return F.size(items).cast("bigint")
+
+
+def count_characters(text: Column) -> Column:
+    return F.length(text).cast("bigint")
+
+
+def nuniq_items(items: Column) -> Column:
+    """Number of distinct elements that are not null."""
+    return F.size(F.array_distinct(F.filter(items, lambda x: x.isNotNull()))).cast("bigint")
+
+
+def freq_items(items: Column) -> Column:
+    """``(key, value)`` of every distinct element and how often it occurs, most frequent first, ties as first seen."""
+
+    def counted(x: Column) -> Column:
+        return F.struct(x.alias("key"), F.size(F.filter(items, lambda y: y.eqNullSafe(x))).cast("bigint").alias("value"))
+
+    return sort_items(F.transform(F.array_distinct(items), counted), lambda pair: pair["value"], desc=True)
 
 
 def array_mean(items: Column) -> Column:

@@ -71,11 +71,18 @@ def true_div(a: Column, n, strict: bool = False) -> Column:
 
 
 def power(a: Column, n, integral: bool = False) -> Column:
-    """``a`` to the power ``n``; with ``integral`` the result is a whole number."""
-    if integral and isinstance(n, int) and 0 <= n <= 8:
-        result = F.lit(1).cast("bigint")
-        for _ in range(n):
-            result = result * a.cast("bigint")
+    """``a`` to the power ``n``; with ``integral`` the result is a whole number, exact for every exponent.
+
+    Repeated squaring on ``bigint``; a result that does not fit raises under ANSI rules.
+    """
+    if integral and isinstance(n, int) and n >= 0:
+        result, square = F.lit(1).cast("bigint"), a.cast("bigint")
+        while n:
+            if n & 1:
+                result = result * square
+            n >>= 1
+            if n:
+                square = square * square
         return result
     raised = F.pow(a.cast("double"), as_column(n).cast("double"))
     return raised.cast("bigint") if integral else raised

@@ -41,9 +41,13 @@ def split_on(text: Column, separator: str) -> Column:
     return F.split(text, re.escape(separator), -1)
 
 
-def slice_text(text: Column, start: int, stop: int) -> Column:
-    """Characters ``start`` to ``stop`` (excluded); negative positions count from the end."""
+def slice_text(text: Column, start: int | None, stop: int | None) -> Column:
+    """Characters ``start`` to ``stop`` (excluded); negative positions count from the end, None is an open end."""
     size = F.length(text)
+    start = 0 if start is None else start
+    if stop is None:
+        first = F.lit(start) if start >= 0 else F.greatest(size + start, F.lit(0))
+        return F.substring(text, first + 1, size)
 
     def position(p: int) -> Column:
         if p >= 0:

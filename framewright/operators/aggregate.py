@@ -45,8 +45,16 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+def wide_columns(df: DataFrame, measure: Callable[[Column], Column], names: list[str] | None = None) -> DataFrame:
+    """One row with ``measure`` of every column (text columns too), each in its own type."""
+    return df.agg(*[measure(F.col(n)).alias(n) for n in names or df.columns])
+
+
 def agg_all_columns(df: DataFrame, measure: Callable[[Column], Column], names: list[str] | None = None) -> DataFrame:
-    """``measure`` of every numeric column as ``(column, value)`` rows, from one pass over the table."""
+    """``measure`` of every numeric column as ``(column, value)`` rows, from one pass over the table.
+
+    The long form has one type, double; ``wide_columns`` keeps whole numbers above 2^53 and texts exact.
+    """
     names = names or numeric_columns(df)
     wide = df.agg(*[measure(F.col(n)).cast("double").alias(n) for n in names])
     return wide.unpivot([], names, "column", "value")

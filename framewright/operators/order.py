@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from framewright.session import cut_lineage
 
-# Up to this many rows a top-k is one bounded heap per task; longer cuts go by position.
-HEAP_ROWS = 10_000
 LOCAL_BITS = 33  # monotonically_increasing_id: partition above, row inside the partition below
 
 
@@ -35,7 +33,11 @@ def with_position(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     sizes of the partitions before; the sorted rows are checkpointed first, so both are read from
     the same partitions. The sizes are one row per partition, whatever the data volume.
     """
-    placed = cut_lineage(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()))
+    return _placed(df.orderBy(*order), name)
+
+
+def _placed(ordered: DataFrame, name: str) -> DataFrame:
+    placed = cut_lineage(ordered.withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", LOCAL_BITS)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -49,6 +51,11 @@ def with_position(df: DataFrame, *order, name: str = "pos") -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, name: str = "pos") -> DataFrame:
+    """The rows of an ordered table, numbered 1, 2, 3 ... as they stand (checkpoints them, see ``with_position``)."""
+    return _placed(df, name)
+
+
 def sort(df: DataFrame, names, seq=None, desc: bool = False) -> DataFrame:
     """Sort by one or more columns, missing values last, equal values in the order of ``seq``."""
     return df.orderBy(*(descending if desc else ascending)(names, seq))
@@ -59,9 +66,15 @@ def rsort(df: DataFrame, names, seq=None) -> DataFrame:
 
 
 def cut(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """The first ``n`` rows in ``order``."""
-    if n <= HEAP_ROWS:
-        return df.orderBy(*order).limit(n)
+    """The first ``n`` rows in ``order``: a lazy top-k, whose ``n`` rows come together in one task.
+
+    For cuts that are too long for that, ``cut_by_position`` keeps the rows spread.
+    """
+    return df.orderBy(*order).limit(n)
+
+
+def cut_by_position(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first ``n`` rows in ``order``, spread over the partitions of a range sort (runs a job, see ``with_position``)."""
     return with_position(df, *order, name="_at").where(F.col("_at") <= n).drop("_at")
 
 

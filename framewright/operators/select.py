@@ -58,10 +58,14 @@ def condition(c: Column, dtype: T.DataType, op: str, value) -> Column:
     ``ne`` and ``nin`` keep nulls, the others drop them. A literal of another type is never equal.
     """
     if op in ("in", "nin"):
-        usable = [v for v in items(value) if v is not None and comparable(dtype, v)]
-        if not usable:
-            return F.lit(op == "nin")
-        return c.isNull() | ~c.isin(usable) if op == "nin" else c.isin(usable)
+        wanted = items(value)
+        usable = [v for v in wanted if v is not None and comparable(dtype, v)]
+        found = c.isin(usable) if usable else F.lit(False)
+        # a missing value is in the list only if the list holds one
+        found = F.when(c.isNull(), F.lit(None in wanted)).otherwise(found)
+        if op == "nin":
+            return ~found
+        return c.isin(usable) if usable and None not in wanted else found
     if op == "has":
         if isinstance(dtype, T.StringType):
             return c.contains(str(value))
@@ -89,23 +93,59 @@ def where(df: DataFrame, field, op: str, value) -> DataFrame:
     return df.where(condition(path(field), field_type(df, field), op, value))
 
 
-def same_key(key: Column, other: Column) -> Column:
+def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
+    """The type in which values of both types compare as numbers, times or texts; raises if there is none."""
+    if left == right:
+        return left
+    if isinstance(left, T.NumericType) and isinstance(right, T.NumericType):
+        if isinstance(left, T.IntegralType) and isinstance(right, T.IntegralType):
+            return T.LongType()
+        if isinstance(left, T.FractionalType) and isinstance(right, T.FractionalType) and not (
+            isinstance(left, T.DecimalType) and isinstance(right, T.DecimalType)
+        ):
+            return T.DoubleType()
+        whole, scale = (max(k) for k in zip(_digits(left), _digits(right), strict=True))
+        if whole is None or whole + scale > 38:
+            return T.DoubleType()
+        return T.DecimalType(whole + scale, scale)
+    times = (T.DateType, T.TimestampType, T.TimestampNTZType)
+    if isinstance(left, times) and isinstance(right, times):
+        return T.TimestampType()
+    if isinstance(left, T.StringType) and isinstance(right, T.StringType):
+        return T.StringType()
+    raise TypeError(f"{left.simpleString()} and {right.simpleString()} have no values in common")
+
+
+def _digits(dtype: T.DataType) -> tuple[int, int]:
+    """Digits before and after the point that hold every value; a float needs more than a decimal has."""
+    if isinstance(dtype, T.DecimalType):
+        return dtype.precision - dtype.scale, dtype.scale
+    return (20, 0) if isinstance(dtype, T.IntegralType) else (38, 38)
+
+
+def same_key(key: Column, other: Column, types: tuple[T.DataType, T.DataType] | None = None) -> Column:
     """Join condition between rows and a side that was grouped by its key before; null equals null.
 
-    The hash, a second join key, makes Spark shuffle the grouped side anew. Only between two plain
-    shuffles can AQE split the partition of a hot key.
+    ``types`` are the types of both sides; where they differ, both are cast to a common one first, so that an
+    ``int`` key meets a ``bigint`` or a ``double`` one. The hash, a second join key, makes Spark shuffle the
+    grouped side anew. Only between two plain shuffles can AQE split the partition of a hot key.
     """
+    if types is not None and types[0] != types[1]:
+        shared = common_type(*types)
+        key, other = key.cast(shared), other.cast(shared)
     return key.eqNullSafe(other) & (F.xxhash64(key) == F.xxhash64(other))
 
 
 def where_in_table(df: DataFrame, field: str, table: DataFrame, key: str | None = None, negate: bool = False) -> DataFrame:
     """Keep the rows whose ``field`` is (not) among the values held in ``table``.
 
+    Numbers of different types compare by value; values of types that cannot be equal raise a TypeError.
     A semi or anti join on the distinct values: Spark broadcasts them when their measured size
     allows it and otherwise joins by key, splitting partitions that a hot key makes too large.
     """
     wanted = table.select(F.col(key or field).alias("_wanted")).where(F.col("_wanted").isNotNull()).distinct()
-    return df.join(wanted, same_key(path(field), F.col("_wanted")), "left_anti" if negate else "left_semi")
+    types = (field_type(df, field), wanted.schema["_wanted"].dataType)
+    return df.join(wanted, same_key(path(field), F.col("_wanted"), types), "left_anti" if negate else "left_semi")
 
 
 def filter_rows(df: DataFrame, predicate: Column) -> DataFrame:

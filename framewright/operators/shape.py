@@ -73,13 +73,20 @@ def vals(df: DataFrame, name: str | None = None) -> DataFrame:
     return df.select("value") if name is None else df.withColumn(name, F.map_values(name))
 
 
-def slice_column(df: DataFrame, name: str, start: int, stop: int) -> DataFrame:
-    """Cut a text column, or every text of an array column, to ``[start:stop]``."""
+def slice_column(df: DataFrame, name: str, start: int | None, stop: int | None) -> DataFrame:
+    """Cut a text column, or every text of an array column, to ``[start:stop]``; None is an open end."""
     if isinstance(df.schema[name].dataType, T.ArrayType):
         return df.withColumn(name, F.transform(name, lambda t: slice_text(t, start, stop)))
     return df.withColumn(name, slice_text(F.col(name), start, stop))
 
 
+def join_rows(df: DataFrame, key: str, text: str, seq: str, sep: str, name: str = "joined") -> DataFrame:
+    """One text per key: its rows' texts in the order of ``seq``. A key's texts come together in one value, so groups must be
+    small enough for a cell."""
+    parts = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("at"), F.col(text).alias("part"))))
+    return df.groupBy(key).agg(F.array_join(F.transform(parts, lambda p: p["part"]), sep).alias(name))
+
+
 def group_rows(df: DataFrame, key: str, seq: str, keep_null: bool = False) -> DataFrame:
     """All rows, group after group in order of first appearance, numbered inside their group.
 

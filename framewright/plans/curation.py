@@ -40,25 +40,44 @@ def keep_first(examples: DataFrame, key: Column, seq: str) -> DataFrame:
 
 
 def keep_first_of_two(examples: DataFrame, first_key: Column, second_key: Column, seq: str) -> DataFrame:
+    """The first row of every first key, and of these the first row of every second key.
+
+    Two aggregates, one after the other, and no job while the plan is built. A row whose second key belongs to an
+    earlier row that fell out under its own first key stays open here to the rows that are left; going through the
+    rows in turn (``keep_first_in_turn``) can keep others.
+    """
+    keys = examples.select(F.col(seq).alias("_seq"), digest(first_key).alias("_a"), digest(second_key).alias("_b"))
+    one = keys.groupBy("_a").agg(F.min(F.struct("_seq", "_b")).alias("_row")).select("_row._seq", "_row._b")
+    two = one.groupBy("_b").agg(F.min("_seq").alias("_seq"))
+    return examples.join(two.select("_seq"), F.col(seq) == F.col("_seq"), "left_semi")
+
+
+def keep_first_in_turn(examples: DataFrame, first_key: Column, second_key: Column, seq: str) -> DataFrame:
     """Rows taken in order, each one dropped if either of its keys belongs to a row kept before.
 
-    In every round the rows that come first under both of their keys are kept, and the rows that
-    share a key with them fall out. What remains is decided in the next round; few rows remain
-    after the first. The result is that of going through the rows one by one.
+    In every round the rows that come first under both of their keys are kept, and the rows that share a key with
+    them fall out; the result is that of going through the rows one by one. A round is one checkpoint of the keys that
+    are kept or still open, and there are as many rounds as the longest chain of rows that share keys pairwise is long:
+    for tables with long chains use ``keep_first_of_two``.
     """
-    open_rows = examples.select(F.col(seq).alias("_seq"), digest(first_key).alias("_a"), digest(second_key).alias("_b"))
+    rows = examples.select(F.col(seq).alias("_seq"), digest(first_key).alias("_a"), digest(second_key).alias("_b"))
     # full copies fall out at once
-    open_rows = cut_lineage(open_rows.groupBy("_a", "_b").agg(F.min("_seq").alias("_seq")))
-    kept = []
-    while not open_rows.isEmpty():
-        lead_a = open_rows.groupBy("_a").agg(F.min("_seq").alias("_seq"))
-        lead_b = open_rows.groupBy("_b").agg(F.min("_seq").alias("_seq"))
-        winners = cut_lineage(lead_a.join(lead_b, "_seq"))
-        kept.append(winners.select("_seq"))
-        rest = open_rows.join(winners.select("_a"), "_a", "left_anti").join(winners.select("_b"), "_b", "left_anti")
-        open_rows = cut_lineage(rest)
-    chosen = reduce(DataFrame.unionAll, kept) if kept else open_rows.select("_seq")
-    return examples.join(chosen, F.col(seq) == F.col("_seq"), "left_semi")
+    state = rows.groupBy("_a", "_b").agg(F.min("_seq").alias("_seq")).withColumn("_kept", F.lit(False))
+    while True:
+        undecided = state.where(~F.col("_kept"))
+        lead_a = undecided.groupBy("_a").agg(F.min("_seq").alias("_seq"))
+        lead_b = undecided.groupBy("_b").agg(F.min("_seq").alias("_seq"))
+        winners = lead_a.join(lead_b, "_seq")
+        by_a = winners.select("_a", F.col("_seq").alias("_win_a"))
+        by_b = winners.select("_b", F.col("_seq").alias("_win_b"))
+        judged = undecided.join(by_a, "_a", "left").join(by_b, "_b", "left")
+        won = F.coalesce((F.col("_win_a") == F.col("_seq")) & (F.col("_win_b") == F.col("_seq")), F.lit(False))
+        open_still = F.col("_win_a").isNull() & F.col("_win_b").isNull()
+        rest = judged.withColumn("_kept", won).where(won | open_still).select(*state.columns)
+        state = cut_lineage(state.where("_kept").unionByName(rest))
+        if state.where(~F.col("_kept")).agg(F.count(F.lit(1))).first()[0] == 0:
+            break
+    return examples.join(state.select("_seq"), F.col(seq) == F.col("_seq"), "left_semi")
 
 
 def hash_bucket(text: Column, buckets: int = 100) -> Column:
@@ -125,6 +144,13 @@ def without_leaks(examples: DataFrame, answer: str, banned: DataFrame, banned_an
     return examples.join(leaked, digest(F.col(answer)) == F.col("_answer"), how)
 
 
+def mark_leaks(examples: DataFrame, answer: str, banned: DataFrame, banned_answer: str, name: str = "leaked") -> DataFrame:
+    """All rows, with whether their answer reproduces a banned one; both tables are shaped once."""
+    leaked = leaked_answers(examples, answer, banned, banned_answer).withColumn("_hit", F.lit(True))
+    marked = examples.join(leaked, digest(F.col(answer)) == F.col("_answer"), "left")
+    return marked.withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_hit", "_answer")
+
+
 def row_differences(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that do not occur equally often in both tables, with the count in each.
 
@@ -226,14 +252,19 @@ def domain_check(table: DataFrame, declared: dict[str, list]) -> DataFrame:
     return table.agg(F.array(*counters).alias("checks")).select(F.inline("checks"))
 
 
-def prompt_rows(examples: DataFrame, descriptions: DataFrame, key: str, task: str, answer: str, intro: Column, closing: str):
+def prompt_rows(
+    examples: DataFrame, descriptions: DataFrame, key: str, task: str, answer: str, intro: Column, closing: str,
+    headings: tuple[str, str] = ("# Data", "# Task"),
+):
     """Prompt text and completion of every example, next to the description of its table.
 
-    The prompt is the intro, the description if there is one, the task, and a closing instruction.
+    The prompt is the intro, the description if there is one, the task, and a closing instruction; ``headings`` stand
+    over the description and the task.
     """
     about = descriptions.where(F.col(key).isNotNull()).withColumnRenamed(key, "_key")
-    described = examples.join(about, same_key(F.col(key), F.col("_key")), "left")
-    data = F.when(F.col("description") != "", F.concat(F.lit("# Data\n\n"), texts.strip(F.col("description"))))
-    ask = F.concat(F.lit("# Task\n\n"), texts.strip(F.col(task)), F.lit("\n\n" + closing))
+    types = (examples.schema[key].dataType, about.schema["_key"].dataType)
+    described = examples.join(about, same_key(F.col(key), F.col("_key"), types), "left")
+    data = F.when(F.col("description") != "", F.concat(F.lit(headings[0] + "\n\n"), texts.strip(F.col("description"))))
+    ask = F.concat(F.lit(headings[1] + "\n\n"), texts.strip(F.col(task)), F.lit("\n\n" + closing))
     prompt = F.concat(F.concat_ws("\n\n", F.regexp_replace(intro, r"\s+$", ""), data, ask), F.lit("\n"))
     return described.withColumn("prompt", prompt).withColumn("completion", F.col(answer)).drop("_key", "description")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from framewright.functions.formatting import fixed_decimals
 from framewright.functions.numbers import true_div
-from framewright.functions.text import lines
+from framewright.functions.text import lines, strip
 from framewright.operators.aggregate import rows, total
 from framewright.operators.order import top
-from framewright.operators.select import same_key, where_in_table
+from framewright.operators.select import common_type, same_key, where_in_table
 from framewright.session import cut_lineage
 
 
@@ -68,11 +68,23 @@ def fair(results: DataFrame, flagged: DataFrame, key: str) -> DataFrame:
     return where_in_table(results, key, flagged, key, negate=True)
 
 
-def label_split(results: DataFrame, labelled: DataFrame, flagged: DataFrame, key: str, ok: Column) -> DataFrame:
-    """One row: the score on questions without and with a label, flagged questions left out."""
-    marks = labelled.where(F.col(key).isNotNull()).select(F.col(key).alias("_id")).distinct()
-    marks = marks.withColumn("_labelled", F.lit(True))
-    rows_ = fair(results, flagged, key).join(marks, same_key(F.col(key), F.col("_id")), "left")
+def label_split(
+    results: DataFrame, labelled: DataFrame, flagged: DataFrame, key: str, ok: Column, sets: tuple[str, list] | None = None
+) -> DataFrame:
+    """One row: the score on questions without and with a label, flagged questions left out.
+
+    ``sets`` names a column and the sets that count (all if it is not given). Labels and flags come in as one table,
+    a row per id, so there is one join, whose hot ids AQE can split.
+    """
+    if sets is not None:
+        results = results.where(F.col(sets[0]).isin(sets[1]))
+    shared = common_type(labelled.schema[key].dataType, flagged.schema[key].dataType)
+    ids = labelled.select(F.col(key).cast(shared).alias("_id"), F.lit(True).alias("_l"), F.lit(False).alias("_f")).unionByName(
+        flagged.select(F.col(key).cast(shared).alias("_id"), F.lit(False).alias("_l"), F.lit(True).alias("_f"))
+    )
+    marks = ids.where("_id is not null").groupBy("_id").agg(F.max("_l").alias("_labelled"), F.max("_f").alias("_flagged"))
+    types = (results.schema[key].dataType, shared)
+    rows_ = results.join(marks, same_key(F.col(key), F.col("_id"), types), "left").where(~F.coalesce("_flagged", F.lit(False)))
     has_label = F.coalesce(F.col("_labelled"), F.lit(False))
     return rows_.agg(score(ok, ~has_label).alias("without_label"), score(ok, has_label).alias("with_label"))
 
@@ -93,12 +105,13 @@ def last_k_mean(log: DataFrame, step: str, value: str, k: int = 5) -> DataFrame:
 
 
 def text_size(texts: DataFrame, text: str, version: str, base: str) -> DataFrame:
-    """Characters, lines and words per version and in all, and how many times longer than ``base``."""
+    """Characters, lines and words per version and in all, without blanks around a text, and how many times longer than ``base``."""
+    body = strip(F.col(text))
     sizes = texts.select(
         F.col(version),
-        F.length(text).alias("_chars"),
-        F.size(lines(F.col(text))).alias("_lines"),
-        F.regexp_count(F.col(text), F.lit(r"\S+")).alias("_words"),
+        F.length(body).alias("_chars"),
+        F.size(lines(body)).alias("_lines"),
+        F.regexp_count(body, F.lit(r"\S+")).alias("_words"),
     )
     names = ("chars", "lines", "words")
     # one row per version, kept, so that the texts are read once for all that follows

@@ -19,22 +19,29 @@ MISSING = [
 def csv(spark: SparkSession, path, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
     """CSV files with a header. Dates stay text; the usual words for a missing value become null.
 
-    With a ``schema`` the files are read once. Without one, a first distributed pass finds for
+    Blanks around a cell are part of it. ``multi_line`` reads cells with line breaks, as ``save_csv`` may write
+    them; each file is then one task, and a folder of part files is still read by many. With a ``schema`` the files
+    are read once. Without one, a first distributed pass finds for
     every column whether all its values are whole numbers, numbers or truth values.
     """
-    names = spark.read.csv(path, header=True, quote='"', escape='"').columns if schema is None else None
+    kept = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    names = spark.read.csv(path, multiLine=multi_line, **kept).columns if schema is None else None
     as_text = (
         T.StructType([T.StructField(n, T.StringType()) for n in names])
         if names is not None
         else T.StructType([T.StructField(f.name, T.StringType()) for f in _schema(schema).fields])
     )
-    raw = spark.read.csv(path, header=True, schema=as_text, quote='"', escape='"', multiLine=multi_line)
+    raw = spark.read.csv(path, schema=as_text, multiLine=multi_line, **kept)
     cells = {n: F.when(~F.col(f"`{n}`").isin(MISSING), F.col(f"`{n}`")) for n in raw.columns}
     if schema is not None:
-        return raw.select(*[cells[f.name].cast(f.dataType).alias(f.name) for f in _schema(schema).fields])
+        return raw.select(*[_typed(cells[f.name], f.dataType).alias(f.name) for f in _schema(schema).fields])
     clean = raw.select(*[c.alias(n) for n, c in cells.items()])
     kinds = clean.agg(*[_kind(F.col(f"`{n}`")).alias(n) for n in clean.columns]).first()
-    return clean.select(*[F.col(f"`{n}`").cast(kinds[n]).alias(n) for n in clean.columns])
+    return clean.select(*[_typed(F.col(f"`{n}`"), T.StructType.fromDDL(f"c {kinds[n]}")[0].dataType).alias(n) for n in clean.columns])
+
+
+def _typed(c: Column, dtype: T.DataType) -> Column:
+    return c if isinstance(dtype, T.StringType) else F.btrim(c).cast(dtype)
 
 
 def _schema(schema) -> T.StructType:
@@ -49,7 +56,7 @@ def _kind(c: Column) -> Column:
         return F.count_if(filled & ~F.coalesce(test, F.lit(False))) == 0
 
     return (
-        F.when(every(c.rlike(r"^\s*[+-]?\d{1,18}\s*$")), F.when(missing, "double").otherwise("bigint"))
+        F.when(every(c.rlike(r"^\s*[+-]?\d+\s*$") & F.btrim(c).try_cast("bigint").isNotNull()), F.when(missing, "double").otherwise("bigint"))
         .when(every(c.rlike(r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$")), "double")
         .when(every(c.isin("True", "False", "TRUE", "FALSE", "true", "false")) & ~missing, "boolean")
         .otherwise("string")

@@ -13,8 +13,11 @@ from framewright.functions.formatting import template, value_text
 
 
 def save_csv(df: DataFrame, folder: str) -> DataFrame:
-    """The table as CSV with a header."""
-    df.write.mode("overwrite").csv(folder, header=True, quote='"', escape='"')
+    """The table as CSV with a header. Blanks and line breaks in cells are kept; ``readers.csv`` reads the latter with
+    ``multi_line``."""
+    df.write.mode("overwrite").csv(
+        folder, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     return df
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from framewright import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -31,10 +32,10 @@ def rows(frame):
     return sorted(found, key=lambda r: tuple((v is not None, str(type(v)), v) if v is not None else (False, "", 0) for v in r))
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_its_sql(spark, sql, testdata, name):
-    got = entry.queries()[name](spark, testdata).toPandas()
-    want = sql.execute(entry.oracle_sql()[name]).df()
+    got = catalog.QUERIES[name](spark, testdata).toPandas()
+    want = sql.execute(catalog.SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
@@ -54,13 +55,13 @@ def plan(frame):
     ],
 )
 def test_filters_reach_the_scan(spark, testdata, capsys, name, pushed):
-    entry.queries()[name](spark, testdata).explain("formatted")
+    catalog.QUERIES[name](spark, testdata).explain("formatted")
     line = next(x for x in capsys.readouterr().out.splitlines() if x.startswith("PushedFilters"))
     assert pushed in line
 
 
 def test_no_query_pairs_all_rows(spark, testdata):
-    for name, query in entry.queries().items():
+    for name, query in catalog.QUERIES.items():
         text = plan(query(spark, testdata))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 

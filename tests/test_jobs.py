@@ -115,7 +115,7 @@ def test_two_keys_equal_going_one_by_one(spark):
     rows += [(1000 + i, 0, rnd.randint(0, 500)) for i in range(300)]  # a hot key
     rows += [(2000 + i, 900 + i // 2, 900 + (i + 1) // 2) for i in range(12)]  # a chain: each shares a key with the next
     frame = spark.createDataFrame(rows, "id bigint, a bigint, b bigint").repartition(6)
-    got = curation.keep_first_of_two(frame, F.col("a"), F.col("b"), "id")
+    got = curation.keep_first_in_turn(frame, F.col("a"), F.col("b"), "id")
     assert sorted(r.id for r in got.collect()) == one_by_one(rows)
 
 
@@ -127,40 +127,48 @@ def test_hash_split(spark):
         assert (r.bucket, r.split) == (bucket, "test" if bucket < 4 else "val" if bucket < 8 else "train")
 
 
-def plain_same_output(a, b):
-    number = re.compile(text.NUMBER)
-
-    def same(x, y):
-        nx, ny = number.findall(x), number.findall(y)
-        alike = number.sub("#", x.strip()) == number.sub("#", y.strip()) and len(nx) == len(ny)
-        return alike and all(abs(float(p) - float(q)) < 0.01 for p, q in zip(nx, ny))
-
-    xs, ys = ([line for line in t.splitlines() if line.strip()] for t in (a, b))
-    return len(xs) == len(ys) and all(map(same, xs, ys))
-
-
-def test_leaks_equal_comparing_all_pairs(spark):
-    rnd = random.Random(11)
-
-    def number():
-        return rnd.choice([rnd.randint(-3, 3), rnd.uniform(-2, 2), 1e6 + rnd.uniform(-1, 1), 4785380592391139, rnd.uniform(0, 1e13)])
-
-    def answer():
-        lines = [rnd.choice(["total: {}", "{}", "# {}", "{} of {}", "no number"]) for _ in range(rnd.randint(1, 3))]
-        return "\n".join(line.replace("{}", str(round(number(), 3)), 1).replace("{}", str(number()), 1) for line in lines)
-
-    def shake(t):
-        moved = re.sub(r"\d+\.\d+", lambda m: f"{float(m[0]) + rnd.choice([0, 0.004, -0.009, 0.0101, 0.02]):.6f}", t)
-        return rnd.choice([moved, "\n" + moved.replace("\n", "\n \n"), " " + moved, moved + "\nmore"])
-
-    banned = [answer() for _ in range(150)]
-    answers = [shake(rnd.choice(banned)) for _ in range(250)] + [answer() for _ in range(100)] + ["", "\n"]
-    frame = spark.createDataFrame(list(enumerate(answers)), "id bigint, a string")
-    against = spark.createDataFrame([(b,) for b in banned], "b string")
-    got = {r.id for r in curation.without_leaks(frame, "a", against, "b").collect()}
-    assert got == {i for i, a in enumerate(answers) if not any(plain_same_output(a, b) for b in banned)}
-    leaks = {r.id for r in curation.without_leaks(frame, "a", against, "b", negate=False).collect()}
-    assert leaks == set(range(len(answers))) - got and 50 < len(leaks) < 300
+OFF = (0.0, 0.004, -0.006, 0.02, -3.0)  # the first three are within the tolerance
+
+
+def answers_by_rule(rnd, words, count):
+    """Answers with a frame and numbers kept apart, so that equality is known from how they were made."""
+    made = []
+    for _ in range(count):
+        shape = tuple(rnd.choice(words) for _ in range(rnd.randint(1, 3)))
+        made.append((shape, [rnd.choice((rnd.randint(-9, 9), round(rnd.uniform(-50, 50), 2))) for _ in shape]))
+    return made
+
+
+def written(shape, values, blank=""):
+    return blank + f"\n{blank}".join(f"{word} is {value!r}" for word, value in zip(shape, values)) + blank
+
+
+def test_leaks_are_told_by_how_they_were_made(spark):
+    rnd = random.Random(23)
+    banned = answers_by_rule(rnd, ("alpha", "beta", "gamma"), 120)
+    shown, leaking = [], set()
+    for shape, values in banned:
+        for off in OFF:
+            moved = [v + off for v in values] if off else values
+            if abs(off) < 0.01:
+                leaking.add(len(shown))
+            shown.append(written(shape, moved, rnd.choice(("", " ", "\n"))))
+    for shape, values in answers_by_rule(rnd, ("delta", "epsilon"), 80):
+        shown.append(written(shape, values))
+    shown += ["", "\n", written(banned[0][0], banned[0][1]) + "\nand more"]
+    # a moved answer may come near another banned one with the same words
+    for at, text_ in enumerate(shown):
+        own = re.findall(r"(\w+) is (-?[\d.]+(?:e-?\d+)?)", text_)
+        for shape, values in banned:
+            if tuple(w for w, _ in own) == shape and "more" not in text_ and all(abs(float(x) - v) < 0.01 for (_, x), v in zip(own, values)):
+                leaking.add(at)
+    frame = spark.createDataFrame(list(enumerate(shown)), "id bigint, a string")
+    against = spark.createDataFrame([(written(*b),) for b in banned], "b string")
+    assert {r.id for r in curation.without_leaks(frame, "a", against, "b", negate=False).collect()} == leaking
+    assert {r.id for r in curation.without_leaks(frame, "a", against, "b").collect()} == set(range(len(shown))) - leaking
+    marked = curation.mark_leaks(frame, "a", against, "b")
+    assert {r.id for r in marked.collect() if r.leaked} == leaking and marked.count() == len(shown)
+    assert 300 < len(leaking) < 500
 
 
 def test_row_differences(spark):
@@ -216,6 +224,16 @@ def test_prompt_rows(spark):
         "t1": ("Rules\n\n# Data\n\na table\n\n# Task\n\ncount rows\n\nCode only.\n", "n"),
         "t2": ("Rules\n\n# Task\n\nsum\n\nCode only.\n", "s"),
     }
+    mixed = spark.createDataFrame([(3, "go", "x")], "tab int, task string, answer string")
+    named = spark.createDataFrame([(3.0, "three")], "tab double, description string")
+    made = curation.prompt_rows(mixed, named, "tab", "task", "answer", F.lit("Do."), "End.", headings=("About", "Job")).first()
+    assert made.prompt == "Do.\n\nAbout\n\nthree\n\nJob\n\ngo\n\nEnd.\n"
+
+
+def test_two_keys_in_batches(spark):
+    rows = [(1, "a", "x"), (2, "a", "y"), (3, "b", "y"), (4, "c", "x"), (5, None, "z"), (6, None, "w")]
+    frame = spark.createDataFrame(rows, "id bigint, a string, b string")
+    assert sorted(r.id for r in curation.keep_first_of_two(frame, F.col("a"), F.col("b"), "id").collect()) == [1, 3, 5]
 
 
 # ---------- evaluation ----------
@@ -226,18 +244,19 @@ def results(spark, rows):
 
 
 def test_scores_and_sizes(spark):
-    rows = [("m", "main", f"q{i}", ok, n) for i, (ok, n) in enumerate(zip([True, False, True, True], [40, 60, 40, 60]))]
-    rows += [("m", "more", "q9", True, 10), ("w", "main", "q0", False, 20), ("u", "more", "q1", True, 9000)]
-    got = evaluation.comparison(results(spark, rows), "run", "set", ["main", "more", "rest"], "main", F.col("ok"), F.col("tokens"))
-    assert {r.run: (r.main, r.more, r.rest, r.mean_size, r.size_per_correct) for r in got.collect()} == {
-        "m": ("3/4 (75%)", "1/1 (100%)", "", "50", "67"),
-        "w": ("0/1 (0%)", "", "", "20", "none correct"),
-        "u": ("", "1/1 (100%)", "", "9,000", "9,000"),
-    }
-    pivoted = evaluation.pivoted_scores(results(spark, rows), "run", "set", ["main", "rest"], F.col("ok"))
-    assert {tuple(r) for r in pivoted.collect()} == {("m", "3/4 (75%)", ""), ("w", "0/1 (0%)", ""), ("u", "", "")}
-    rolled = {r.set: (r.ok, r.total, r.score, r.mean_size, r.size_per_correct) for r in evaluation.rollup(results(spark, rows), "set", F.col("ok"), F.col("tokens")).collect()}
-    assert rolled["main"] == (3, 5, "3/5 (60%)", 44.0, 220 / 3)
+    """Expected values by arithmetic: run k answers k of 8 questions of the first set, each with 25 * k tokens."""
+    rows = [(f"run{k}", "first", f"q{i}", i < k, 25 * k) for k in (1, 2, 6) for i in range(8)]
+    rows += [("run6", "second", "p0", True, 1500), ("lone", "second", "p1", True, 12000), ("run1", "first", "q9", False, None)]
+    got = {r.run: r for r in evaluation.comparison(results(spark, rows), "run", "set", ["first", "second", "third"], "first", F.col("ok"), F.col("tokens")).collect()}
+    assert [got[f"run{k}"].first for k in (2, 6)] == ["2/8 (25%)", "6/8 (75%)"] and got["run1"].first == "1/9 (11%)"
+    assert (got["lone"].first, got["lone"].second, got["lone"].third) == ("", "1/1 (100%)", "")
+    assert got["run2"].mean_size == "50" and got["run2"].size_per_correct == str(8 * 50 // 2)
+    assert got["lone"].mean_size == got["lone"].size_per_correct == "12,000"
+    pivoted = {r.run: r for r in evaluation.pivoted_scores(results(spark, rows), "run", "set", ["first", "third"], F.col("ok")).collect()}
+    assert pivoted["run6"].first == "6/8 (75%)" and pivoted["lone"].first == "" and {r.third for r in pivoted.values()} == {""}
+    rolled = {r.set: r for r in evaluation.rollup(results(spark, rows), "set", F.col("ok"), F.col("tokens")).collect()}
+    assert (rolled["second"].ok, rolled["second"].total, rolled["second"].mean_size) == (2, 2, 6750.0)
+    assert (rolled["first"].ok, rolled["first"].total, rolled["first"].score) == (9, 25, "9/25 (36%)")
 
 
 def test_fair_labels_and_left_out(spark):
@@ -247,6 +266,13 @@ def test_fair_labels_and_left_out(spark):
     labelled = spark.createDataFrame([("q2",), ("q3",)], "id string")
     assert sorted(r.id for r in evaluation.fair(frame, flagged, "id").collect()) == ["q1", "q2", "q4", "q4"]
     assert tuple(evaluation.label_split(frame, labelled, flagged, "id", F.col("ok")).first()) == ("3/3 (100%)", "0/1 (0%)")
+    numbers_ = spark.createDataFrame([(i, i % 3 > 0) for i in range(9)], "id int, ok boolean")
+    some = spark.createDataFrame([(1,), (2,), (7,)], "id bigint")
+    doubles = spark.createDataFrame([(0.0,), (2.0,)], "id double")
+    assert sorted(r.id for r in evaluation.fair(numbers_, some, "id").collect()) == [0, 3, 4, 5, 6, 8]
+    assert tuple(evaluation.label_split(numbers_, some, doubles, "id", F.col("ok")).first()) == ("3/5 (60%)", "2/2 (100%)")
+    only = evaluation.label_split(frame, labelled, flagged, "id", F.col("ok"), sets=("set", ["gen"]))
+    assert tuple(only.first()) == ("1/1 (100%)", "0/1 (0%)")
     assert {tuple(r) for r in evaluation.left_out(frame, flagged, "id", "set").collect()} == {("gen", 2, 0), ("new", 2, 1)}
 
 
@@ -256,6 +282,6 @@ def test_last_k_mean(spark):
 
 
 def test_text_size(spark):
-    frame = spark.createDataFrame([("a", "one two\nthree"), ("a", "x\n"), ("b", "four words are here")], "v string, t string")
+    frame = spark.createDataFrame([("a", "one two\nthree"), ("a", " x\n"), ("b", "four words are here")], "v string, t string")
     got = {r.v: (r.chars, r.lines, r.words, r.ratio) for r in evaluation.text_size(frame, "t", "v", "a").collect()}
-    assert got == {"a": (15, 3, 4, "1.0×"), "b": (19, 1, 4, "1.3×"), "all": (34, 4, 8, "2.3×")}
+    assert got == {"a": (14, 3, 4, "1.0×"), "b": (19, 1, 4, "1.4×"), "all": (33, 4, 8, "2.4×")}

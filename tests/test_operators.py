@@ -2,6 +2,7 @@
 
 import math
 import random
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -84,12 +85,17 @@ def test_rows_come_out_in_order(spark):
     assert got == sorted(((i % 10, i) for i in range(1000)), key=lambda p: (-p[0], p[1]))
 
 
-def test_cuts_with_and_without_heap(spark, monkeypatch):
+def test_cuts_start_no_job(spark):
     frame = spark.range(500).repartition(5).withColumn("value", F.col("id") % 50)
     few = [r.id for r in order.top(frame, 60, "value", "id").collect()]
-    monkeypatch.setattr(order, "HEAP_ROWS", 10)
-    many = order.top(frame, 60, "value", "id").collect()
+    many = order.cut_by_position(frame, order.descending("value", "id"), 60).collect()
     assert sorted(r.id for r in many) == sorted(few) and few[:3] == [49, 99, 149]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "no job may start")
+    for n in (10, 1_000_000):
+        order.top(frame, n, "value", "id")
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert [r.id for r in order.last(frame, 3, "id").collect()] == [497, 498, 499]
     assert [r.id for r in order.first(frame, 3, "id").collect()] == [0, 1, 2]
     assert [r.id for r in order.bottom(frame, 2, "value", "id").collect()] == [0, 50]
@@ -187,17 +193,17 @@ def test_elementwise(spark, sales):
 
 def test_array_forms(spark):
     frame = spark.sql(
-        "select array(3, 9, 1) as a, array(named_struct('n', 'x', 'q', 2), named_struct('n', 'y', 'q', 5)) as r, map('k', 1) as m"
+        "select array(40, 8, 26) as a, array(named_struct('n', 'x', 'q', 2), named_struct('n', 'y', 'q', 5)) as r, map('k', 1) as m"
     )
     a = F.col("a")
     row = frame.select(
         nested.top_items(a, 2).alias("top"), nested.array_sum(a).alias("sum"), nested.array_mean(a).alias("mean"),
-        nested.last_items(a, 2).alias("last"), nested.first_items(a, 5).alias("first"), nested.drop_item(a, 9).alias("drop"),
+        nested.last_items(a, 2).alias("last"), nested.first_items(a, 5).alias("first"), nested.drop_item(a, 40).alias("drop"),
         nested.sort_items(a, desc=True).alias("desc"), nested.path("r.-1.n").alias("n"), nested.path("a.7").alias("gone"),
     ).first()
     assert row.asDict() == {
-        "top": [9, 3], "sum": 13.0, "mean": 13 / 3, "last": [9, 1], "first": [3, 9, 1], "drop": [3, 1],
-        "desc": [9, 3, 1], "n": "y", "gone": None,
+        "top": [40, 26], "sum": 74.0, "mean": 74 / 3, "last": [8, 26], "first": [40, 8, 26], "drop": [8, 26],
+        "desc": [40, 26, 8], "n": "y", "gone": None,
     }
     stable = spark.sql("select array('bb', 'a', null, 'cc', 'ddd') as w")
     ordered = stable.select(nested.sort_items(F.col("w"), F.length), nested.sort_items(F.col("w"), F.length, desc=True)).first()
@@ -209,7 +215,44 @@ def test_array_forms(spark):
     assert shape.keys(frame, "m").first().m == ["k"] and shape.vals(frame, "m").first().m == [1]
     assert [(r.key, r.value) for r in shape.pairs(frame, "m").collect()] == [("k", 1)]
     assert shape.map_map(frame, "m", lambda v: v + 1).first().m == {"k": 2}
-    assert shape.map_array(frame, "a", lambda x: x + 1).first().a == [4, 10, 2]
+    assert shape.map_array(frame, "a", lambda x: x + 1).first().a == [41, 9, 27]
+    words = spark.sql("select array('u', 'v', 'u', null, 'w', 'v', 'u') as w, array(9007199254740993L, 2L, null) as k, 'abc' as t")
+    w, k = F.col("w"), F.col("k")
+    made = words.select(
+        nested.freq_items(w).alias("freq"), nested.uniq_items(w).alias("uniq"), nested.nuniq_items(w).alias("kinds"), nested.count_items(w).alias("n"),
+        nested.join_items(w, "-").alias("joined"), nested.reversed_items(F.col("t")).alias("text"), nested.reversed_items(k).alias("back"),
+        nested.array_sum(k, "bigint").alias("sum"), nested.count_characters(F.col("t")).alias("chars"), nested.sort_items(w, n=2).alias("two"),
+    ).first()
+    assert [tuple(x) for x in made.freq] == [("u", 3), ("v", 2), (None, 1), ("w", 1)] and made.uniq == ["u", "v", None, "w"]
+    assert (made.kinds, made.n, made.joined, made.text, made.back) == (3, 7, "u-v-u-w-v-u", "cba", [None, 2, 9007199254740993])
+    assert (made.sum, made.chars, made.two) == (9007199254740995, 3, ["u", "u"])
+    said = spark.createDataFrame([(1, "a", "x"), (3, "a", "z"), (2, "a", "y"), (4, "b", "w")], "at int, who string, t string")
+    assert {tuple(r) for r in shape.join_rows(said, "who", "t", "at", "+").collect()} == {("a", "x+y+z"), ("b", "w")}
+
+
+def test_membership_of_mixed_types(spark):
+    ids = spark.createDataFrame([(1,), (2,), (3,), (None,)], "id int")
+    for kind, values in (("bigint", [2, 3]), ("double", [2.0, 3.0, 3.5]), ("decimal(9,2)", [Decimal(2), Decimal(3)]), ("smallint", [2, 3])):
+        table = spark.createDataFrame([(v,) for v in values], f"k {kind}")
+        assert sorted(r.id for r in select.where_in_table(ids, "id", table, "k").collect()) == [2, 3]
+        assert {r.id for r in select.where_in_table(ids, "id", table, "k", negate=True).collect()} == {1, None}
+    with pytest.raises(TypeError):
+        select.where_in_table(ids, "id", spark.createDataFrame([("2",)], "k string"), "k")
+    large = spark.createDataFrame([(2**53 + 1,), (2**53,)], "id bigint")
+    exact = spark.createDataFrame([(Decimal(2**53 + 1),)], "k decimal(18,0)")
+    assert [r.id for r in select.where_in_table(large, "id", exact, "k").collect()] == [2**53 + 1]
+
+
+def test_missing_values_in_lists(spark):
+    frame = spark.createDataFrame([(1,), (2,), (None,)], "x int")
+    pick = lambda op, items: {r.x for r in select.where(frame, "x", op, items).collect()}
+    assert pick("in", [1]) == {1} and pick("in", [1, None]) == {1, None} and pick("in", [None]) == {None}
+    assert pick("nin", [1]) == {2, None} and pick("nin", [1, None]) == {2} and pick("nin", [None]) == {1, 2}
+
+
+def test_whole_table_measures_keep_types(spark):
+    frame = spark.createDataFrame([(2**53 + 1, "a"), (5, "b")], "n bigint, t string")
+    assert tuple(aggregate.wide_columns(frame, F.max).first()) == (2**53 + 1, "b")
 
 
 def test_pick_each_set(sales):

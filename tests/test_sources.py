@@ -28,20 +28,20 @@ def test_csv_types_and_missing_values(spark, tmp_path):
 
 
 def test_text_json_and_lines(spark, tmp_path):
-    (tmp_path / "t.txt").write_text("a b\nc d", encoding="utf-8")
+    (tmp_path / "t.txt").write_text("red fox\nold owl", encoding="utf-8")
     whole = readers.read_text(spark, str(tmp_path / "t.txt"))
-    assert [r.value for r in whole.collect()] == ["a b\nc d"]
-    assert [(r.line_no, r.line) for r in readers.lines(whole, "value").collect()] == [(1, "a b"), (2, "c d")]
-    assert [r.word for r in readers.words(whole, "value").collect()] == ["a", "b", "c", "d"]
-    assert [r.value for r in readers.read_lines(spark, str(tmp_path / "t.txt")).collect()] == ["a b", "c d"]
-    (tmp_path / "d.json").write_text("[1, 2, 3]")
-    assert readers.json_values(spark, str(tmp_path / "d.json")).agg(F.sum("value")).first()[0] == 6
+    assert [r.value for r in whole.collect()] == ["red fox\nold owl"]
+    assert [(r.line_no, r.line) for r in readers.lines(whole, "value").collect()] == [(1, "red fox"), (2, "old owl")]
+    assert [r.word for r in readers.words(whole, "value").collect()] == ["red", "fox", "old", "owl"]
+    assert [r.value for r in readers.read_lines(spark, str(tmp_path / "t.txt")).collect()] == ["red fox", "old owl"]
+    (tmp_path / "d.json").write_text("[7, 11, 20]")
+    assert readers.json_values(spark, str(tmp_path / "d.json")).agg(F.sum("value")).first()[0] == 38
     (tmp_path / "r.json").write_text('[{"a": {"b": [1, 2]}},\n {"a": {"b": [3]}}]')
     nested = readers.json_files(spark, str(tmp_path / "r.json"))
     assert [r[0] for r in nested.select("a.b").collect()] == [[1, 2], [3]]
-    text = spark.createDataFrame([("[4, 5]",)], "j string")
-    assert readers.parse_json(text, "j", "array<bigint>").first().j == [4, 5]
-    assert readers.parse_json_any(text, "j").select(F.variant_get("j", "$[1]", "int")).first()[0] == 5
+    text = spark.createDataFrame([("[8, 13]",)], "j string")
+    assert readers.parse_json(text, "j", "array<bigint>").first().j == [8, 13]
+    assert readers.parse_json_any(text, "j").select(F.variant_get("j", "$[1]", "int")).first()[0] == 13
 
 
 def test_json_lines_from_several_files(spark, tmp_path):
@@ -79,3 +79,13 @@ def test_the_shared_folder_comes_from_the_session(spark):
     folder = session.shared_folder(spark)
     assert folder == spark.sparkContext.getCheckpointDir() == session.shared_folder(spark)
     assert session.scratch_path(spark).startswith(folder)
+
+
+def test_csv_gives_back_what_was_saved(spark, folder):
+    rows = [(1234567890123456789, "  a "), (1234567890123456788, 'two\nlines "and" quotes, commas'), (-5, "\ttab"), (7, "plain")]
+    frame = spark.createDataFrame(rows, "id bigint, t string").repartition(2)
+    sinks.save_csv(frame, folder("texts"))
+    declared = readers.csv(spark, folder("texts"), frame.schema, multi_line=True)
+    assert sorted(tuple(r) for r in declared.collect()) == sorted(rows)
+    found = readers.csv(spark, folder("texts"), multi_line=True)
+    assert dict(found.dtypes) == {"id": "bigint", "t": "string"} and sorted(tuple(r) for r in found.collect()) == sorted(rows)
