@@ -4,14 +4,15 @@ Links are pairs of documents whose shingle sets have at least ``percent`` of the
 
 1. Documents with equal sets are one class. A first bound drops classes that no other class can match: of the
    shingles with the smallest hashes, enough must be in other classes too (a lossless prefix rule).
-2. Classes that are left are put into groups: similar ones share a min-hash, the smallest of a bucket leads it, and
-   whoever is verified to be linked to a leader is in its group.
-3. The matrix holds, for every shingle, the groups whose union has it. A class asks for the groups that have one of its
-   rarest shingles, as many as the threshold allows to miss.
-4. Groups that qualify are opened in blocks of bounded size: a block whose union holds too little of the query is
-   passed over, the rest is verified member by member. One link per block is enough, members of a group are connected.
-
-No step makes all pairs of a bucket or group, and no step drops a pair that could be a link.
+2. Classes that are left are put into groups of similar ones, of similar size and about ``BLOCK`` classes: they share a
+   min-hash bucket, named by its smallest class. Those with a verified link to it are kept in groups apart from the rest.
+3. The matrix holds, for every shingle that several groups have, the groups whose union has it. A group asks for the
+   groups that have one of the rarest shingles of one of its classes, as many as the threshold allows to miss.
+4. Pairs of groups that qualify are opened in one task each: a class whose overlap with the other group's union is too
+   small for that group's sizes is passed over, the rest is verified member by member, and the links that connect are kept.
+
+Groups whose classes are connected through the same bucket's leader already are not opened against each other, nor
+inside. No step makes rows for all pairs of a bucket or group, and no step drops a pair that could be a link.
 """
 
 from __future__ import annotations
@@ -21,16 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import blocks
 from framewright.llm.components import components
+from framewright.llm.rows import content, stay
 from framewright.session import scratch_path
 
 EXTRA_PERCENT = 10  # shingles looked at in the first bound beyond those that may be missed
 HELD = 2_000_000  # shingles that one task gathers before it deals them out
-BLOCK = 128  # classes in a block of a group
+BLOCK = 128  # classes in a group, about
+SIZE_STEP = 1.1  # sets of a group differ in size by no more than this factor
 _SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
 
@@ -90,40 +93,44 @@ _DEALT = pa.schema([("bucket", pa.int64()), ("tokens", pa.binary()), ("owners",
 _SHARED = pa.schema([("owner", pa.int64()), ("shared", pa.int64())])
 
 
-def _shared_shingles(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """owner (first half of a class's digest), shared: at least how many prefix shingles other classes have too.
+def _prefix(found: np.ndarray, percent: int) -> np.ndarray:
+    n = len(found)
+    return found[: min(n, n - need(n, percent) + _extra(n))]
 
-    Shingles travel in arrays, dealt by hash. A shingle that several classes of a task have is sent for two of them,
-    the others are credited at once: a shingle found everywhere costs two entries a task.
+
+def _enough(n: str, percent: int):
+    """How many shingles of its prefix a set of ``n`` must share with the prefixes of others to have a partner among them."""
+    return F.expr(f"(cast(ceil({n} * {percent} / 100) as long) * {EXTRA_PERCENT}) div 100 + 1")
+
+
+def _shared_shingles(rows: DataFrame, prefixes) -> DataFrame:
+    """owner, shared: at least how many of its prefix shingles other owners have in their prefixes too.
+
+    ``prefixes(batch)`` gives (owner, prefix) pairs; an owner's prefixes are united. Shingles travel in arrays, dealt by
+    hash. A shingle that several owners of a task have is sent for two of them, the others are credited at once: a
+    shingle found everywhere costs two entries a task. Owners in several tasks may be credited too much, never too little.
     """
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, np.ndarray] = {}
-        size = 0
-        for _, texts in blocks.slices(batches, "text"):
-            for found in sets(texts, words):
-                n = len(found)
-                if n:
-                    key = _digest(found)
-                    if key not in held:
-                        held[key] = found[: min(n, n - need(n, percent) + _extra(n))].copy()
-                        size += len(held[key])
-            if size >= HELD:
-                yield _dealt(held, buckets)
-                held, size = {}, 0
+        owners, held, size = [], [], 0
+        for batch in batches:
+            for owner, prefix in prefixes(batch):
+                if len(prefix):
+                    owners.append(owner)
+                    held.append(prefix.copy())
+                    size += len(prefix)
+                if size >= HELD:
+                    yield _dealt(owners, held, buckets)
+                    owners, held, size = [], [], 0
         if held:
-            yield _dealt(held, buckets)
+            yield _dealt(owners, held, buckets)
 
     def meet(table: pa.Table) -> pa.Table:
         tokens = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in table.column("tokens")])
         owners = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in table.column("owners")])
-        order = np.lexsort((owners, tokens))
-        tokens, owners = tokens[order], owners[order]
+        tokens, owners = _distinct(tokens, owners)
         if len(tokens):
-            new = np.ones(len(tokens), bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
-            tokens, owners = tokens[new], owners[new]
             first = np.flatnonzero(np.diff(tokens, prepend=~tokens[:1]))
             count = np.diff(np.append(first, len(tokens)))
             owners = owners[np.repeat(count > 1, count)]
@@ -133,17 +140,25 @@ def _shared_shingles(docs: DataFrame, words: int, percent: int) -> DataFrame:
         total = np.bincount(place, np.concatenate([np.ones(len(owners)), times]), len(name)).astype(np.int64)
         return pa.Table.from_arrays([pa.array(name), pa.array(total)], schema=_SHARED)
 
-    dealt = docs.select("text").mapInArrow(deal, "bucket long, tokens binary, owners binary, sure binary, times binary")
+    dealt = rows.mapInArrow(deal, "bucket long, tokens binary, owners binary, sure binary, times binary")
     met = dealt.groupBy("bucket").applyInArrow(meet, "owner long, shared long")
     return met.groupBy("owner").agg(F.sum("shared").alias("shared"))
 
 
-def _dealt(held: dict[bytes, np.ndarray], buckets: int) -> pa.RecordBatch:
-    names = np.array([_owner(k) for k in held], "<i8")
-    size = np.array([len(v) for v in held.values()])
-    tokens, owners = np.concatenate(list(held.values())), np.repeat(names, size)
-    order = np.argsort(tokens, kind="stable")
+def _distinct(tokens: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs in the order of tokens, then owners."""
+    order = np.lexsort((owners, tokens))
     tokens, owners = tokens[order], owners[order]
+    if len(tokens):
+        new = np.ones(len(tokens), bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (owners[1:] != owners[:-1])
+        tokens, owners = tokens[new], owners[new]
+    return tokens, owners
+
+
+def _dealt(names: list[int], held: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    size = np.array([len(v) for v in held])
+    tokens, owners = _distinct(np.concatenate(held), np.repeat(np.array(names, "<i8"), size))
     first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
     turn = np.arange(len(tokens)) - np.repeat(first, np.diff(np.append(first, len(tokens))))
     credited, times = np.unique(owners[turn >= 2], return_counts=True)
@@ -167,14 +182,17 @@ def _dealt(held: dict[bytes, np.ndarray], buckets: int) -> pa.RecordBatch:
 
 
 def _candidate_sets(docs: DataFrame, known: DataFrame, words: int, percent: int) -> DataFrame:
-    """Sets of the classes that may have a partner: node, n, tokens (binary, sorted hashes), keys (min-hashes). Written and read back."""
-    shared = _shared_shingles(docs, words, percent)
-    least = F.expr(f"(cast(ceil(n * {percent} / 100) as long) * {EXTRA_PERCENT}) div 100 + 1")
-    one = known.where("n > 0").groupBy("node", "n").agg(F.min(F.struct("doc_id", "content")).alias("row"))
-    one = one.withColumn("owner", _half(F.col("node")))
-    chosen = one.join(shared, "owner").where(F.col("shared") >= least).select(
-        F.col("row.doc_id").alias("row_id"), F.col("row.content").alias("row_content"), "node"
-    )
+    """Sets of the classes that may have a partner: id, node, n, tokens (binary, sorted hashes), keys (min-hashes). Written and read back."""
+
+    def prefixes(batch: pa.RecordBatch):
+        for _, texts in blocks.slices(iter([batch]), "text"):
+            for found in sets(texts, words):
+                yield _owner(_digest(found)), _prefix(found, percent)
+
+    shared = _shared_shingles(docs.select("text"), prefixes)
+    one = known.where("n > 0").groupBy("node", "n").agg(F.min(F.struct("doc_id", "content")).alias("row")).withColumn("owner", _half("node"))
+    chosen = one.join(shared, "owner").where(F.col("shared") >= _enough("n", percent))
+    chosen = chosen.select(F.col("row.doc_id").alias("row_id"), F.col("row.content").alias("row_content"), "node")
     matched = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["row_id"]) & (docs["content"] == chosen["row_content"])).select("node", "text")
 
     def work(rows: pa.RecordBatch, texts: pa.LargeStringArray) -> dict:
@@ -187,14 +205,15 @@ def _candidate_sets(docs: DataFrame, known: DataFrame, words: int, percent: int)
                 made["keys"].append([int(blocks.scramble(found ^ np.uint64(s)).min().astype(np.int64)) for s in _SEEDS])
         return made
 
+    one_each = blocks.mapped(matched, "node binary, n long, tokens binary, keys array<bigint>", work).dropDuplicates(["node"])
     path = scratch_path(docs.sparkSession)
-    blocks.mapped(matched, "node binary, n long, tokens binary, keys array<bigint>", work).dropDuplicates(["node"]).write.parquet(path)
+    one_each.withColumn("id", F.monotonically_increasing_id()).write.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
-def _half(node):
+def _half(node: str):
     """The first eight bytes as a little-endian long (bytes are swapped in the hexadecimal text)."""
-    digits = F.hex(node)
+    digits = F.hex(F.col(node))
     swapped = F.concat(*(F.substring(digits, 2 * i + 1, 2) for i in range(7, -1, -1)))
     unsigned = F.conv(swapped, 16, -10)
     return unsigned.cast("long")
@@ -211,134 +230,213 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-_EDGE = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+
+def _leaders(found: DataFrame) -> DataFrame:
+    """id, lead: the smallest class of its min-hash buckets (itself where it is alone)."""
+    keyed = found.select("id", F.posexplode("keys").alias("which", "key"))
+    first = keyed.groupBy("which", "key").agg(F.min("id").alias("first"))
+    return keyed.join(first, ["which", "key"]).groupBy("id").agg(F.min("first").alias("lead"))
 
 
 def _to_leaders(found: DataFrame, percent: int) -> DataFrame:
-    """Links u, v of classes to the leaders of their min-hash buckets, all verified."""
-    keyed = found.select("node", F.posexplode("keys").alias("which", "key"))
-    leaders = keyed.groupBy("which", "key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    pairs = keyed.join(leaders, ["which", "key"]).where("node <> leader").select("node", "leader").distinct()
-    sides = pairs.join(found.select("node", "tokens"), "node").join(
-        found.select(F.col("node").alias("leader"), F.col("tokens").alias("leader_tokens")), "leader"
+    """The links u, v of classes to their leaders, verified; ``found`` has id, lead, tokens."""
+    sides = found.where("id <> lead").select("id", "lead", "tokens").join(
+        found.select(F.col("id").alias("lead"), F.col("tokens").alias("lead_tokens")), "lead"
     )
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("tokens"), batch.column("leader_tokens")
+            left, right = batch.column("tokens"), batch.column("lead_tokens")
             good = [
                 linked(np.frombuffer(a.as_buffer(), "<u8"), np.frombuffer(b.as_buffer(), "<u8"), percent)
                 for a, b in zip(left, right, strict=True)
             ]
             keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(keep), batch.column("leader").filter(keep)], schema=_EDGE)
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(keep), batch.column("lead").filter(keep)], schema=_EDGE)
 
-    return sides.mapInArrow(verify, "u binary, v binary")
+    return sides.mapInArrow(verify, "u long, v long")
 
 
-_TOKENS = pa.schema([("node", pa.binary()), ("token", pa.int64())])
+def _groups(found: DataFrame, near: DataFrame) -> DataFrame:
+    """Groups of classes: gid, lead, sure (all linked to the leader), members (id, tokens). Written and read back.
 
+    A class is dealt to its group by a hash, so a bucket of any size spreads over as many groups as it needs.
+    """
+    spark = found.sparkSession
+    sure = near.select(F.col("u").alias("id"), F.lit(True).alias("sure"))
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(SIZE_STEP))))
+    # the leader is linked to itself
+    flag = F.coalesce("sure", F.col("id") == F.col("lead"))
+    placed = found.join(sure, "id", "left").select("id", "tokens", "lead", step.alias("step"), flag.alias("sure"))
+    sizes = placed.groupBy("lead", "step", "sure").agg(F.count(F.lit(1)).alias("size"))
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
+    grouped = placed.join(sizes, ["lead", "step", "sure"]).groupBy("lead", "step", "sure", part.alias("part"))
+    path = scratch_path(spark)
+    made = grouped.agg(F.collect_list(F.struct("id", "tokens")).alias("members")).select("lead", "sure", "members")
+    made.withColumn("gid", F.monotonically_increasing_id()).write.parquet(path)
+    return spark.read.parquet(path)
 
-def _exploded(found: DataFrame) -> DataFrame:
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                tokens = [np.frombuffer(x.as_buffer(), "<i8") for x in part.column("tokens")]
-                rows = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
-                yield pa.RecordBatch.from_arrays([part.column("node").take(pa.array(rows)), pa.array(np.concatenate(tokens))], schema=_TOKENS)
-
-    return found.select("node", "tokens").mapInArrow(work, "node binary, token long")
-
-
-def _across(found: DataFrame, percent: int) -> DataFrame:
-    """Links u, v between different groups; ``found`` has node, n, tokens, gid."""
-    sizes = found.groupBy("gid").agg(F.count(F.lit(1)).alias("size"))
-    place = F.struct(-F.col("size"), F.col("gid"))  # larger groups are asked by smaller ones
-    home = found.select("node", "n", "gid").join(sizes, "gid")
-    incidence = _exploded(found).join(home, "node")
-    matrix = incidence.select("token", "gid", "size").distinct()
-    rare = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("groups", "token"))
-    asking = (
-        incidence.join(rare, "token")
-        .withColumn("rank", rank)
-        .where(F.expr(f"rank <= n - ceil(n * {percent} / 100) + 1") & (F.col("groups") > 1))
-        .select("node", "token", place.alias("own"))
-    )
-    asked = matrix.select("token", F.col("gid").alias("asked"), place.alias("theirs"))
-    candidates = asking.join(asked, "token").where("theirs < own").select("node", "asked").distinct()
-
-    def packed(rows: DataFrame, names: tuple[str, str]) -> DataFrame:
-        turn = F.row_number().over(Window.partitionBy("gid").orderBy("node"))
-        return (
-            rows.withColumn("part", F.floor((turn - 1) / BLOCK))
-            .groupBy("gid", "part")
-            .agg(F.collect_list(F.struct("node", "tokens")).alias(names[1]))
-            .select("gid", names[1])
-        )
-
-    asked_groups = candidates.select(F.col("asked").alias("gid")).distinct()
-    members = packed(found.join(asked_groups, "gid", "left_semi").select("gid", "node", "tokens"), ("gid", "members"))
-    queries = packed(
-        candidates.join(found.select("node", "tokens"), "node").select(F.col("asked").alias("gid"), "node", "tokens"), ("gid", "queries")
-    )
 
-    def open_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _members(rows) -> list[tuple[int, np.ndarray]]:
+    own = rows.values
+    return [(n.as_py(), np.frombuffer(t.as_buffer(), "<u8")) for n, t in zip(own.field("id"), own.field("tokens"), strict=True)]
+
+
+def _matchable(groups: DataFrame, percent: int) -> DataFrame:
+    """The groups that another may match: the first bound, on the united prefixes of their classes."""
+
+    def prefixes(batch: pa.RecordBatch):
+        for gid, members in zip(batch.column("gid").to_pylist(), batch.column("members"), strict=True):
+            yield gid, np.unique(np.concatenate([_prefix(t, percent) for _, t in _members(members)]))
+
+    shared = _shared_shingles(groups.select("gid", "members"), prefixes)
+    least = F.array_min(F.transform("members", lambda m: F.length(m["tokens"]))) / 8
+    able = groups.select("gid", least.cast("long").alias("least")).join(shared.withColumnRenamed("owner", "gid"), "gid")
+    return groups.join(able.where(F.col("shared") >= _enough("least", percent)).select("gid"), "gid")
+
+
+_INCIDENCE = pa.schema([("gid", pa.int64()), ("token", pa.int64()), ("classes", pa.int64())])
+_ASKING = pa.schema([("gid", pa.int64()), ("token", pa.int64())])
+
+
+def _pairs(groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different groups, gid and asked, that may hold links. Written and read back."""
+    spark = groups.sparkSession
+    path = scratch_path(spark)
+    _matchable(groups, percent).write.parquet(path)
+    groups = spark.read.parquet(path)
+
+    def unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                u, v = _open(_unpacked(batch.column("queries")[i]), _unpacked(batch.column("members")[i]), percent)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], schema=_EDGE)
+            for gid, members in zip(batch.column("gid").to_pylist(), batch.column("members"), strict=True):
+                token, classes = np.unique(np.concatenate([t for _, t in _members(members)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(token), gid)), pa.array(token.view(np.int64)), pa.array(classes)], schema=_INCIDENCE
+                )
+
+    held = groups.select("gid", "members").mapInArrow(unions, "gid long, token long, classes long")
+    # Shingles of two groups at least, with their number of classes: the order of rarity.
+    several = held.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high"), F.sum("classes").alias("rarity"))
+    path = scratch_path(spark)
+    held.join(several.where("low <> high").select("token", "rarity"), "token").select("gid", "token", "rarity").write.parquet(path)
+    matrix = spark.read.parquet(path)
 
-    return queries.join(members, "gid").mapInArrow(open_blocks, "u binary, v binary")
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c) for c in ("gid", "members", "shared"))
+            for gid, members, shared in zip(*columns, strict=True):
+                token = np.asarray(shared.values.field("token"), np.int64).view(np.uint64)
+                rarity = np.asarray(shared.values.field("rarity"), np.int64)
+                order = np.argsort(token)
+                token, rarity = token[order], rarity[order]
+                chosen = []
+                for _, own in _members(members):
+                    place = np.minimum(np.searchsorted(token, own), len(token) - 1)
+                    both = token[place] == own
+                    # shingles that no other group has are the rarest of all
+                    room = len(own) - need(len(own), percent) + 1 - int((~both).sum())
+                    if room > 0:
+                        place = place[both]
+                        chosen.append(token[place[np.lexsort((token[place], rarity[place]))[:room]]])
+                asked = np.unique(np.concatenate(chosen)) if chosen else token[:0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(asked), gid.as_py())), pa.array(asked.view(np.int64))], schema=_ASKING)
+
+    shared = matrix.groupBy("gid").agg(F.collect_list(F.struct("token", "rarity")).alias("shared"))
+    asking = groups.select("gid", "members").join(shared, "gid").mapInArrow(rarest, "gid long, token long")
+    asked = matrix.select("token", F.col("gid").alias("asked"))
+    path = scratch_path(spark)
+    asking.join(asked, "token").where("asked < gid").select("gid", "asked").distinct().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _opened(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Links u, v inside groups and between those of a pair, as many as connect what is linked."""
+    names = groups.select("gid", "lead", "sure")
+    theirs = names.toDF("asked", "their_lead", "their_sure")
+    useful = (
+        pairs.join(names, "gid").join(theirs, "asked")
+        .where(~((F.col("lead") == F.col("their_lead")) & F.col("sure") & F.col("their_sure")))
+        .select("gid", "asked")
+    )
+    both = useful.join(groups.select("gid", "members"), "gid").join(
+        groups.select(F.col("gid").alias("asked"), F.col("members").alias("others")), "asked"
+    )
+    alone = groups.where(~F.col("sure") & (F.size("members") > 1)).select("members", F.lit(None).cast(groups.schema["members"].dataType).alias("others"))
 
+    def open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members, others in zip(batch.column("members"), batch.column("others"), strict=True):
+                own = _members(members)
+                u, v = _open(own, _members(others) if others.is_valid else own, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_EDGE)
 
-def _unpacked(rows) -> list[tuple[bytes, np.ndarray]]:
-    own = rows.values
-    return [(n.as_py(), np.frombuffer(t.as_buffer(), "<u8")) for n, t in zip(own.field("node"), own.field("tokens"), strict=True)]
+    return both.select("members", "others").unionByName(alone).mapInArrow(open_pairs, "u long, v long")
 
 
-def _open(queries: list, members: list, percent: int) -> tuple[list[bytes], list[bytes]]:
-    """One link from each query to a member of the block, where there is one."""
+def _open(queries: list, members: list, percent: int) -> tuple[list[int], list[int]]:
+    """Links between two groups (or inside one) that connect all that is linked: no more than there are classes."""
     size = np.array([len(t) for _, t in members])
     tokens = np.concatenate([t for _, t in members])
     holder = np.repeat(np.arange(len(members)), size)
     order = np.argsort(tokens, kind="stable")
     tokens, holder = tokens[order], holder[order]
     union = np.unique(tokens)
+    smallest = int(size.min())
+    top: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while top.setdefault(x, x) != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
     u, v = [], []
     for node, own in queries:
+        n = len(own)
+        # what any member of this group must share: of the query, and of both sizes together
+        least = max(need(n, percent), -(-percent * (n + smallest) // (100 + percent)))
         place = np.minimum(np.searchsorted(union, own), len(union) - 1)
         inside = own[union[place] == own]
-        if len(inside) < need(len(own), percent):  # the block's union holds too little of the query
+        if len(inside) < least:  # the group's union holds too little of the query
             continue
         low, high = np.searchsorted(tokens, inside), np.searchsorted(tokens, inside, side="right")
         count = high - low
         at = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         both = np.bincount(holder[at], minlength=len(members))
-        good = np.flatnonzero(100 * both >= percent * (size + len(own) - both))
-        if len(good):
-            u.append(node)
-            v.append(members[good[0]][0])
+        for i in np.flatnonzero(100 * both >= percent * (size + n - both)).tolist():
+            a, b = find(node), find(members[i][0])
+            if a != b:
+                top[a] = b
+                u.append(node)
+                v.append(members[i][0])
     return u, v
 
 
-def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Classes of all documents (doc_id, content, n, node), and links u, v that connect the classes of every component."""
-    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("content"))
+def links(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of all documents (doc_id, content, n, node); the candidate classes (id, node); and links u, v of their ids
+    that connect the classes of every component."""
+    docs = docs.select("doc_id", "text", content().alias("content"))
+    spark = docs.sparkSession
     known = classes(docs, words)
     found = _candidate_sets(docs, known, words, percent)
-    spark = docs.sparkSession
+    led = found.select("id", "n", "tokens").join(_leaders(found), "id")
     path = scratch_path(spark)
-    _to_leaders(found, percent).write.parquet(path)
+    _to_leaders(led, percent).write.parquet(path)
     near = spark.read.parquet(path)
-    # A class's group: the smallest leader it is linked to, and that one's.
-    first = near.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("gid"))
-    second = first.select(F.col("node").alias("gid"), F.col("gid").alias("next"))
-    group = first.join(second, "gid", "left").select("node", F.least("gid", F.coalesce("next", "gid")).alias("gid"))
-    path = scratch_path(spark)
-    found.drop("keys").join(group, "node", "left").withColumn("gid", F.coalesce("gid", "node")).write.parquet(path)
-    return known, near.unionByName(_across(spark.read.parquet(path), percent))
+    groups = _groups(led, near)
+    return known, found.select("id", "node"), near.unionByName(_opened(groups, _pairs(groups, percent), percent))
+
+
+def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Documents with their class and ``label``, which names the component (null for an empty set)."""
+    known, found, near = links(docs, words, percent)
+    label = found.join(components(near).toDF("id", "label_id"), "id").join(
+        found.select(F.col("id").alias("label_id"), F.col("node").alias("label")), "label_id"
+    )
+    named = known.join(label.select("node", "label"), "node", "left")
+    return named.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -348,12 +446,19 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     and link with nothing; a text with fewer words than a shingle has the whole sequence as its only one. Repeated rows
     are copies of each other. A null doc_id never names a component if another document is in it. No rows give none.
     """
-    known, found = links(docs, words, percent)
-    label = components(found).select("node", "label")
-    one = known.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = one.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    groups = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = named.join(groups, "label").select("node", "component_id")
-    return known.join(of_node, "node", "left").select(
+    labelled = _labelled(docs, words, percent)
+    groups = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return labelled.join(groups, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of each component: the one with the smallest doc_id.
+
+    Documents with an empty set link with nothing and all stay (rows that repeat doc_id and text once).
+    """
+    labelled = _labelled(docs, words, percent)
+    row = F.struct(F.col("doc_id").isNull(), "doc_id", "content")
+    first = labelled.where("label is not null").groupBy("label").agg(F.min(row).alias("row")).select("row.doc_id", "row.content")
+    return stay(docs, first.unionByName(labelled.where("label is null").select("doc_id", "content")))

@@ -192,6 +192,8 @@ def test_blocks_are_opened_only_where_the_union_allows():
         return np.array(sorted(values), np.uint64)
 
     members = [(1, one(1, 2, 3, 4, 5, 6, 7)), (2, one(50, 51, 52))]
+    chain = [(i, one(*range(i, i + 10))) for i in range(5)]
+    assert len(jaccard._open(chain, chain, 80)[0]) == 4  # a link for each but one: no more than connect
     assert jaccard._open([(9, one(1, 2, 3, 4, 5, 6, 8))], members, 75) == ([9], [1])
     assert jaccard._open([(9, one(1, 2, 3, 4, 5, 6, 8))], members, 80) == ([], [])
     assert jaccard._open([(9, one(1, 2, 90, 91))], members, 50) == ([], [])
