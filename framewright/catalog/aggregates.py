@@ -156,7 +156,7 @@ def by_apply(t):
 
 @query("select l_returnflag, round_even(median(l_extendedprice), 3) as median from lineitem group by l_returnflag")
 def by_median(t):
-    found = agg.median(t.lineitem, "l_extendedprice", ("l_returnflag",))
+    found = agg.median(t.lineitem, "l_extendedprice", ("l_returnflag",), few_groups=True)
     return found.withColumn("median", round_even(F.col("median"), 3))
 
 
@@ -179,7 +179,7 @@ def stat_std(t):
 @query("""select l_returnflag, round_even(quantile_cont(l_extendedprice, 0.9), 3) as p90, round_even(quantile_cont(l_extendedprice, 0.25), 3) as p25
 from lineitem group by l_returnflag""")
 def stat_percentile(t):
-    found = agg.percentiles(t.lineitem, "l_extendedprice", {"p90": 0.9, "p25": 0.25}, ("l_returnflag",))
+    found = agg.percentiles(t.lineitem, "l_extendedprice", {"p90": 0.9, "p25": 0.25}, ("l_returnflag",), few_groups=True)
     return found.select("l_returnflag", *[round_even(F.col(c), 3).alias(c) for c in ("p90", "p25")])
 
 

@@ -11,9 +11,8 @@ from pyspark.sql import types as T
 from framewright.functions.numbers import round_even
 from framewright.session import cut_lineage
 
-FEW_GROUPS = 100  # up to this many groups a sketch per group stays in a hash aggregate
 SKETCH_ACCURACY = 10_000
-SMALL_GROUP = 100_000  # rows of a group that need no bracket
+SMALL_GROUP = 10 * SKETCH_ACCURACY  # in groups of fewer rows a bracket would span a handful of ranks: kept whole
 
 
 def total(c) -> Column:
@@ -104,16 +103,18 @@ def nuniq_rows(df: DataFrame) -> DataFrame:
     return df.distinct().agg(rows().alias("value"))
 
 
-def percentiles(df: DataFrame, value: str, fractions: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+def percentiles(df: DataFrame, value: str, fractions: dict[str, float], by: tuple[str, ...] = (), few_groups: bool | None = None) -> DataFrame:
     """Exact percentiles with linear interpolation, one column per entry of ``fractions``.
 
-    With few groups a sketch first brackets every percentile; rows outside the brackets are only
-    counted, so little is left to sort. With many groups all distinct values are sorted.
+    With ``few_groups`` (the default without ``by``) a sketch per group first brackets every percentile; rows outside
+    the brackets are only counted, so little is left to sort. Otherwise all distinct values are sorted. Both give the
+    same values; the caller knows which suits the table, nothing is counted to decide it.
     """
     by = tuple(by)
+    few_groups = not by if few_groups is None else few_groups
     v = F.col(value).cast("double")
     values = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
-    if not by or values.agg(F.approx_count_distinct(F.xxhash64(*by))).first()[0] <= FEW_GROUPS:
+    if few_groups:
         result = _bracketed(values, fractions, by)
         if result is not None:
             return result
@@ -157,7 +158,7 @@ def _bracketed(values: DataFrame, fractions: dict[str, float], by: tuple[str, ..
         piece = F.struct(F.lit(i).alias("_f"), F.when(F.col("_v") >= low, F.col("_v")).alias("_v"))
         pieces.append(F.when(F.col("_v") <= high, piece))
     if by:
-        near = values.join(F.broadcast(sketch), list(by))  # FEW_GROUPS rows, give or take the estimate's error
+        near = values.join(sketch, list(by))
     else:
         bounds = {c: sketch.select(c).scalar() for c in ("_all", "_min", "_max", "_ends")}
         near = values.select("_v", *[c.alias(name) for name, c in bounds.items()])
@@ -201,9 +202,9 @@ def _values_at(counts: DataFrame, keys: tuple[str, ...], ranks: Column, total: s
     return near.select(*keys, "_all", "_v", F.explode(here).alias("_rank"))
 
 
-def median(df: DataFrame, value: str, by: tuple[str, ...] = (), name: str = "median") -> DataFrame:
-    """Exact median (of every group)."""
-    return percentiles(df, value, {name: 0.5}, by)
+def median(df: DataFrame, value: str, by: tuple[str, ...] = (), name: str = "median", few_groups: bool | None = None) -> DataFrame:
+    """Exact median (of every group); ``few_groups`` as in ``percentiles``."""
+    return percentiles(df, value, {name: 0.5}, by, few_groups)
 
 
 def pivot(df: DataFrame, index: str, columns: str, values: list, measure: Callable[[Column], Column]) -> DataFrame:

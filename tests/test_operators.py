@@ -131,9 +131,8 @@ def test_by_drops_null_keys_and_sums_nothing_to_zero(sales):
     assert aggregate.nuniq_rows(sales.select("item", "kind")).first()[0] == 4
 
 
-@pytest.mark.parametrize("few, small, accuracy", [(100, 100_000, 10_000), (100, 200, 100), (1, 200, 100), (100, 0, 10)])
+@pytest.mark.parametrize("few, small, accuracy", [(True, 100_000, 10_000), (True, 200, 100), (False, 200, 100), (True, 0, 10)])
 def test_percentiles_equal_numpy(spark, monkeypatch, few, small, accuracy):
-    monkeypatch.setattr(aggregate, "FEW_GROUPS", few)
     monkeypatch.setattr(aggregate, "SMALL_GROUP", small)
     monkeypatch.setattr(aggregate, "SKETCH_ACCURACY", accuracy)
     rnd = random.Random(9)
@@ -142,10 +141,10 @@ def test_percentiles_equal_numpy(spark, monkeypatch, few, small, accuracy):
     frame = spark.createDataFrame(rows, "k string, v double").repartition(6)
     wanted = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "lo": 0.0, "hi": 1.0}
     data = pd.DataFrame(rows, columns=["k", "v"]).dropna()
-    for r in aggregate.percentiles(frame, "v", wanted, ("k",)).collect():
+    for r in aggregate.percentiles(frame, "v", wanted, ("k",), few_groups=few).collect():
         for name, q in wanted.items():
             assert math.isclose(r[name], np.quantile(data[data.k == r.k].v, q), abs_tol=1e-9)
-    assert {r.k for r in aggregate.median(frame, "v", ("k",)).collect()} == {"hot", "wide", "one"}
+    assert {r.k for r in aggregate.median(frame, "v", ("k",), few_groups=few).collect()} == {"hot", "wide", "one"}
     whole = aggregate.percentiles(frame, "v", wanted).first()
     assert math.isclose(whole["p90"], data.v.quantile(0.9), abs_tol=1e-9)
 
