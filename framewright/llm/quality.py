@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm import blocks
+from framewright.llm.sampling import labelled_sample
 
 SAMPLE = 20_000  # labelled documents that rules are learned from; the choice goes by a hash of the doc_id
 TREES, DEPTH, KEPT_CANDIDATES = 24, 3, 160
@@ -203,11 +204,11 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3, steps: int = 400) -
 def train(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     """Learn from ``statistics`` and ``labels`` (doc_id, label 0/1): at most ``sample`` labelled documents.
 
-    Null labels are passed over; of several labels of a document the smallest counts.
+    Null labels are passed over; of several labels of a document the smallest counts, of rows that repeat a doc_id any one.
     """
-    known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
-    rows = measured.select("doc_id", *COLUMNS).join(known, "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", *COLUMNS).limit(sample).collect()
+    picked = labelled_sample(labels, sample, F.min)  # at most ``sample`` rows
+    rows = measured.select("doc_id", *COLUMNS).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
     x = np.array([[r[c] for c in COLUMNS] for r in rows], float).reshape(-1, len(STATISTICS))
     return fit(x, np.array([r["label"] for r in rows], float))
 

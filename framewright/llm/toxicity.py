@@ -19,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from framewright.llm import blocks
+from framewright.llm.sampling import labelled_sample
+from framewright.session import cut_lineage
 
 SAMPLE = 12_000  # labelled documents that the weights are trained on; the choice goes by a hash of the doc_id
 BITS = 20
@@ -70,60 +72,80 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``labels`` (doc_id, label 0/1) and ``docs`` (doc_id, text).
 
     Null labels are passed over; of several labels of a document the greatest counts. Without labelled documents, or
-    with one class only, the model gives that class's share to every text.
+    with one class only, the model gives every text with words that class.
     """
     spark = docs.sparkSession
-    known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
-    picked = spark.createDataFrame([(r["doc_id"], int(r["label"])) for r in chosen], "doc_id long, label int")
+    picked = labelled_sample(labels, sample, F.max)
+
+    # ``picked`` has at most ``sample`` rows; of rows that repeat a doc_id any one is learned from.
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("label", "text")
+    able, kinds = _speaking(rows)
+    if min(kinds) == 0:
+        return Model(np.zeros(1 << BITS, np.float32), -40.0 if kinds[1] == 0 else 40.0)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[able] = np.arange(len(able))
+    shared = spark.sparkContext.broadcast(place)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in blocks.slices(batches, "text"):
+        """What the fit needs of a document: its chosen features by sentence, and how many sentences have none."""
+        for part, texts in blocks.slices(batches, "text"):
             found, sentence, text, _ = features(texts)
-            ends = np.searchsorted(text, np.arange(rows.num_rows + 1))
-            parts = [(found[a:b].tobytes(), (sentence[a:b] - (sentence[a] if b > a else 0)).astype(np.uint32).tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            ends = np.searchsorted(text, np.arange(part.num_rows + 1))
+            made = []
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                at = shared.value[found[a:b]]
+                word, column = np.nonzero(at >= 0)
+                loud, own = np.unique(sentence[a:b][word], return_inverse=True)
+                made.append((at[word, column].tobytes(), own.astype(np.int32).tobytes(), len(loud), len(np.unique(sentence[a:b])) - len(loud)))
+            columns = list(zip(*made, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [rows.column("label"), pa.array([p[0] for p in parts], pa.binary()), pa.array([p[1] for p in parts], pa.binary())],
-                names=["label", "found", "sentence"],
+                [part.column("label"), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True))],
+                names=["label", "feature", "sentence", "loud", "quiet"],
             )
 
-    # ``picked`` has at most ``sample`` rows.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text")
-    return _fit(rows.mapInArrow(gather, "label int, found binary, sentence binary").collect())
+    return _fit(rows.mapInArrow(gather, "label int, feature binary, sentence binary, loud long, quiet long").collect(), able)
 
 
-def _fit(rows: list, steps: int = 300, rate: float = 0.1, decay: float = 2e-5) -> Model:
-    size = 1 << BITS
+def _speaking(rows: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
+    """The features that speak most for the label (at most ``_CHOSEN``), and the number of documents of each label."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in blocks.slices(batches, "text"):
+            label = part.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
+            found, _, text, _ = features(texts)
+            pairs = np.unique((text[:, None].astype(np.int64) << BITS) | found)  # each feature once a document
+            feature, kind = pairs & ((1 << BITS) - 1), label[pairs >> BITS]
+            kinds, n = np.unique(feature * 2 + kind, return_counts=True)
+            whole = np.bincount(label, minlength=2)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([kinds // 2, [-1, -1]])), pa.array(np.concatenate([kinds % 2, [0, 1]])), pa.array(np.concatenate([n, whole]))],
+                names=["feature", "label", "n"],
+            )
+
+    counted = rows.mapInArrow(count, "feature long, label long, n long")
+    sums = counted.groupBy("feature").agg(
+        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("neg")
+    )
+    sums = cut_lineage(sums)
+    whole = sums.where("feature = -1").first()
+    if whole is None:
+        return np.zeros(0, np.int64), (0, 0)
+    pos, neg = int(whole["pos"]), int(whole["neg"])
+    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
+    best = sums.where("feature > 0 and pos >= 2").withColumn("odds", odds).where("odds > 0.5")
+    best = best.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "feature").limit(_CHOSEN).select("feature")
+    return np.array([r["feature"] for r in best.collect()], np.int64), (neg, pos)
+
+
+def _fit(rows: list, able: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 2e-5) -> Model:
+    """Weights of the features ``able`` by gradient steps on the likelihood of the documents' labels."""
     y = np.array([r["label"] for r in rows], float)
-    weights = np.zeros(size)
-    share = float(y.mean()) if len(y) else 0.0
-    if share in (0.0, 1.0):
-        return Model(weights.astype(np.float32), -40.0 if share == 0 else 40.0)
-    width = len(PREFIXES) + 1
-    found = [np.frombuffer(r["found"], np.uint32).reshape(-1, width) for r in rows]
-    seen = np.zeros((2, size))
-    for f, label in zip(found, y, strict=True):
-        seen[int(label), np.unique(f)] += 1
-    seen[:, 0] = 0
-    odds = np.log((seen[1] + 0.5) / (y.sum() + 1)) - np.log((seen[0] + 0.5) / (len(y) - y.sum() + 1))
-    able = np.flatnonzero((seen[1] >= 2) & (odds > 0.5))
-    able = able[np.argsort(-odds[able] * np.sqrt(seen[1][able]), kind="stable")][:_CHOSEN]
-    place = np.full(size, -1)
-    place[able] = np.arange(len(able))
-    # Entries (sentence, feature) of chosen features; sentences without one share a document's bias term.
-    entry_feature, entry_sentence, sentence_doc, quiet = [], [], [], np.zeros(len(y))
-    for d, (f, r) in enumerate(zip(found, rows, strict=True)):
-        number = np.frombuffer(r["sentence"], np.uint32)
-        total = len(np.unique(number))
-        at = place[f]
-        word, column = np.nonzero(at >= 0)
-        loud, own = np.unique(number[word], return_inverse=True)
-        entry_feature.append(at[word, column])
-        entry_sentence.append(own + len(sentence_doc))
-        sentence_doc.extend([d] * len(loud))
-        quiet[d] = total - len(loud)
-    feature, sentence = np.concatenate(entry_feature), np.concatenate(entry_sentence)
-    document = np.array(sentence_doc, np.int64)
+    quiet = np.array([r["quiet"] for r in rows], float)
+    loud = np.array([r["loud"] for r in rows], np.int64)
+    first = np.cumsum(loud) - loud
+    feature = np.concatenate([np.frombuffer(r["feature"], np.int32) for r in rows])
+    sentence = np.concatenate([np.frombuffer(r["sentence"], np.int32) + at for r, at in zip(rows, first, strict=True)])
+    document = np.repeat(np.arange(len(rows)), loud)
     n = len(document)
     w, bias = np.zeros(len(able)), -6.0
     m, v = np.zeros(len(able) + 1), np.zeros(len(able) + 1)
@@ -141,8 +163,9 @@ def _fit(rows: list, steps: int = 300, rate: float = 0.1, decay: float = 2e-5) -
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
+    weights = np.zeros(1 << BITS, np.float32)
     weights[able] = w
-    return Model(weights.astype(np.float32), float(bias))
+    return Model(weights, float(bias))
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:

@@ -225,3 +225,14 @@ def test_queries_equal_their_sql(spark, testdata, name):
     found = entry.queries()[name](spark, testdata).toPandas()[list(want.columns)]
     order = list(want.columns)
     assert found.sort_values(order).to_numpy().tolist() == want.sort_values(order).to_numpy().tolist()
+
+
+def test_samples_are_bounded_and_stable(spark):
+    from framewright.llm.sampling import labelled_sample
+
+    labels = spark.createDataFrame([(i % 900, i % 2) for i in range(2000)] + [(None, 1), (5000, None)], "doc_id long, label int")
+    few = labelled_sample(labels, 100, F.max).collect()
+    assert len(few) == 100 and sorted(few) == sorted(labelled_sample(labels.repartition(7), 100, F.max).collect())
+    every = {r["doc_id"]: r["label"] for r in labelled_sample(labels, 5000, F.min).collect()}
+    assert set(every) == set(range(900)) and every[1] == 1 and every[2] == 0
+    assert labelled_sample(labels.where("false"), 10, F.max).count() == 0
