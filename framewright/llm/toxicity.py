@@ -1,8 +1,10 @@
 """Toxicity by multiple-instance learning: only documents are labelled, their sentences are scored.
 
-A sentence's probability is a logistic function of the sum of its words' weights, a document's the noisy-or of its
-sentences: 1 - prod(1 - p). The weights are trained from document labels alone through that noisy-or, so they settle on
-the words that make single sentences toxic; the same weights then point to the sentences.
+A sentence's probability is a logistic function of the sum of its words' weights, less what a sentence without learned
+words has (p0): p = max(0, (q - p0) / (1 - p0)), so sentences that say nothing add nothing, however many there are. The
+weights are trained from document labels alone through the noisy-or of a document's sentences, 1 - prod(1 - p), so they
+settle on the words that make single sentences toxic; the same weights then point to the sentences. A document's score
+is the noisy-or of its offending sentences, or the largest p if none offends: length alone makes no text toxic.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from framewright.session import cut_lineage
 SAMPLE = 12_000  # labelled documents that the weights are trained on; the choice goes by a hash of the doc_id
 BITS = 20
 PREFIXES = (4, 5, 6)  # beside the whole word, its first bytes: stems
+_LEAK = 0.03
+OFFENDING = 0.5  # a sentence with this probability or more offends
 _CHOSEN = 30_000  # features trained, those that speak most for the label; all others weigh nothing
 
 _OUTSIDE = np.ones(256, bool)
@@ -37,6 +41,7 @@ _STOP[[ord(c) for c in ".!?\n"]] = True
 class Model:
     weights: np.ndarray  # 2 ** BITS
     bias: float
+    background: float  # -log(1 - p0), taken out of every sentence
 
 
 def features(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -64,8 +69,8 @@ def _probabilities(model: Model, texts: pa.LargeStringArray) -> tuple[np.ndarray
         none = np.zeros(0, np.int64)
         return np.zeros(0), none, none, none
     first = np.flatnonzero(np.diff(sentence, prepend=-1) | np.diff(text, prepend=-1))
-    z = np.add.reduceat(model.weights[found].sum(axis=1), first) + model.bias
-    return -np.logaddexp(0, z), text[first], first, np.append(first[1:], len(found))
+    z = np.add.reduceat(model.weights[found].sum(axis=1, dtype=float), first) + model.bias
+    return -np.maximum(np.logaddexp(0, z) - model.background, 0.0), text[first], first, np.append(first[1:], len(found))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -81,13 +86,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("label", "text")
     able, kinds = _speaking(rows)
     if min(kinds) == 0:
-        return Model(np.zeros(1 << BITS, np.float32), -40.0 if kinds[1] == 0 else 40.0)
+        return Model(np.zeros(1 << BITS, np.float32), -40.0 if kinds[1] == 0 else 40.0, 0.0)
     place = np.full(1 << BITS, -1, np.int32)
     place[able] = np.arange(len(able))
     shared = spark.sparkContext.broadcast(place)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What the fit needs of a document: its chosen features by sentence, and how many sentences have none."""
+        """What the fit needs of a document: its chosen features by sentence, and how many sentences have some."""
         for part, texts in blocks.slices(batches, "text"):
             found, sentence, text, _ = features(texts)
             ends = np.searchsorted(text, np.arange(part.num_rows + 1))
@@ -96,14 +101,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 at = shared.value[found[a:b]]
                 word, column = np.nonzero(at >= 0)
                 loud, own = np.unique(sentence[a:b][word], return_inverse=True)
-                made.append((at[word, column].tobytes(), own.astype(np.int32).tobytes(), len(loud), len(np.unique(sentence[a:b])) - len(loud)))
+                made.append((at[word, column].tobytes(), own.astype(np.int32).tobytes(), len(loud)))
             columns = list(zip(*made, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [part.column("label"), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True))],
-                names=["label", "feature", "sentence", "loud", "quiet"],
+                [part.column("label"), *(pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.binary(), pa.int64()), strict=True))],
+                names=["label", "feature", "sentence", "loud"],
             )
 
-    return _fit(rows.mapInArrow(gather, "label int, feature binary, sentence binary, loud long, quiet long").collect(), able)
+    return _fit(rows.mapInArrow(gather, "label int, feature binary, sentence binary, loud long").collect(), able)
 
 
 def _speaking(rows: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
@@ -138,9 +143,12 @@ def _speaking(rows: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
 
 
 def _fit(rows: list, able: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 2e-5) -> Model:
-    """Weights of the features ``able`` by gradient steps on the likelihood of the documents' labels."""
+    """Weights of the features ``able`` by gradient steps on the likelihood of the documents' labels.
+
+    A share ``_LEAK`` of the documents counts as toxic for no sentence's sake; it bounds the slope of those that no
+    learned word explains.
+    """
     y = np.array([r["label"] for r in rows], float)
-    quiet = np.array([r["quiet"] for r in rows], float)
     loud = np.array([r["loud"] for r in rows], np.int64)
     first = np.cumsum(loud) - loud
     feature = np.concatenate([np.frombuffer(r["feature"], np.int32) for r in rows])
@@ -154,18 +162,29 @@ def _fit(rows: list, able: np.ndarray, steps: int = 300, rate: float = 0.1, deca
         z = np.bincount(sentence, w[feature], n) + bias
         p = 1 / (1 + np.exp(-z))
         p0 = 1 / (1 + np.exp(-bias))
-        s = np.bincount(document, np.logaddexp(0, z), len(y)) + quiet * np.logaddexp(0, bias)  # -log of "no sentence"
-        s = np.maximum(s, 1e-9)
-        slope = np.where(y == 1, -np.exp(-s) / np.maximum(-np.expm1(-s), 1e-9), 1.0) * balance
-        each = slope[document] * p
-        gradient = np.append(np.bincount(feature, each[sentence], len(able)), each.sum() + (slope * quiet).sum() * p0) / len(y)
+        above = z >= bias  # the others' probability is 0
+        s = np.bincount(document, np.where(above, np.logaddexp(0, z) - np.logaddexp(0, bias), 0.0), len(y))  # -log of "no sentence"
+        clean = (1 - _LEAK) * np.exp(-s)
+        slope = np.where(y == 1, -clean / (1 - clean), 1.0) * balance
+        each = slope[document] * np.where(above, p, 0.0)
+        gradient = np.append(np.bincount(feature, each[sentence], len(able)), (slope[document] * np.where(above, p - p0, 0.0)).sum()) / len(y)
         gradient[:-1] += decay * w
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, bias = w - move[:-1], bias - move[-1]
     weights = np.zeros(1 << BITS, np.float32)
     weights[able] = w
-    return Model(weights, float(bias))
+    return Model(weights, float(bias), float(np.logaddexp(0, bias)))
+
+
+def _document_scores(none_toxic: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Scores of ``n`` texts from log(1 - p) of their sentences."""
+    found = np.zeros(n)
+    if len(text):
+        p = -np.expm1(none_toxic)
+        np.maximum.at(found, text, p)
+        found = np.maximum(found, -np.expm1(np.bincount(text, np.where(p >= OFFENDING, none_toxic, 0.0), n)))
+    return found
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
@@ -181,14 +200,13 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), na
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks.slices(batches, "text"):
             none_toxic, text, _, _ = _probabilities(shared.value, texts)
-            total = np.bincount(text, none_toxic, rows.num_rows) if len(text) else np.zeros(rows.num_rows)
             columns = [rows.column(c).cast(target.field(c).type) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(-np.expm1(total))], schema=target)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(_document_scores(none_toxic, text, rows.num_rows))], schema=target)
 
     return docs.select(*dict.fromkeys((*keep, "text"))).mapInArrow(work, StructType([*kept, StructField(name, DoubleType())]))
 
 
-def sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def sentences(docs: DataFrame, model: Model, least: float = OFFENDING) -> DataFrame:
     """The offending sentences: doc_id, sentence (text), score, for sentences that score ``least`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

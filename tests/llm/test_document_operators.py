@@ -129,6 +129,22 @@ def test_toxic_sentences_are_found_from_document_labels(spark):
     assert len(bad) > 150 and all("nasty" in r["sentence"] for r in bad)
 
 
+def test_length_alone_makes_no_text_toxic(spark, testdata):
+    folder = testdata.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    labels = labels.select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs, labels.where(~registered.held_out(5, 0)))
+    known = docs.select("doc_id", "text").join(labels, "doc_id")
+    scored = toxicity.score(known, model, keep=("doc_id", "text", "label")).orderBy("doc_id").collect()
+    toxic = [r["text"] for r in scored if r["label"] == 1 and r["score"] >= 0.5]
+    assert len(toxic) / sum(r["label"] for r in scored) > 0.8
+    clean = "\n".join(r["text"] for r in scored if r["label"] == 0 and r["text"] and r["score"] < 0.5)
+    clean = "\n".join([clean] * (200_000 // len(clean.split()) + 1))
+    rows = [(0, clean), (1, clean + "\n" + min(toxic, key=len)), (2, "word. " * 200_000)]
+    told = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert told[0] < 0.5 <= told[1] and told[2] < 0.01
+
+
 def test_toxicity_edges(spark, edge):
     model = toxicity.train(edge, edge)  # one class only
     found = by_id(toxicity.score(edge, model))
