@@ -4,6 +4,10 @@ Every paragraph passes points for its length and its commas on to its ancestors,
 element's points are cut by the share of its text that stands in links. The best element is the article, together
 with those of its siblings that score well or are plain paragraphs. Page furniture (menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts, styles) is left out before the scoring, by tag, role, class and id.
+
+Classes and ids may mislead. Words that name furniture and wrappers alike (widget, social, related) only cut the points
+of what stands in the element. So do the other words if the element has a good name too, holds an article, or holds
+most of the page's text. Inside the article, such elements stay if they score as well as a sibling must.
 """
 
 from __future__ import annotations
@@ -39,17 +43,22 @@ FURNITURE_NAMES = frozenset(
     "header masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion related "
     "respond share sharing sidebar signup social sponsor sponsored subscribe toolbar topbar widget".split()
 )
+AMBIGUOUS_NAMES = frozenset("header promo promoted related share sharing social widget".split())
+_REPLIES = frozenset("comment comments consent cookie cookies disqus respond".split())  # often longer than the article
+_LEAST = 250  # letters that furniture by name must have to be brought back for being most of a page
 GOOD_NAMES = frozenset("article body content entry main post story text".split())
 _PARAGRAPH = frozenset("p pre td th li dd dt blockquote h1 h2 h3 h4 h5 h6 figcaption summary".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "names", "skip", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "names", "skip", "marks", "good", "prose", "holds", "most", "doubt", "gone", "factor", "known", "points", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), skip: bool = False):
-        self.tag, self.parent, self.names, self.skip = tag, parent, names, skip
+    def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), skip: bool = False, marks: frozenset = frozenset(), good: bool = False):
+        self.tag, self.parent, self.names, self.skip, self.marks, self.good = tag, parent, names, skip, marks, good
+        self.prose = self.chars = self.linked = 0
+        self.holds = self.most = self.doubt = self.gone = False
+        self.factor, self.known = 1.0, frozenset()
         self.points = 0.0
-        self.chars = self.linked = 0
 
     def ancestors(self):
         node = self.parent
@@ -58,14 +67,20 @@ class Node:
             node = node.parent
 
 
-def _furniture(tag: str, attributes: str, parent: Node) -> tuple[frozenset, bool]:
+def _furniture(tag: str, attributes: str, parent: Node) -> tuple[frozenset, bool, frozenset, bool]:
+    """Names, whether it is furniture for sure, its names that furniture has, and whether it has a good name as well."""
     names: set[str] = set()
+    clean: set[str] = set()  # of classes without names of furniture
     skip = parent.skip or tag in FURNITURE_TAGS
     if attributes and not skip:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id"):
-                names.update(_PARTS.findall(_LAYOUT.sub(" ", value)))
+                for one in _LAYOUT.sub(" ", value).split():
+                    parts = set(_PARTS.findall(one))
+                    names |= parts
+                    if not parts & FURNITURE_NAMES:
+                        clean |= parts
             elif key == "role":
                 skip |= value in FURNITURE_ROLES
             elif key == "hidden" or (key == "aria-hidden" and value == "true"):
@@ -73,37 +88,33 @@ def _furniture(tag: str, attributes: str, parent: Node) -> tuple[frozenset, bool
             elif key == "style":
                 skip |= "display:none" in value.replace(" ", "")
     whole = tag in ("html", "body", "article", "main")  # an article's own names do not make it furniture
-    if not skip and not whole:
-        marks = names & FURNITURE_NAMES
-        skip = bool(marks) and not (marks == {"header"} and names & GOOD_NAMES)  # an entry's header belongs to it
+    marks = frozenset() if skip or whole else frozenset(names & FURNITURE_NAMES)
+    good = bool(GOOD_NAMES & (names if marks <= AMBIGUOUS_NAMES else clean))
+    if marks == {"header"} and good:  # an entry's header belongs to it
+        marks = frozenset()
     if not skip and tag == "header":  # a page's header; an article's own heading belongs to it
         skip = not (parent.tag in ("article", "main") or any(n.tag in ("article", "main") for n in parent.ancestors()))
-    return frozenset(names), skip
+    return frozenset(names), skip, marks, good
 
 
-def parse(page: str) -> tuple[list[tuple[Node, str]], Node]:
-    """The blocks of a page in order, each with the element that holds it, and the root. Broken markup is read as far as it goes."""
+def parse(page: str) -> tuple[list[tuple[Node, list]], list[Node]]:
+    """The blocks of a page in order, each with the element that holds it and its pieces (text, whether in a link, element);
+    and all elements, the root first and each before what it holds. Broken markup is read as far as it goes."""
     root = Node("html", None)
-    node, found, text = root, [], []
+    node, found, text, nodes = root, [], [], [root]
 
     def end_block() -> None:
         if text:
-            words = " ".join(html.unescape("".join(t for t, _ in text)).split())
-            if words:
-                owner = node
-                while owner.tag not in BLOCK and owner.parent is not None:
-                    owner = owner.parent
-                linked = sum(len(t) for t, inside in text if inside)
-                found.append((owner, words))
-                for n in (owner, *owner.ancestors()):
-                    n.chars += len(words)
-                    n.linked += min(linked, len(words))
+            owner = node
+            while owner.tag not in BLOCK and owner.parent is not None:
+                owner = owner.parent
+            found.append((owner, text.copy()))
             text.clear()
 
     def add(piece: str) -> None:
         if piece and not node.skip:
             inside = node.tag == "a" or (node.tag not in BLOCK and any(n.tag == "a" for n in node.ancestors()))
-            text.append((piece, inside))
+            text.append((piece, inside, node))
 
     at = 0
     while at < len(page):
@@ -142,8 +153,8 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], Node]:
                 n = n.parent
             if n.tag in _CLOSES[tag] and n.parent is not None:
                 node = n.parent
-        names, skip = _furniture(tag, match.group(3) or "", node)
-        child = Node(tag, node, names, skip)
+        child = Node(tag, node, *_furniture(tag, match.group(3) or "", node))
+        nodes.append(child)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
             at = len(page) if end is None else end.end()
@@ -151,7 +162,52 @@ def parse(page: str) -> tuple[list[tuple[Node, str]], Node]:
         if not (match.group(3) or "").endswith("/"):
             node = child
     end_block()
-    return found, root
+    return found, nodes
+
+
+def _measure(found: list[tuple[Node, list]], nodes: list[Node]) -> None:
+    """The text outside links that every element holds, and whether it holds an article."""
+    for _, pieces in found:
+        for piece, inside, n in pieces:
+            if not inside:
+                n.prose += len("".join(piece.split()))
+    for n in reversed(nodes[1:]):
+        n.parent.prose += n.prose
+        n.parent.holds |= n.holds or (n.tag in ("article", "main") and not n.skip and not n.names & (FURNITURE_NAMES - AMBIGUOUS_NAMES))
+
+
+def _judge(nodes: list[Node], spare: bool) -> None:
+    """Which elements go for their names, and by how much points are cut in those that may be furniture."""
+    total = nodes[0].prose
+    for n in nodes[1:]:
+        up = n.parent
+        n.gone, n.doubt, n.factor, n.known = up.gone, False, up.factor, up.known
+        marks = n.marks - up.known  # a wrapper that only repeats the words of a good element around it is no worse
+        if n.gone or not marks:
+            continue
+        n.most = n.prose >= _LEAST and n.prose > (0.9 if marks & _REPLIES else 0.5) * total
+        vague = marks <= AMBIGUOUS_NAMES
+        if not (vague or n.good or n.holds or n.most or spare):
+            n.gone = True
+            continue
+        n.doubt, n.factor = True, min(up.factor, 0.5 if n.good else 0.25 if vague else 0.1)
+        if n.good:
+            n.known = up.known | marks
+
+
+def _blocks(found: list[tuple[Node, list]]) -> list[tuple[Node, str]]:
+    """The blocks' words without what is gone; counts them for the elements around."""
+    left = []
+    for owner, pieces in found:
+        pieces = [(t, inside) for t, inside, n in pieces if not n.gone]
+        words = " ".join(html.unescape("".join(t for t, _ in pieces)).split())
+        if words:
+            linked = sum(len(t) for t, inside in pieces if inside)
+            left.append((owner, words))
+            for n in (owner, *owner.ancestors()):
+                n.chars += len(words)
+                n.linked += min(linked, len(words))
+    return left
 
 
 def _link_share(node: Node) -> float:
@@ -160,24 +216,40 @@ def _link_share(node: Node) -> float:
 
 def article(page: str) -> str:
     """The main text: blocks of the best element and of its good siblings, in page order, parted by one blank."""
-    found, root = parse(page)
+    read, nodes = parse(page)
+    _measure(read, nodes)
+    _judge(nodes, spare=False)
+    found = _blocks(read)
+    if not found and nodes[0].prose >= _LEAST:
+        _judge(nodes, spare=True)
+        found = _blocks(read)
     if not found:
         return ""
     scored: dict[int, Node] = {}
     for owner, words in found:
-        points = 1 + words.count(",") + min(len(words) / 100, 3)
+        points = (1 + words.count(",") + min(len(words) / 100, 3)) * owner.factor
         holder = owner.parent if owner.tag in _PARAGRAPH and owner.parent is not None else owner
         level = 0
         while holder is not None and level < 4:
             if id(holder) not in scored:
                 scored[id(holder)] = holder
-                holder.points += 25 if holder.tag in ("article", "main") or holder.names & GOOD_NAMES else 0
+                holder.points += 25 * holder.factor if holder.tag in ("article", "main") or holder.names & GOOD_NAMES else 0
             holder.points += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
             holder, level = holder.parent, level + 1
     final = {key: n.points * (1 - _link_share(n)) for key, n in scored.items()}
     best = scored[max(final, key=final.get)]
-    limit = max(10.0, 0.2 * final[id(best)])
     chosen = {id(best)}
+    around = {id(best), *(id(n) for n in best.ancestors())}
+
+    def scores(n: Node) -> bool:
+        return final.get(id(n), 0.0) >= max(10 * max(n.factor, best.factor), 0.2 * final[id(best)])
+
+    def stays(n: Node) -> bool:
+        """Whether an element that may be furniture belongs to the article."""
+        if not n.doubt or n.most or id(n) in around:
+            return True
+        return n.chars >= 80 and _link_share(n) < 0.33 if n.good else scores(n)
+
     verdicts: dict[int, bool] = {}
     for owner, words in found:  # siblings: the child of best's parent that holds the block
         side, n = None, owner
@@ -189,11 +261,16 @@ def article(page: str) -> str:
         if side is None or side is best:
             continue
         if id(side) not in verdicts:
-            verdicts[id(side)] = final.get(id(side), 0.0) >= limit
+            verdicts[id(side)] = scores(side)
         plain = side.tag == "p" and _link_share(side) < 0.25 and (side.chars > 80 or words.endswith((".", "!", "?")))
         if verdicts[id(side)] or plain:
             chosen.add(id(side))
-    return " ".join(words for owner, words in found if id(owner) in chosen or any(id(n) in chosen for n in owner.ancestors()))
+    text = []
+    for owner, words in found:
+        path = (owner, *owner.ancestors())
+        if any(id(n) in chosen for n in path) and all(map(stays, path)):
+            text.append(words)
+    return " ".join(text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

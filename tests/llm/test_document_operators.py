@@ -207,6 +207,30 @@ def test_articles(page, text):
     assert html.article(page) == text
 
 
+LONG = "".join(f"<p>Paragraph {i} goes on, with commas, for a good while and says something that readers came for.</p>" for i in range(6))
+LONG_TEXT = re.sub("<.*?>", " ", LONG).split()
+
+
+@pytest.mark.parametrize("wrapper", [
+    'class="elementor-widget elementor-widget-theme-post-content"', 'class="post social"', 'class="article-content related"', 'id="main-content-widget"',
+    'class="social"', 'class="promo"', 'class="content nav-open"', 'class="sidebar"', 'class="page comments-open"',
+])
+@pytest.mark.parametrize("inner", ["{}", '<div class="elementor-widget-container">{}</div>', "<article>{}</article>"])
+def test_furniture_words_on_containers_do_not_lose_the_article(wrapper, inner):
+    aside = '<div class="share">Share this</div><div class="widget"><a href=/>Latest news</a></div><div class="comments"><p>Nice, thanks.</p></div>'
+    for rest in ("", "<div>Site name</div>", aside):
+        page = f"<body><nav><a href=/>Home</a></nav>{rest}<div {wrapper}>{inner.format(LONG)}</div><footer>About</footer></body>"
+        assert html.article(page).split() == LONG_TEXT
+
+
+def test_furniture_by_name_still_goes():
+    near = '<div class="post-share">Share this post</div><div class="related"><p>More to read.</p></div><p class="promo">Buy now.</p><div class="ad">Ad text.</div>'
+    replies = '<div class="comments">' + '<div class="comment-body"><p>I think, on the whole, that this is true and well said.</p></div>' * 9 + "</div>"
+    for page in (f'<div class="content">{LONG}{near}</div>{replies}', f"<article>{near}{LONG}</article>{near}{replies}"):
+        assert html.article(page).split() == LONG_TEXT
+    assert html.article('<div class="ad">Buy this.</div>') == ""
+
+
 def test_deep_and_long_pages_are_read_whole():
     words = " ".join(f"w{i}" for i in range(50_000))
     assert html.article(f"<article><p>{words}</p></article>") == words
