@@ -15,7 +15,7 @@ from framewright.llm import dedup, jaccard, packing, quality, tokens, toxicity
 from framewright.session import scratch_path
 
 TOXIC_FROM = 0.5  # documents with this score or more go
-GOOD_FROM = 0.5  # documents below go
+GOOD_FROM = 0.7  # documents below go, as operator 8 predicts
 
 
 def _labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framewright.llm import dedup, jaccard, rows
+from framewright.llm import dedup, jaccard, registered, rows
 from framewright.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -220,6 +220,17 @@ def test_short_and_long_shingles_do_not_meet():
 
 # Pipeline
 
+def test_quality_stage_on_rows_held_out(spark, testdata, tmp_path):
+    folder = testdata.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    labels.where(~registered.held_out(4, 2)).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = {r["doc_id"] for r in corpus_pipeline.keep_good(spark, docs, str(tmp_path)).select("doc_id").collect()}
+    rows = labels.where(registered.held_out(4, 2)).join(docs.select("doc_id"), "doc_id").collect()
+    poor, good = ([r["doc_id"] for r in rows if r["quality"] == q] for q in (0, 1))
+    assert sum(i not in kept for i in poor) > 0.95 * len(poor) and sum(i in kept for i in good) > 0.95 * len(good)
+
+
 def test_pipeline_stages_against_plain_versions(spark, testdata):
     docs = spark.read.parquet(f"{testdata}/documents.parquet")
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{testdata}/labels.parquet").collect()}
