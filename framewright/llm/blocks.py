@@ -62,8 +62,10 @@ def raw(column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, pa.LargeStringArray]]:
-    """Cut batches into runs of rows with about ``SLICE_BYTES`` of text; a longer text stands alone."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, pa.LargeStringArray]]:
+    """Cut batches into runs of rows with about ``size`` bytes of text; a longer text stands alone."""
     for batch in batches:
         text = texts(batch.column(column))
         if batch.num_rows == 0:
@@ -71,7 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
         _, offsets = raw(text)
         start = 0
         while start < batch.num_rows:
-            stop = int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1
+            stop = int(np.searchsorted(offsets, offsets[start] + size, side="right")) - 1
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start), text.slice(start, stop - start)
             start = stop

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.catalog.registry import Tables
-from framewright.llm import bpe, cleaning, dedup, html, jaccard, languages, packing, quality, tokenfiles, tokens, toxicity
+from framewright.llm import bpe, cleaning, collocations, dedup, html, jaccard, languages, packing, quality, tokenfiles, tokens, toxicity
 from framewright.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +163,58 @@ def op3_token_group_jaccard(t: Tables) -> DataFrame:
 def op4_chunk_reuse_bpe(t: Tables) -> DataFrame:
     """Digests of the ids and of the decoded ids of all documents."""
     return bpe.encode(t.documents, tokens.tokenizer_path(tokens.WORD_END), bpe.digests, bpe.DIGESTS)
+
+
+OP13_SQL = r"""
+with pieces as materialized (
+  select coalesce(lang, 'und') as lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws
+  from documents, unnest(regexp_split_to_array(
+    translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as u(piece)
+), placed as materialized (
+  select lang, row_number() over () as piece, ws from pieces
+), words as materialized (
+  select lang, piece, unnest(ws) as w, generate_subscripts(ws, 1) as p from placed
+), suffixes as materialized (
+  select lang, w as w1, w1 || ' ' || lead(w, 1) over o as w2, w2 || ' ' || lead(w, 2) over o as w3,
+    w3 || ' ' || lead(w, 3) over o as w4, w4 || ' ' || lead(w, 4) over o as w5
+  from words window o as (partition by piece order by p)
+), grams as materialized (
+  select lang, 1 as size, w1 as phrase, count(*) as f from suffixes group by all
+  union all select lang, 2, w2, count(*) from suffixes where w2 is not null group by all
+  union all select lang, 3, w3, count(*) from suffixes where w3 is not null group by all
+  union all select lang, 4, w4, count(*) from suffixes where w4 is not null group by all
+  union all select lang, 5, w5, count(*) from suffixes where w5 is not null group by all
+), totals as materialized (
+  select lang, sum(f) as n from grams where size = 1 group by lang
+), found as materialized (
+  select * from grams where size > 1 and f >= 100
+), cuts as materialized (
+  select lang, phrase, a, k, lang || chr(10) || array_to_string(ws[1 : k], ' ') as head, lang || chr(10) || array_to_string(ws[k + 1 : ], ' ') as tail
+  from (select lang, phrase, f as a, string_split(phrase, ' ') as ws, unnest(range(1, size)) as k from found)
+), keyed as materialized (
+  select lang || chr(10) || phrase as part, f from grams
+), halves as materialized (
+  select c.*, x.f as l from cuts c join keyed x on x.part = c.head
+), both_halves as materialized (
+  select c.*, y.f as r from halves c join keyed y on y.part = c.tail
+), scored as materialized (
+  select c.lang, phrase, a, k, l, r, n, (1000::hugeint * a * n) // (l::hugeint * r) as score from both_halves c join totals t on c.lang = t.lang
+), weakest as materialized (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), inner_parts as materialized (
+  select lang, array_to_string(ws[i : i + m - 1], ' ') as phrase, max(f) as f
+  from (select lang, size, f, string_split(phrase, ' ') as ws from found) g, unnest([2, 3, 4]) as s(m), unnest(range(1, size - m + 2)) as p(i)
+  where m < size group by all
+), kept as materialized (
+  select w.* from weakest w left join inner_parts i on i.lang = w.lang and i.phrase = w.phrase where i.f is null or 100 * i.f < 100 * w.a
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r,
+  cast(n as bigint) as n, cast(score as bigint) as score
+from kept qualify rank <= 2000
+"""
+
+
+@query(OP13_SQL)
+def op13_suffix_sort_collocations(t: Tables) -> DataFrame:
+    """The first 2000 phrases of two to five words of each language of all documents."""
+    return collocations.mine(t.documents)
