@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.catalog.registry import Tables
-from framewright.llm import bpe, cleaning, collocations, dedup, html, jaccard, languages, packing, quality, tokenfiles, tokens, toxicity
+from framewright.llm import bpe, cleaning, collocations, dedup, html, jaccard, languages, packing, quality, spelling, tokenfiles, tokens, toxicity
 from framewright.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,58 @@ from kept qualify rank <= 2000
 def op13_suffix_sort_collocations(t: Tables) -> DataFrame:
     """The first 2000 phrases of two to five words of each language of all documents."""
     return collocations.mine(t.documents)
+
+
+# The checksum is worked out from its polynomial; texts of these letters have one or two bytes a code point in UTF-8.
+OP12_SQL = r"""
+with crc_table as materialized (
+  select list(v order by i) as crc from (
+    select i, list_reduce(range(0, 8), lambda c, _ : case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as v
+    from range(0, 256) as r(i))
+), found as materialized (
+  select doc_id, unnest(regexp_extract_all(
+    translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{00C0}-\x{00FF}]+')) as run
+  from documents
+), runs as materialized (
+  select doc_id, run, count(*) as times from found group by all
+), hashed as materialized (
+  select run, times, xor(list_reduce(
+    flatten(list_transform(string_split(coalesce(cast(doc_id as varchar), '') || ':' || run, ''),
+      lambda x : case when unicode(x) < 128 then [cast(unicode(x) as bigint)] else [195, cast(unicode(x) as bigint) - 64] end)),
+    lambda c, b : xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) as h
+  from runs, crc_table
+), spelt as materialized (
+  select case when h % 97 = 0 then left(run, h % length(run)) || substring(run, cast(h % length(run) + 2 as bigint)) else run end as word, times from hashed
+), vocab as materialized (
+  select word, cast(sum(times) as bigint) as n from spelt where length(word) >= 5 group by word having sum(times) >= 3
+), places as materialized (
+  select word, n, unnest(range(1, length(word) + 1)) as i from vocab
+), cut as materialized (
+  select distinct word, n, left(word, i - 1) || substring(word, i + 1) as edit from places
+), masked as materialized (
+  select word, n, left(word, i - 1) || '_' || substring(word, i + 1) as edit from places
+), pairs as materialized (
+  select c.word, c.n, v.word as near, v.n as near_n from cut c join vocab v on v.word = c.edit
+  union all select v.word, v.n, c.word, c.n from cut c join vocab v on v.word = c.edit
+  union all select a.word, a.n, b.word, b.n from masked a join masked b on a.edit = b.edit where a.word <> b.word
+), best as materialized (
+  select word, count(*) as n_near, max(near_n) as most from pairs group by word
+), nearest as materialized (
+  select p.word, b.n_near, b.most, min(near) as near from pairs p join best b on p.word = b.word where near_n = b.most group by all
+), formed as materialized (
+  select v.word, v.n, coalesce(n_near, 0) as n_near, case when most >= 2 * v.n then near end as form, case when most >= 2 * v.n then most end as form_n
+  from vocab v left join nearest x on v.word = x.word
+), walk as (
+  with recursive step(word, root) as (
+    select word, word from formed
+    union all select s.word, f.form from step s join formed f on s.root = f.word where f.form is not null)
+  select s.word, s.root from step s join formed f on s.root = f.word where f.form is null
+)
+select f.word, form, root, n, cast(n_near as bigint) as n_near, form_n from formed f join walk w on f.word = w.word
+"""
+
+
+@query(OP12_SQL)
+def op12_bloom_spelling_variants(t: Tables) -> DataFrame:
+    """Spelling variants among the words of all documents, with misspellings planted in every 97th run."""
+    return spelling.group(t.documents, misspell_every=97)
