@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.catalog.registry import Tables
-from framewright.llm import bpe, cleaning, collocations, dedup, html, jaccard, languages, packing, quality, spelling, tokenfiles, tokens, toxicity
+from framewright.llm import bpe, cleaning, collocations, dedup, html, jaccard, languages, packing, passages, quality, spelling, tokenfiles, tokens, toxicity
 from framewright.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -273,3 +273,30 @@ select f.word, form, root, n, cast(n_near as bigint) as n_near, form_n from form
 def op12_bloom_spelling_variants(t: Tables) -> DataFrame:
     """Spelling variants among the words of all documents, with misspellings planted in every 97th run."""
     return spelling.group(t.documents, misspell_every=97)
+
+
+OP11_SQL = r"""
+with split as materialized (
+  select row_number() over () as rid, doc_id, regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+') as ws from documents
+), windows as materialized (
+  select rid, doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) as w
+  from (select rid, doc_id, ws, unnest(range(1, len(ws) - 48)) as i from split)
+), firsts as materialized (
+  select w, min(doc_id) as first_id from windows group by w
+), covered as materialized (
+  select distinct rid, unnest(range(i, i + 50)) as p from windows x join firsts f on x.w = f.w where first_id < doc_id
+), words as materialized (
+  select rid, unnest(ws) as word, generate_subscripts(ws, 1) as p from split
+), kept as materialized (
+  select w.rid, count(c.p) as n_removed, string_agg(w.word, ' ' order by w.p) filter (c.p is null) as body
+  from words w left join covered c on c.rid = w.rid and c.p = w.p group by w.rid
+)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(body, '')) as kept_sha256
+from split s left join kept k on s.rid = k.rid
+"""
+
+
+@query(OP11_SQL)
+def op11_fm_index_substring_dedup(t: Tables) -> DataFrame:
+    """What is left of all documents without windows of 50 words that an earlier document has too."""
+    return passages.strip(t.documents)
