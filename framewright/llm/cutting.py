@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 
 
@@ -84,25 +86,30 @@ def _inverse(matrix: np.ndarray) -> np.ndarray:
     return right
 
 
-def linear_program(
-    lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3, rounds: int = 300
-) -> tuple[np.ndarray, np.ndarray]:
+class Program(NamedTuple):
+    """A solved linear program: a row of item counts per pattern, how often each is used, columns priced, relative gap to a lower bound."""
+
+    patterns: np.ndarray
+    times: np.ndarray
+    priced: int
+    gap: float
+
+
+def linear_program(lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-6, rounds: int = 20_000) -> Program:
     """Fractional numbers of patterns that cover ``demand`` at least cost, by the revised simplex method.
 
-    The knapsack prices columns; generation ends when the cost is within ``gap`` of a lower bound (all tokens without
-    padding, or the bound of the prices), when no column improves, or after ``rounds`` columns (padding suffers
-    then, nothing else).
-    Returns one row of item counts per pattern, and how often each is used.
+    The knapsack prices columns, however good the first patterns are; generation ends when no column improves, or when the
+    prices prove the cost to be within ``gap`` of the least possible. ``rounds`` only guards against columns that take turns
+    without end: a program of 1023 lengths takes some 1,100 to 1,400 columns, about 15 ms each, whatever the number of documents.
     """
     m = len(lengths)
     price = costs(capacity)
     patterns, x = first_basis(lengths, demand, capacity)
     cost = price[_times(lengths.astype(float), patterns.T).astype(int)]
     inverse = _inverse(patterns.T)
-    bound = float((lengths * demand).sum())
+    bound = float((lengths * demand).sum())  # all tokens without padding
+    priced = 0
     for _ in range(rounds):
-        if _times(cost, x) <= bound * (1 + gap):
-            break
         dual = _times(cost, inverse)
         surplus = int(np.argmin(dual))
         if dual[surplus] < -1e-9:
@@ -110,6 +117,7 @@ def linear_program(
             column_pattern = column
         else:
             best, last = best_patterns(dual, lengths, capacity)
+            priced += 1
             gain = best - price
             fill = int(np.argmax(gain))
             # Scaled down until no pattern is worth more than it costs, the prices give a lower bound.
@@ -137,7 +145,7 @@ def linear_program(
         inverse = inverse - np.outer(step, row)
         inverse[leaving] = row
         patterns[leaving], cost[leaving] = np.maximum(column_pattern, 0), entering_cost
-    return patterns, x
+    return Program(patterns, x, priced, float(_times(cost, x)) / bound - 1)
 
 
 def whole_patterns(patterns: np.ndarray, x: np.ndarray, demand: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,8 +185,9 @@ def layout(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list
     if len(lengths) == 0:
         return [], 0
     lengths = lengths.astype(int)
-    patterns, x = linear_program(lengths, demand.astype(float), capacity)
-    times, left = whole_patterns(patterns, x, demand.astype(float), lengths, capacity)
+    solved = linear_program(lengths, demand.astype(float), capacity)
+    patterns = solved.patterns
+    times, left = whole_patterns(patterns, solved.times, demand.astype(float), lengths, capacity)
     rows, rank, sequence = [], dict.fromkeys(lengths.tolist(), 0), 0
     for p in np.flatnonzero((times > 0) & patterns.any(axis=1)):
         offset = 0

@@ -141,6 +141,23 @@ def test_packing_pads_little():
     assert sequences == len({p["sequence_id"] for p in pieces})
 
 
+@pytest.mark.parametrize(("lengths", "copies"), [(40, 1), (150, 3), (300, 3000)])
+def test_columns_are_priced_however_good_the_start(lengths, copies):
+    draw = np.random.default_rng(lengths)
+    size = np.sort(draw.choice(np.arange(130, 500), lengths, replace=False))
+    demand = draw.integers(1, 10, lengths).astype(float) * copies
+    solved = cutting.linear_program(size, demand, 1024)
+    assert solved.priced > 20
+    start, x = cutting.first_basis(size, demand, 1024)
+    price = cutting.costs(1024)
+    assert price[(solved.patterns @ size).astype(int)] @ solved.times <= price[(start @ size).astype(int)] @ x
+    assert (solved.patterns.T @ solved.times >= demand - 1e-6).all()
+    # No pattern is worth more than it costs at the last prices: nothing is left to generate, or the gap is proven.
+    dual = np.linalg.solve(solved.patterns, price[(solved.patterns @ size).astype(int)])
+    best, _ = cutting.best_patterns(dual, size, 1024)
+    assert (best - price).max() <= 1e-3 or solved.gap <= 1e-6
+
+
 def test_best_patterns_by_trying_all():
     lengths, values = np.array([3, 5, 7]), np.array([2.0, 4.0, 5.0])
     best, _ = cutting.best_patterns(values, lengths, 20)
