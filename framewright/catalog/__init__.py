@@ -5,10 +5,12 @@ from framewright.catalog import (  # noqa: F401
     arithmetic,
     curation,
     evaluation,
+    folding,
     ordering,
     reports,
     selecting,
     shaping,
+    sketching,
     sources,
     texts,
 )
