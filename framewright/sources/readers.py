@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from framewright.functions import text as texts
 from framewright.operators.select import items
+from framewright.sources import ranges
 
 # Cell texts that a CSV reader takes for a missing value.
 MISSING = [
@@ -20,8 +21,8 @@ def csv(spark: SparkSession, path, schema: T.StructType | str | None = None, mul
     """CSV files with a header. Dates stay text; the usual words for a missing value become null.
 
     Blanks around a cell are part of it. ``multi_line`` reads cells with line breaks, as ``save_csv`` may write
-    them; each file is then one task, and a folder of part files is still read by many. With a ``schema`` the files
-    are read once. Without one, a first distributed pass finds for
+    them: the files are read twice, and still split across tasks (``ranges``). With a ``schema`` the files
+    are read once otherwise. Without one, a first distributed pass finds for
     every column whether all its values are whole numbers, numbers or truth values.
     """
     kept = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -31,7 +32,12 @@ def csv(spark: SparkSession, path, schema: T.StructType | str | None = None, mul
         if names is not None
         else T.StructType([T.StructField(f.name, T.StringType()) for f in _schema(schema).fields])
     )
-    raw = spark.read.csv(path, schema=as_text, multiLine=multi_line, **kept)
+    if multi_line:
+        # A record at a time goes through the same parser; line ends inside a cell stay as they are.
+        options = {k: str(v) for k, v in kept.items() if k != "header"} | {"multiLine": "true", "lineSep": "\n"}
+        raw = ranges.records(spark, path).select(F.from_csv("text", _ddl(as_text), options).alias("r")).select("r.*")
+    else:
+        raw = spark.read.csv(path, schema=as_text, **kept)
     cells = {n: F.when(~F.col(f"`{n}`").isin(MISSING), F.col(f"`{n}`")) for n in raw.columns}
     if schema is not None:
         return raw.select(*[_typed(cells[f.name], f.dataType).alias(f.name) for f in _schema(schema).fields])
@@ -40,6 +46,10 @@ def csv(spark: SparkSession, path, schema: T.StructType | str | None = None, mul
     return clean.select(*[_typed(F.col(f"`{n}`"), T.StructType.fromDDL(f"c {kinds[n]}")[0].dataType).alias(n) for n in clean.columns])
 
 
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def _typed(c: Column, dtype: T.DataType) -> Column:
     return c if isinstance(dtype, T.StringType) else F.btrim(c).cast(dtype)
 

@@ -1,5 +1,8 @@
 """Readers and writers."""
 
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +92,47 @@ def test_csv_gives_back_what_was_saved(spark, folder):
     assert sorted(tuple(r) for r in declared.collect()) == sorted(rows)
     found = readers.csv(spark, folder("texts"), multi_line=True)
     assert dict(found.dtypes) == {"id": "bigint", "t": "string"} and sorted(tuple(r) for r in found.collect()) == sorted(rows)
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Byte ranges of some hundred bytes, so that one small file is many tasks."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def cells(seed):
+    draw = random.Random(seed)
+    parts = ["a", "b c", "\n", "\r\n", '"', ",", "é", " ", "\t", "x" * 40, "\n\n", '"\n"', "\n,\n"]
+    return [(i, "".join(draw.choice(parts) for _ in range(draw.choice([0, 1, 4, 30, 200 if i % 50 == 7 else 5]))), draw.choice([None, "z", "\n"])) for i in range(160)]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_one_file_with_line_breaks_is_read_by_many_tasks(spark, tmp_path, small_ranges, seed, end):
+    rows = cells(seed)
+    with open(tmp_path / "t.csv", "w", newline="", encoding="utf-8") as out:
+        writer = csv.writer(out, lineterminator=end, quoting=csv.QUOTE_MINIMAL)
+        writer.writerow(["n", "text", "more\nname"])
+        writer.writerows(rows)
+        out.write(end + end)
+    frame = readers.csv(spark, str(tmp_path / "t.csv"), "n long, text string, `more\nname` string", multi_line=True)
+    want = [(n, t or None, m) for n, t, m in rows]
+    assert sorted(tuple(r) for r in frame.collect()) == sorted(want, key=lambda r: r[0])
+    assert spark.read.text(str(tmp_path / "t.csv")).rdd.getNumPartitions() > 10
+    assert frame.rdd.getNumPartitions() > 10
+
+
+def test_several_files_and_what_is_odd_about_them(spark, tmp_path, small_ranges):
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f" / "a.csv").write_text('k,v\n1,"one\ntwo"\n\n2,x')
+    (tmp_path / "f" / "b.csv").write_text('k,v\n3,"' + "long\n" * 400 + '"\n4,y\n')
+    (tmp_path / "f" / "c.csv").write_text('k,v\n5,"never\nclosed\n')
+    (tmp_path / "f" / "d.csv").write_text("k,v\n")
+    (tmp_path / "f" / "e.csv").write_text("")
+    got = {r["k"]: r["v"] for r in readers.csv(spark, str(tmp_path / "f"), "k int, v string", multi_line=True).collect()}
+    assert {k: got[k] for k in (1, 2, 3, 4)} == {1: "one\ntwo", 2: "x", 3: "long\n" * 400, 4: "y"}
+    assert set(got) == {1, 2, 3, 4, 5} and got[5].lstrip('"').startswith("never\nclosed")
