@@ -52,32 +52,81 @@ def keep_first_of_two(examples: DataFrame, first_key: Column, second_key: Column
     return examples.join(two.select("_seq"), F.col(seq) == F.col("_seq"), "left_semi")
 
 
+PLAIN_ROUNDS = 3  # of keep_first_in_turn, before it contracts chains
+
+
+def _resolved_by_leads(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that come first under both of their keys are kept; gives these, and the others."""
+    lead_a = undecided.groupBy("_a").agg(F.min("_seq").alias("_lead_a"))
+    lead_b = undecided.groupBy("_b").agg(F.min("_seq").alias("_lead_b"))
+    led = undecided.join(lead_a, "_a").join(lead_b, "_b")
+    first = (F.col("_lead_a") == F.col("_seq")) & (F.col("_lead_b") == F.col("_seq"))
+    return led.where(first).select(*undecided.columns), led.where(~first)
+
+
+def _roots_of_chains(links: DataFrame) -> DataFrame:
+    """_seq, _to, _flips: where following ``links`` (_seq, _to, _flips) ends, and whether the steps are odd in number. Steps double."""
+    while True:
+        onward = links.select(F.col("_seq").alias("_to"), F.col("_to").alias("_further"), F.col("_flips").alias("_more"))
+        links = cut_lineage(
+            links.join(onward, "_to", "left").select(
+                "_seq",
+                F.coalesce("_further", "_to").alias("_to"),
+                (F.col("_flips") != F.coalesce("_more", F.lit(False))).alias("_flips"),
+                F.col("_further").isNotNull().alias("_moved"),
+            )
+        )
+        if links.where("_moved").limit(1).count() == 0:
+            return links.drop("_moved")
+        links = links.drop("_moved")
+
+
+def _resolved_by_chains(undecided: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decide whole chains at once: gives the rows that are kept, and those that are still open.
+
+    A row that comes first under one key and second under the other has one row before it: it is kept if and only if that
+    one is not. Such rows form chains; followed to their ends, those that end in a row that is kept are decided.
+    """
+    kept, rest = _resolved_by_leads(undecided)
+    kept, rest = cut_lineage(kept), cut_lineage(rest)
+    singles = []
+    for key, lead, other in (("_a", "_lead_a", "_lead_b"), ("_b", "_lead_b", "_lead_a")):
+        # Rows behind the first of a key, and of these the first: the key's second row.
+        second = rest.where(F.col(lead) != F.col("_seq")).groupBy(key).agg(F.min("_seq").alias("_second"))
+        behind = rest.where((F.col(lead) != F.col("_seq")) & (F.col(other) == F.col("_seq")))
+        singles.append(behind.join(second, key).where(F.col("_second") == F.col("_seq")).select("_seq", F.col(lead).alias("_to")))
+    links = singles[0].unionByName(singles[1]).withColumn("_flips", F.lit(True))
+    roots = _roots_of_chains(cut_lineage(links))
+    ended = roots.join(kept.select(F.col("_seq").alias("_to")), "_to", "left_semi")
+    decided = rest.join(ended.select("_seq", "_flips"), "_seq", "left")
+    more = decided.where("not _flips").select(*undecided.columns)  # an even number of steps from a row that is kept
+    return kept.unionByName(more), decided.where("_flips is null").select(*undecided.columns)
+
+
 def keep_first_in_turn(examples: DataFrame, first_key: Column, second_key: Column, seq: str) -> DataFrame:
     """Rows taken in order, each one dropped if either of its keys belongs to a row kept before.
 
-    In every round the rows that come first under both of their keys are kept, and the rows that share a key with
-    them fall out; the result is that of going through the rows one by one. A round is one checkpoint of the keys that
-    are kept or still open, and there are as many rounds as the longest chain of rows that share keys pairwise is long:
-    for tables with long chains use ``keep_first_of_two``.
+    The result is that of going through the rows one by one, found in rounds. In the first rounds the rows that come first
+    under both of their keys are kept, and the rows that share a key with them fall out. What is still open then has
+    long chains of rows that share keys pairwise; later rounds decide whole chains by doubling steps, so that a chain
+    takes as many checkpoints of its keys as the logarithm of its length. Rows with several open rows before them under one
+    key wait for a later round.
     """
     rows = examples.select(F.col(seq).alias("_seq"), digest(first_key).alias("_a"), digest(second_key).alias("_b"))
     # full copies fall out at once
-    state = rows.groupBy("_a", "_b").agg(F.min("_seq").alias("_seq")).withColumn("_kept", F.lit(False))
+    undecided, kept, rounds = rows.groupBy("_a", "_b").agg(F.min("_seq").alias("_seq")), None, 0
     while True:
-        undecided = state.where(~F.col("_kept"))
-        lead_a = undecided.groupBy("_a").agg(F.min("_seq").alias("_seq"))
-        lead_b = undecided.groupBy("_b").agg(F.min("_seq").alias("_seq"))
-        winners = lead_a.join(lead_b, "_seq")
-        by_a = winners.select("_a", F.col("_seq").alias("_win_a"))
-        by_b = winners.select("_b", F.col("_seq").alias("_win_b"))
-        judged = undecided.join(by_a, "_a", "left").join(by_b, "_b", "left")
-        won = F.coalesce((F.col("_win_a") == F.col("_seq")) & (F.col("_win_b") == F.col("_seq")), F.lit(False))
-        open_still = F.col("_win_a").isNull() & F.col("_win_b").isNull()
-        rest = judged.withColumn("_kept", won).where(won | open_still).select(*state.columns)
-        state = cut_lineage(state.where("_kept").unionByName(rest))
-        if state.where(~F.col("_kept")).agg(F.count(F.lit(1))).first()[0] == 0:
+        found, rest = (_resolved_by_leads if rounds < PLAIN_ROUNDS else _resolved_by_chains)(undecided)
+        marked = found.select("_seq", "_a", "_b", F.lit(True).alias("_kept"))
+        by_a, by_b = found.select("_a"), found.select("_b")
+        rest = rest.select("_seq", "_a", "_b", F.lit(False).alias("_kept")).join(by_a, "_a", "left_anti").join(by_b, "_b", "left_anti")
+        state = cut_lineage(marked.unionByName(rest.select(*marked.columns)))
+        found, undecided = state.where("_kept").select("_seq"), state.where("not _kept").drop("_kept")
+        kept = found if kept is None else kept.unionByName(found)
+        rounds += 1
+        if undecided.limit(1).count() == 0:
             break
-    return examples.join(state.select("_seq"), F.col(seq) == F.col("_seq"), "left_semi")
+    return examples.join(kept, F.col(seq) == F.col("_seq"), "left_semi")
 
 
 def hash_bucket(text: Column, buckets: int = 100) -> Column:

@@ -119,6 +119,36 @@ def test_two_keys_equal_going_one_by_one(spark):
     assert sorted(r.id for r in got.collect()) == one_by_one(rows)
 
 
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rows = [(i, i // 2, (i + 1) // 2) for i in range(10_000)]  # each row shares a key with the one before
+    rows += [(20_000 + i, -1 - i // 2, -1 - (i + 1) // 2) for i in range(9, -1, -1)]
+    rows += [(30_000 + i, i % 700, 10_000 + i % 90) for i in range(900)]  # rows that lean on many of the chain
+    frame = spark.createDataFrame(rows, "id bigint, a bigint, b bigint").repartition(4)
+    cuts = []
+    monkeypatch.setattr(curation, "cut_lineage", lambda df, cut=curation.cut_lineage: cuts.append(1) or cut(df))
+    got = curation.keep_first_in_turn(frame.where("id < 20000"), F.col("a"), F.col("b"), "id")
+    assert sorted(r.id for r in got.collect()) == list(range(0, 10_000, 2))
+    assert len(cuts) <= 24  # 3 plain rounds, then 4 and the doubling steps
+    got = curation.keep_first_in_turn(frame, F.col("a"), F.col("b"), "id")
+    assert sorted(r.id for r in got.collect()) == one_by_one(rows)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chains_that_meet(spark, monkeypatch, seed):
+    rnd = random.Random(seed)
+    rows = [(i, rnd.randint(0, 40), rnd.randint(0, 40)) for i in rnd.sample(range(1000), 150)]
+    rows += [(2000 + i, 100 + i // 2 + rnd.randint(0, 1), 100 + (i + 1) // 2) for i in range(60)]
+    monkeypatch.setattr(curation, "PLAIN_ROUNDS", seed % 2)
+    frame = spark.createDataFrame(rows, "id bigint, a bigint, b bigint").repartition(4)
+    got = curation.keep_first_in_turn(frame, F.col("a"), F.col("b"), "id")
+    assert sorted(r.id for r in got.collect()) == one_by_one(rows)
+
+
+def test_two_keys_of_no_rows(spark):
+    frame = spark.createDataFrame([], "id bigint, a bigint, b bigint")
+    assert curation.keep_first_in_turn(frame, F.col("a"), F.col("b"), "id").collect() == []
+
+
 def test_hash_split(spark):
     tasks = [f"task {i} é" for i in range(400)]
     frame = spark.createDataFrame([(t,) for t in tasks], "t string")
