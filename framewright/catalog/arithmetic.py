@@ -38,6 +38,16 @@ def math_pow_large(t):
     return elementwise.math(small, "k", "pow", 20, "result").select("event_id", "result")
 
 
+# exponents of their own for all rows; up to 3^39 = 4052555153018976267, far above 2^53
+@query("""with e as (select event_id, case when user_id % 3 = 2 then -1 else 1 end * (2 + user_id % 2) as b, event_id % 40 as n from events)
+select event_id, b as base, n, list_reduce(list_transform(range(0, n), lambda _ : b::bigint), lambda x, y : x * y, 1::bigint) as result from e""")
+def math_pow_columns(t):
+    bases = t.events.select(
+        "event_id", (F.when(F.col("user_id") % 3 == 2, -1).otherwise(1) * (2 + F.col("user_id") % 2)).alias("base"), (F.col("event_id") % 40).alias("n")
+    )
+    return elementwise.math(bases, "base", "pow", F.col("n"), "result")
+
+
 @query("""select event_id, value = 12.31::double as eq, value <> 12.31::double as ne, value > 12.31::double as gt,
   value >= 12.31::double as ge, value < 12.31::double as lt, value <= 12.31::double as le, event_type = 'view' as is_view,
   false as mixed_eq, true as mixed_ne from events""")

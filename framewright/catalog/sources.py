@@ -192,3 +192,30 @@ def report_list_lines(t):
 def fmt_value(t):
     wide = t.events.select("event_id", (F.col("value") / 7).alias("shown"), (F.col("value") * 1000).alias("large"))
     return wide.select("event_id", *[sinks.value_text(F.col(f.name), f.dataType).alias(f.name) for f in wide.schema.fields[1:]])
+
+
+TABLE_LINES = """
+with cells as (
+  select o_orderkey as pos, o_orderkey::varchar as a, o_orderstatus as b, printf('%.2f', o_totalprice) as c, o_custkey::varchar as d from orders
+), w as (
+  select greatest(max(length(a)), 11) as a, greatest(max(length(b)), 13) as b, greatest(max(length(c)), 13) as c, greatest(max(length(d)), 10) as d from cells
+)
+select 0::bigint as "at", lpad('o_orderkey', w.a::int, ' ') || ' ' || lpad('o_orderstatus', w.b::int, ' ') || ' ' || lpad('o_totalprice', w.c::int, ' ') || ' ' || lpad('o_custkey', w.d::int, ' ') as line from w
+union all
+select pos, lpad(cells.a, w.a::int, ' ') || ' ' || lpad(cells.b, w.b::int, ' ') || ' ' || lpad(cells.c, w.c::int, ' ') || ' ' || lpad(cells.d, w.d::int, ' ') from cells, w
+"""
+
+
+@query(TABLE_LINES)
+def report_table_lines(t):
+    """All orders as an aligned table, in the order of their keys."""
+    return sinks.table_lines(t.orders.select(F.col("o_orderkey").alias("at"), "o_orderkey", "o_orderstatus", "o_totalprice", "o_custkey"), "at")
+
+
+@query("select 'saved' as how, printf('%.1f', round_even(sum(o_totalprice), 1)) as text, 1::bigint as parts from orders")
+def sink_scalar(t):
+    """One total, saved without a line end and read back whole: its text and the number of files that hold it."""
+    folder = scratch_path(t.spark)
+    sinks.save_scalar(t.orders.agg(F.format_string("%.1f", agg.round_even(F.sum("o_totalprice"), 1)).alias("v")), folder)
+    files = readers.read_text(t.spark, folder).where("length(value) > 0")
+    return files.agg(F.lit("saved").alias("how"), F.max("value").alias("text"), F.count(F.lit(1)).alias("parts"))

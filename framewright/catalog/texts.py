@@ -54,6 +54,17 @@ def fmt_decimals(t):
     return both.select("o_orderkey", parts[0].alias("two"), parts[1].alias("zero"))
 
 
+@query("""select event_id, printf('%.3e', value / 7) as e, printf('%.4g', value * 1000) as g, printf('%+.1f', value - 50) as signed,
+  replace(format('{:,}', event_id * 1000), ',', '_') as marked, printf('%+08.2f', value) as zeros from events""")
+def fmt_kinds(t):
+    frame = t.events.select(
+        "event_id", (F.col("value") / 7).alias("a"), (F.col("value") * 1000).alias("b"), (F.col("value") - 50).alias("c"), (F.col("event_id") * 1000).alias("d"), "value"
+    )
+    done = sinks.fmt(frame, "{a:.3e}|{b:.4g}|{c:+.1f}|{d:_}|{value:+08.2f}", keep=["event_id"])
+    parts = F.split("line", r"\|")
+    return done.select("event_id", *(parts[i].alias(name) for i, name in enumerate(("e", "g", "signed", "marked", "zeros"))))
+
+
 SIZES = [("ge", 300), ("ge", 100)]
 SIZE_NAMES = ["large", "medium", "small"]
 SIZE_SQL = "case when {0} >= 300 then 'large' when {0} >= 100 then 'medium' else 'small' end"

@@ -6,6 +6,7 @@ import re
 from decimal import Decimal
 from string import Formatter
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,8 @@ def fixed_decimals(c: Column, digits: int, grouped: bool = False) -> Column:
     """``c`` with exactly ``digits`` decimals, rounded half-even on its exact binary value."""
     c = c.cast("double")
     size = F.abs(c)
-    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+    negative_zero = (c == 0) & c.cast("string").startswith("-")
+    sign = F.when((c < 0) | negative_zero, F.lit("-")).otherwise(F.lit(""))
     if digits == 0:
         whole = F.rint(size).cast("bigint")
         text = F.format_number(whole, 0) if grouped else whole.cast("string")
@@ -114,24 +116,46 @@ def padded(text: Column, width: int, align: str, fill: str = " ") -> Column:
     return F.when(F.length(text) < width, wide).otherwise(text)
 
 
-SPEC = re.compile(r"(?:(?P<fill>.)?(?P<align>[<>^]))?(?P<zero>0)?(?P<width>\d+)?(?P<comma>,)?(?:\.(?P<digits>\d+))?(?P<kind>[df%s])?")
+SPEC = re.compile(
+    r"(?:(?P<fill>.)?(?P<align>[<>^=]))?(?P<sign>[-+ ])?(?P<zero>0)?(?P<width>\d+)?(?P<mark>[,_])?(?:\.(?P<digits>\d+))?(?P<kind>[dfFeEgG%s])?"
+)
+
+
+def significant_digits(c: Column, spec: str) -> Column:
+    """``c`` under a format of kind ``e`` or ``g``: so many significant digits of its exact binary value, ties to even.
+
+    The value of a double has up to 767 digits; no built-in expression has them, so batches of values go through an
+    Arrow function. Whole numbers go through double, as they do in any such format.
+    """
+
+    @F.arrow_udf("string")
+    def formatted(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else format(v, spec) for v in values.to_pylist()], pa.string())
+
+    return formatted(c.cast("double"))
 
 
 def spec_text(c: Column, dtype: T.DataType, spec: str) -> Column:
-    """``c`` under a number or text format: ``.2f``, ``,``, ``,.0f``, ``d``, ``05d``, ``.1%``, ``>8``."""
+    """``c`` under a number or text format: ``.2f``, ``,``, ``_d``, ``+.1f``, ``05d``, ``.1%``, ``.3e``, ``g``, ``>8``, ``=+9.2f``."""
     if not spec:
         return value_text(c, dtype)
     parts = SPEC.fullmatch(spec)
     if parts is None:
         raise ValueError(f"unsupported format {spec!r}")
     number = isinstance(dtype, WHOLE + FLOATING)
-    kind, comma = parts["kind"], bool(parts["comma"])
-    if (kind in ("d", "f", "%") or comma) and not number:
+    kind, mark = parts["kind"], parts["mark"]
+    comma = bool(mark)
+    if (kind not in (None, "s") or comma or parts["sign"] or parts["align"] == "=") and not number:
         raise ValueError(f"format {spec!r} needs a number, not {dtype.simpleString()}")
     if kind == "d" and not isinstance(dtype, WHOLE):
         raise ValueError(f"format {spec!r} needs a whole number")
-    if kind == "f":
+    if kind == "s" and number:
+        raise ValueError(f"format {spec!r} needs a text, not {dtype.simpleString()}")
+    if kind in ("e", "E", "g", "G"):
+        return significant_digits(c, spec)
+    if kind in ("f", "F"):
         text = fixed_decimals(c, int(parts["digits"] or 6), comma)
+        text = F.upper(text) if kind == "F" else text
     elif kind == "%":
         text = F.concat(fixed_decimals(c.cast("double") * F.lit(100.0), int(parts["digits"] or 6), comma), F.lit("%"))
     elif parts["digits"] and number:
@@ -142,7 +166,7 @@ def spec_text(c: Column, dtype: T.DataType, spec: str) -> Column:
         short = plain_text(c, dtype)
         usual = F.abs(c.cast("double")) < F.lit(1e16)
         parted = F.concat(
-            F.when(c < 0, F.lit("-")).otherwise(F.lit("")),
+            F.when(short.startswith("-"), F.lit("-")).otherwise(F.lit("")),
             F.format_number(F.floor(F.when(usual, F.abs(c.cast("double")))), 0),
             F.lit("."),
             F.substring_index(short, ".", -1),
@@ -152,15 +176,35 @@ def spec_text(c: Column, dtype: T.DataType, spec: str) -> Column:
         text = plain_text(c, dtype)
         if parts["digits"]:
             text = F.left(text, F.lit(int(parts["digits"])))
+    if mark == "_":
+        text = F.translate(text, ",", "_")
+    if parts["sign"] in ("+", " "):
+        text = F.when(text.startswith("-"), text).otherwise(F.concat(F.lit(parts["sign"]), text))
     if not parts["width"]:
         return text
-    width = int(parts["width"])
-    if parts["zero"] and not parts["align"]:
-        sign = F.when(text.startswith("-"), F.lit("-")).otherwise(F.lit(""))
-        body = F.regexp_replace(text, "^-", "")
-        zeros = F.repeat(F.lit("0"), F.greatest(F.lit(width) - F.length(text), F.lit(0)))
-        return F.concat(sign, zeros, body)
-    return padded(text, width, parts["align"] or (">" if number else "<"), parts["fill"] or " ")
+    width, align, fill = int(parts["width"]), parts["align"], parts["fill"]
+    if parts["zero"]:
+        align, fill = align or ("=" if number else "<"), fill or "0"
+    fill = fill or " "
+    if align == "=":
+        sign = F.regexp_extract(text, "^[-+ ]", 0)
+        body = F.substr(text, F.length(sign) + 1)
+        if mark and fill == "0" and parts["zero"]:
+            return F.concat(sign, _grouped_zeros(body, F.lit(width) - F.length(sign), mark))
+        return F.concat(sign, F.repeat(F.lit(fill), F.greatest(F.lit(width) - F.length(text), F.lit(0))), body)
+    return padded(text, width, align or (">" if number else "<"), fill)
+
+
+def _grouped_zeros(body: Column, width: Column, mark: str) -> Column:
+    """Zeros in front of a grouped number up to ``width``, grouped too; a mark never comes first, so it may get one wider."""
+    whole = F.regexp_extract(body, rf"^[0-9{mark}]*", 0)
+    behind = F.substr(body, F.length(whole) + 1)
+    room = F.greatest(width - F.length(behind), F.length(whole))
+    digits = room - F.floor(room / 4).cast("int") + F.when(room % 4 == 0, 1).otherwise(0)  # a mark in front takes a digit before it
+    filled = F.lpad(F.regexp_replace(whole, mark, ""), digits, F.lit("0"))
+    grouped = F.reverse(F.regexp_replace(F.reverse(filled), r"(\d{3})(?=\d)", "$1" + mark))
+    plain = F.regexp_replace(body, "[0-9].*", "") != ""  # inf and nan have no groups
+    return F.when(plain, F.lpad(body, F.greatest(width, F.length(body)), F.lit("0"))).otherwise(F.concat(grouped, behind))
 
 
 def _filled(text: str, piece) -> Column:

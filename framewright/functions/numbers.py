@@ -71,18 +71,43 @@ def true_div(a: Column, n, strict: bool = False) -> Column:
 
 
 def power(a: Column, n, integral: bool = False) -> Column:
-    """``a`` to the power ``n``; with ``integral`` the result is a whole number, exact for every exponent.
+    """``a`` to the power ``n``; with ``integral`` the result is a whole number, exact for every exponent, a column too.
 
-    Repeated squaring on ``bigint``; a result that does not fit raises under ANSI rules.
+    Repeated squaring on ``bigint``; a result that does not fit raises under ANSI rules, and so does a negative exponent of a
+    whole number (a column's when it is met, a literal's at once).
     """
-    if integral and isinstance(n, int) and n >= 0:
-        result, square = F.lit(1).cast("bigint"), a.cast("bigint")
-        while n:
-            if n & 1:
-                result = result * square
-            n >>= 1
-            if n:
-                square = square * square
-        return result
-    raised = F.pow(a.cast("double"), as_column(n).cast("double"))
-    return raised.cast("bigint") if integral else raised
+    if not integral:
+        return F.pow(a.cast("double"), as_column(n).cast("double"))
+    if isinstance(n, Column):
+        return _column_power(a.cast("bigint"), n.cast("bigint"))
+    if n != int(n) or n < 0:
+        raise ValueError(f"a whole number to the power {n} is not whole")
+    result, square, n = F.lit(1).cast("bigint"), a.cast("bigint"), int(n)
+    while n:
+        if n & 1:
+            result = result * square
+        n >>= 1
+        if n:
+            square = square * square
+    return result
+
+
+def _column_power(a: Column, n: Column) -> Column:
+    """Squaring along the bits of each row's exponent; a square that the exponent does not reach is not made, so none overflows in vain."""
+    bits = F.array(*(F.lit(1 << i).cast("bigint") for i in range(6)))
+
+    def step(state: Column, bit: Column) -> Column:
+        result = F.when(n.bitwiseAND(bit) != 0, state["result"] * state["square"]).otherwise(state["result"])
+        square = F.when(n >= 2 * bit, state["square"] * state["square"]).otherwise(state["square"])
+        return F.struct(result.alias("result"), square.alias("square"))
+
+    one = F.lit(1).cast("bigint")
+    raised = F.aggregate(bits, F.struct(one.alias("result"), a.alias("square")), step, lambda state: state["result"])
+    small = F.when((a == 1) | (n == 0), one).when(a == 0, F.lit(0).cast("bigint")).when(a == -1, F.when(n % 2 == 0, 1).otherwise(-1).cast("bigint"))
+    return (
+        F.when(a.isNull() | n.isNull(), F.lit(None).cast("bigint"))
+        .when(n < 0, F.raise_error(F.lit("a whole number to a negative power is not whole")).cast("bigint"))
+        .when(a.between(-1, 1) | (n == 0), small)
+        .when(n > 63, F.raise_error(F.lit("the power does not fit 64 bits")).cast("bigint"))
+        .otherwise(raised)
+    )

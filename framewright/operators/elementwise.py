@@ -16,8 +16,11 @@ from framewright.operators.select import COMPARE, condition
 ARITHMETIC = ("add", "sub", "mul", "div", "mod", "pow")
 
 
-def arithmetic(c: Column, dtype: T.DataType, op: str, n) -> Column:
-    """``c op n``; on text ``add`` appends and ``mul`` repeats."""
+def arithmetic(c: Column, dtype: T.DataType, op: str, n, whole_exponent: bool = False) -> Column:
+    """``c op n``; on text ``add`` appends and ``mul`` repeats.
+
+    ``n`` may be a Column; as the exponent of a whole number it gives a whole number if ``whole_exponent``.
+    """
     if isinstance(dtype, T.StringType):
         if op == "add":
             return F.concat(c, numbers.as_column(n))
@@ -36,14 +39,14 @@ def arithmetic(c: Column, dtype: T.DataType, op: str, n) -> Column:
     if op == "mod":
         return numbers.floor_mod(c, n)
     if op == "pow":
-        return numbers.power(c, n, integral=whole and isinstance(n, int) and n >= 0)
+        return numbers.power(c, n, integral=whole and (whole_exponent if isinstance(n, Column) else isinstance(n, int) and n >= 0))
     raise ValueError(f"unknown operator {op!r}")
 
 
-def binary(c: Column, dtype: T.DataType, op: str, n) -> Column:
+def binary(c: Column, dtype: T.DataType, op: str, n, whole_exponent: bool = False) -> Column:
     """Arithmetic, or a comparison that gives a boolean Column (null where ``c`` is null)."""
     if op in ARITHMETIC:
-        return arithmetic(c, dtype, op, n)
+        return arithmetic(c, dtype, op, n, whole_exponent)
     if op in COMPARE or op in ("eq", "ne"):
         return condition(c, dtype, op, n)
     raise ValueError(f"unknown operator {op!r}")
@@ -59,8 +62,9 @@ def _apply(df: DataFrame, name: str, alias: str | None, block: Callable[[Column,
 
 
 def math(df: DataFrame, name: str, op: str, n, alias: str | None = None) -> DataFrame:
-    """``name op n`` on a column or on every element of an array column."""
-    return _apply(df, name, alias, lambda c, dtype: binary(c, dtype, op, n))
+    """``name op n`` on a column or on every element of an array column; ``n`` may be a Column with a value for each row."""
+    whole = isinstance(n, Column) and isinstance(df.select(n).schema[0].dataType, WHOLE)
+    return _apply(df, name, alias, lambda c, dtype: binary(c, dtype, op, n, whole))
 
 
 def math_all_columns(df: DataFrame, op: str, n, names: list[str] | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """Readers and writers."""
 
 import csv
+import glob
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +138,34 @@ def test_several_files_and_what_is_odd_about_them(spark, tmp_path, small_ranges)
     got = {r["k"]: r["v"] for r in readers.csv(spark, str(tmp_path / "f"), "k int, v string", multi_line=True).collect()}
     assert {k: got[k] for k in (1, 2, 3, 4)} == {1: "one\ntwo", 2: "x", 3: "long\n" * 400, 4: "y"}
     assert set(got) == {1, 2, 3, 4, 5} and got[5].lstrip('"').startswith("never\nclosed")
+
+
+@pytest.mark.parametrize("value, text", [(2.5, "2.5"), (-0.0, "-0"), ("two\nlines é", "two\nlines é"), ("x", "x"), ("é", "é"), (None, "None"), ("", "")])
+def test_a_saved_scalar_has_no_line_end(spark, folder, value, text):
+    kind = "string" if isinstance(value, str) else "double"
+    frame = spark.createDataFrame([(value,)], f"v {kind}")
+    for _ in range(2):  # saved over itself
+        assert sinks.save_scalar(frame, folder("one")) is frame
+        parts = glob.glob(folder("one") + "/part-*")
+        assert b"".join(open(p, "rb").read() for p in parts) == text.encode() and len(parts) <= 1
+    assert [r.line for r in sinks.scalar_lines(frame).collect()] == ([] if value is None else [text])
+
+
+@pytest.mark.parametrize("columns", [
+    {"a": [1, -22], "name": ["x", "long é"], "v": [1.5, None], "t": [True, False], "n": [None, "q"], "whole": [2.0, 3.0], "wide header": [1, 2]},
+    {"v": [0.1234567, 2.5], "w": [1234567.25, 0.1]},
+    {"s": [1e-9, 5.0], "big": [123456789.125, 2.5], "none": [None, None]},
+    {"zero": [0.0, -0.0], "inf": [float("inf"), 1.25], "z": [1e-7, 0.0]},
+])
+def test_aligned_tables_equal_those_of_pandas(spark, columns):
+    kinds = {bool: "boolean", int: "bigint", float: "double", str: "string"}
+    ddl = ", ".join(f"`{c}` {kinds[type(next((x for x in v if x is not None), 0.0))]}" for c, v in columns.items())
+    frame = spark.createDataFrame([(i, *row) for i, row in enumerate(zip(*columns.values()), 1)], f"seq int, {ddl}").repartition(3)
+    lines = [r.line for r in sinks.table_lines(frame, "seq").orderBy("at").collect()]
+    want = pd.DataFrame({c: [float("nan") if x is None and ddl.split(f"`{c}` ")[1].startswith("double") else x for x in v] for c, v in columns.items()})
+    assert lines == want.to_string(index=False).split("\n")
+
+
+def test_an_aligned_table_without_rows_has_its_names(spark):
+    frame = spark.createDataFrame([], "seq int, a double, bc string")
+    assert [tuple(r) for r in sinks.table_lines(frame, "seq").collect()] == [(0, " a bc")]

@@ -71,7 +71,10 @@ def doubles(spark):
         (lambda c: numbers.round_exact(c, 0), lambda x: float(round(x))),
         *[
             (lambda c, s=spec: formatting.spec_text(c, T.DoubleType(), s), lambda x, s=spec: format(x, s))
-            for spec in (".3f", ".1%", ",", ",.0f", "012.3f", ">14", "*^15", "<9")
+            for spec in (
+                ".3f", ".1%", ",", ",.0f", "012.3f", ">14", "*^15", "<9", "e", ".0e", "+.3E", ".17e", ".40g", "g", "G", " .4g", "_.2f", "_", "+", " .1f",
+                "+012.2f", "=+14.3f", "x=12.1f", "014,.2f", "015_.1f", "+016,.0f", "013,.0f", "_g", "020,.3e", ".1F",
+            )
         ],
     ],
 )
@@ -80,6 +83,55 @@ def test_number_rule_equals_python(doubles, rule, python):
     assert [(r.v, r.got, python(r.v)) for r in rows if r.got != python(r.v)][:5] == []
 
 
+@pytest.mark.parametrize("spec", ["e", ".3e", ".25e", "g", ".3g", ".30g", "+.1f", ".2f", "_.3f", "", "08.1f", "+010,.1f", "010,.1f", ".1%", "F", "G"])
+def test_odd_doubles_equal_python(spark, spec):
+    rnd = random.Random(9)
+    values = [-0.0, 0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, -1e-9, 0.5, 1.5, 2.5, math.inf, -math.inf, math.nan, 1e16, 123456.5]
+    if "e" in spec or "g" in spec or "G" in spec:
+        values += [struct.unpack("d", struct.pack("Q", rnd.getrandbits(64)))[0] for _ in range(300)]
+    else:
+        values = [v for v in values if abs(v) < 1e15 or math.isinf(v) or math.isnan(v)]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate([*values, None])], "i int, v double")
+    for row in frame.select("i", formatting.spec_text(F.col("v"), T.DoubleType(), spec).alias("t")).collect():
+        if row["i"] == len(values):
+            assert row["t"] == ("None" if spec == "" else None)
+        else:
+            v = values[row["i"]]
+            want = format(v, spec) if spec else f"{v:.6f}".rstrip("0").rstrip(".")
+            assert row["t"] == want, (v, spec)
+
+
+def test_whole_number_formats_equal_python(spark):
+    rnd = random.Random(3)
+    values = [0, -1, 7, 999, 1000, -1000, 2**63 - 1, -(2**63)] + [rnd.randint(-(10**9), 10**9) >> rnd.randint(0, 29) for _ in range(80)]
+    frame = spark.createDataFrame([(v,) for v in values], "v bigint")
+    for spec in ("+d", " d", "_d", "+,d", "012,d", "+012_d", "05d", "=+8d", "*=9d", "<08d", ",", "_", "+", ".2e", "g", ".3g", "011,"):
+        if spec in (".2e", "g", ".3g"):
+            some = frame.where(F.abs(F.col("v").cast("double")) < 2.0**53)
+        else:
+            some = frame
+        for row in some.select("v", formatting.spec_text(F.col("v"), T.LongType(), spec).alias("t")).collect():
+            assert row["t"] == format(row["v"], spec), (row["v"], spec)
+
+
+def test_formats_that_do_not_fit_the_type(spark):
+    for spec, kind in (("e", T.StringType()), ("_", T.StringType()), ("+", T.StringType()), ("=5", T.StringType()), ("d", T.DoubleType()), ("s", T.LongType()), (".2", T.DoubleType())):
+        with pytest.raises(ValueError):
+            formatting.spec_text(F.col("v"), kind, spec)
+
+
+def test_powers_of_columns(spark):
+    pairs = [(a, n) for a in (-3, -1, 0, 1, 2, 3, 10) for n in (0, 1, 2, 5, 18)] + [(3, 35), (3, 39), (-3, 39), (2, 62), (-2, 63), (7, 22), (1, 10**9), (-1, 10**9 + 1), (0, 10**9), (2**31, 2), (None, 2), (2, None), (1, None)]
+    frame = spark.createDataFrame(pairs, "a bigint, n bigint")
+    for row in frame.select("a", "n", numbers.power(F.col("a"), F.col("n"), integral=True).alias("p")).collect():
+        assert row["p"] == (None if row["a"] is None or row["n"] is None else row["a"] ** row["n"]), row
+    for a, n in ((2, 63), (3, 41), (10, 64), (2, -1), (1, -1)):
+        with pytest.raises(Exception, match="OVERFLOW|not fit|negative"):
+            spark.createDataFrame([(a, n)], "a bigint, n bigint").select(numbers.power(F.col("a"), F.col("n"), integral=True)).collect()
+    with pytest.raises(ValueError):
+        numbers.power(F.col("a"), -1, integral=True)
+
+
 def test_unusual_numbers_and_nulls(spark):
     frame = spark.createDataFrame([(math.nan,), (math.inf,), (-math.inf,), (None,)], "v double")
     shown = [r[0] for r in frame.select(formatting.value_text(F.col("v"), T.DoubleType())).collect()]
