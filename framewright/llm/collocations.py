@@ -12,7 +12,6 @@ one with a weight. Phrases of hot words shorter than what dealt them are counted
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +23,7 @@ from pyspark.sql import functions as F
 from framewright.llm import blocks
 from framewright.session import scratch_path
 
-SLICE_BYTES = 4 << 20
-HELD_WORDS = 300_000  # distinct words that a task counts before it hands them on
+BUCKETS = 256  # at least, so that a slice of a small table is dealt out as that of a large one
 HOT_WORDS = 65_536  # more words cannot be hot: each has over 1 / HOT_WORDS of all occurrences
 UNKNOWN = "und"
 
@@ -56,14 +54,27 @@ class _Words:
         breaks = np.concatenate([[0], np.cumsum(BREAK[self.body], dtype=np.int64)])
         new = np.ones(len(start), bool)
         new[1:] = (row[1:] != row[:-1]) | (breaks[start[1:]] > breaks[end[:-1]])
-        self.piece = np.cumsum(new)
-        hashes = blocks.word_hashes(self.body, start, end)
-        self.hashes, self._first, self.word = np.unique(hashes, return_index=True, return_inverse=True)
-        self._start, self._end = start, end
+        self.piece = np.cumsum(new, dtype=np.int32)
+        known = pa.array(blocks.word_hashes(self.body, start, end)).dictionary_encode()
+        self.hashes, self.word = known.dictionary.to_numpy(), known.indices.to_numpy()
+        first = np.zeros(len(self.hashes), np.int64)
+        first[self.word[::-1]] = np.arange(len(self.word) - 1, -1, -1)
+        self._start, self._size = start[first], end[first] - start[first]
 
-    def name(self, number: int) -> bytes:
-        at = self._first[number]
-        return self.body[self._start[at] : self._end[at]].tobytes()
+    def names(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of the words of these numbers, each with a line end behind, and their sizes with it."""
+        size = self._size[numbers] + 1
+        ends = np.cumsum(size)
+        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self._start[numbers] - (ends - size), size)
+        joined = self.body[np.minimum(place, len(self.body) - 1)]
+        joined[ends - 1] = 10
+        return joined, size
+
+
+def _split(joined: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of words that each have a line end behind."""
+    end = np.flatnonzero(joined == 10)
+    return np.concatenate([[0], end[:-1] + 1]), end
 
 
 def _columns(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -74,26 +85,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """lang, word, n: all occurrences of every word. ``docs`` has lang and text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            keys = list(held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()).cast(pa.string()), pa.array(held.values(), pa.int64())],
-                schema=_COUNTED,
-            )
-
-        for rows, texts in blocks.slices(batches, "text", SLICE_BYTES):
+        for rows, texts in blocks.slices(batches, "text"):
             words = _Words(rows.column("lang"), texts)
-            width = max(len(words.hashes), 1)
-            codes, times = np.unique(words.lang.astype(np.int64) * width + words.word, return_counts=True)
-            for code, n in zip(codes.tolist(), times.tolist()):
-                held[words.langs[code // width], words.name(code % width)] += n
-            if len(held) >= HELD_WORDS:
-                yield out()
-                held.clear()
-        if held:
-            yield out()
+            width = len(words.hashes)
+            times = np.bincount(words.lang.astype(np.int64) * width + words.word)
+            codes = np.flatnonzero(times)
+            if len(codes) == 0:
+                continue
+            joined, size = words.names(codes % width)
+            inside = np.ones(len(joined), bool)
+            inside[np.cumsum(size) - 1] = False
+            offsets = np.concatenate([[0], np.cumsum(size - 1)]).astype(np.int32)
+            names = pa.StringArray.from_buffers(len(codes), pa.py_buffer(offsets), pa.py_buffer(joined[inside]))
+            langs = pa.array(words.langs, pa.string()).take(pa.array(codes // width))
+            yield pa.RecordBatch.from_arrays([langs, names, pa.array(times[codes])], schema=_COUNTED)
 
     return docs.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -109,20 +114,31 @@ def _hot_hashes(hot: list) -> dict[str, np.ndarray]:
     return hashed
 
 
+def _numbered(suffix: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers from 1 on that occur, and the suffixes with their places in that list, counted from 1; 0 stays 0."""
+    if suffix.size * 8 > words:
+        seen = np.zeros(words, bool)
+        seen[suffix] = True
+        seen[0] = False
+        return np.flatnonzero(seen), np.cumsum(seen)[suffix] * (suffix > 0)
+    used, local = np.unique(suffix, return_inverse=True)
+    return (used[1:], local) if used[0] == 0 else (used, local + 1)
+
+
 def _suffixes(docs: DataFrame, longest: int, hot: list, buckets: int) -> DataFrame:
     """Suffixes of two words or more in blocks: one row for the suffixes of a slice that go to one bucket."""
     hot_hashes = _hot_hashes(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in blocks.slices(batches, "text", SLICE_BYTES):
+        for rows, texts in blocks.slices(batches, "text"):
             words = _Words(rows.column("lang"), texts)
             n = len(words.word)
             kept = np.flatnonzero(np.concatenate([words.piece[1:] == words.piece[:-1], [False]])) if n else np.zeros(0, np.int64)
             if len(kept) == 0:
                 continue
             # Word numbers from 1 on; 0 stands where the piece has ended.
-            number = np.concatenate([words.word + 1, np.zeros(longest, np.int64)])
-            piece = np.concatenate([words.piece, np.full(longest, -1)])
+            number = np.concatenate([words.word + np.int32(1), np.zeros(longest, np.int32)])
+            piece = np.concatenate([words.piece, np.full(longest, -1, np.int32)])
             suffix = np.stack([np.where(piece[kept + d] == piece[kept], number[kept + d], 0) for d in range(longest)])
             hashes = np.concatenate([np.zeros(1, np.uint64), words.hashes])
             lang = words.lang[kept]
@@ -160,16 +176,11 @@ def _suffixes(docs: DataFrame, longest: int, hot: list, buckets: int) -> DataFra
             out = {name: [] for name in _DEALT.names}
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
                 some = at[a:b]
-                used, local = np.unique(suffix[:, some], return_inverse=True)
-                # A local dictionary: its number 0 is the end of a piece, whether one occurs or not.
-                if used[0] == 0:
-                    used = used[1:]
-                else:
-                    local = local + 1
+                used, local = _numbered(suffix[:, some], len(hashes))
                 out["bucket"].append(int(bucket[some[0]]))
                 out["lang"].append(words.langs[lang[some[0]]])
                 out["led_by"].append(int(led_by[some[0]]))
-                out["words"].append(b"\n".join([words.name(w - 1) for w in used.tolist()]))
+                out["words"].append(words.names(used - 1)[0].tobytes())
                 out["suffixes"].append(local.astype("<u2" if len(used) < 65_536 else "<u4").tobytes())
                 out["weights"].append(b"" if weight[a:b].max() == 1 else weight[a:b].astype("<u4").tobytes())
             yield pa.RecordBatch.from_pydict(out, schema=_DEALT)
@@ -211,25 +222,33 @@ def _mined(table: pa.Table, longest: int, least: int) -> pa.Table:
         for lang, led_by, words, suffixes, weights in zip(*(row.column(c) for c in row.schema.names)):
             groups.setdefault((lang.as_py(), led_by.as_py()), []).append((words.as_py(), suffixes.as_buffer(), weights.as_buffer()))
     for (lang, led_by), parts in groups.items():
-        numbers: dict[bytes, int] = {}
-        found, counted = [], []
+        joined = np.frombuffer(b"".join(words for words, _, _ in parts), np.uint8)
+        start, end = _split(joined)
+        known = pa.array(blocks.word_hashes(joined, start, end)).dictionary_encode()
+        number = known.indices.to_numpy() + np.int32(1)
+        first = np.zeros(len(known.dictionary) + 1, np.int64)
+        first[number[::-1]] = np.arange(len(number) - 1, -1, -1)
+        found, counted, before = [], [], 0
         for words, suffixes, weights in parts:
-            names = words.split(b"\n")
-            lookup = np.array([0, *(numbers.setdefault(w, len(numbers) + 1) for w in names)], np.int32)
-            suffix = lookup[np.frombuffer(suffixes, "<u2" if len(names) < 65_536 else "<u4").reshape(longest, -1)]
+            size = words.count(b"\n")
+            lookup = np.concatenate([np.zeros(1, np.int32), number[before : before + size]])
+            suffix = lookup[np.frombuffer(suffixes, "<u2" if size < 65_536 else "<u4").reshape(longest, -1)]
+            before += size
             found.append(suffix)
             counted.append(np.frombuffer(weights, "<u4").astype(np.int64) if weights.size else np.ones(suffix.shape[1], np.int64))
-        columns, names = np.concatenate(found, axis=1), [b"", *numbers]
+        columns = np.concatenate(found, axis=1)
+        del found, parts
         for pointer, size, n in phrases(list(columns), np.concatenate(counted), least, led_by):
             out["lang"].append(lang)
-            out["phrase"].append(b" ".join([names[w] for w in columns[:size, pointer].tolist()]).decode())
+            at = first[columns[:size, pointer]].tolist()
+            out["phrase"].append(b" ".join([joined[start[i] : end[i]].tobytes() for i in at]).decode())
             out["size"].append(size)
             out["n"].append(n)
     return pa.Table.from_pydict(out, schema=_FOUND)
 
 
 def mine(
-    docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, text: str = "text", lang: str = "lang", capacity: int = 1_000_000
+    docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, text: str = "text", lang: str = "lang", capacity: int = 2_000_000
 ) -> DataFrame:
     """The best phrases of each language: lang, rank (from 1), phrase, a, l, r, n, score.
 
@@ -239,7 +258,7 @@ def mine(
     Other columns of ``docs``, whatever their names, are not looked at; repeated rows count each time; an empty table, or texts
     of single words, give no rows. Equal scores stand by a, then by the phrase's bytes.
 
-    Runs jobs: words are counted and phrases mined, and both are written. ``capacity`` is about the number of suffixes of a
+    Runs jobs: words are counted and phrases mined, and both are written. ``capacity`` is about the most suffixes of a
     bucket, which one task sorts.
     """
     spark, docs = docs.sparkSession, _columns(docs, text, lang)
@@ -248,7 +267,7 @@ def mine(
     words = spark.read.parquet(words_path)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = words.where(F.col("n") > max(capacity, total // HOT_WORDS)).select("lang", "word").collect()
-    dealt = _suffixes(docs, longest, hot, max(1, -(-total // capacity)))
+    dealt = _suffixes(docs, longest, hot, max(BUCKETS, -(-total // capacity)))
     found = dealt.groupBy("bucket").applyInArrow(lambda table: _mined(table, longest, least), _FOUND_DDL)
     (
         found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"))
