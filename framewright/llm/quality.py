@@ -19,7 +19,8 @@ from framewright.llm import blocks
 from framewright.llm.sampling import labelled_sample
 
 SAMPLE = 20_000  # labelled documents that rules are learned from; the choice goes by a hash of the doc_id
-TREES, DEPTH, KEPT_CANDIDATES = 24, 3, 160
+TREES, DEPTH = 24, 3
+CANDIDATES = 160  # rules that the lasso chooses from, those that go best with the label; 24 trees of depth 3 have 336 paths at most
 
 STATISTICS = (
     "n_words", "mean_word_chars", "distinct_share", "repeat_share", "symbol_share", "letter_share", "upper_share", "digit_share",
@@ -173,8 +174,11 @@ def _holds(rule: tuple[Condition, ...], x: np.ndarray) -> np.ndarray:
     return inside
 
 
-def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3, steps: int = 400) -> RuleModel:
-    """Rules and lasso weights from statistics and labels (0/1). With one class only, no rule and that class's odds."""
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3, steps: int = 400, candidates: int = CANDIDATES) -> RuleModel:
+    """Rules and lasso weights from statistics and labels (0/1). With one class only, no rule and that class's odds.
+
+    ``candidates`` bounds the rules that the lasso chooses from; it bounds the model, not the rows.
+    """
     share = float(y.mean()) if len(y) else 0.5
     if not len(y) or share in (0.0, 1.0):
         return RuleModel((), 0.0 if not len(y) else (40.0 if share else -40.0))
@@ -183,7 +187,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3, steps: int = 400) -
     spread = matrix.std(axis=1)
     strength = np.abs(((matrix - matrix.mean(axis=1, keepdims=True)) * (y - share)).mean(axis=1)) / np.maximum(spread, 1e-9)
     order = np.argsort(-strength, kind="stable")
-    order = [i for i in order if spread[i] > 0][:KEPT_CANDIDATES]
+    order = [i for i in order if spread[i] > 0][:candidates]
     rules, matrix = [rules[i] for i in order], matrix[order]
     # Lasso by accelerated proximal gradient steps; the bias is not penalized.
     w, bias = np.zeros(len(rules)), float(np.log(share / (1 - share)))
@@ -201,7 +205,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 2e-3, steps: int = 400) -
     return RuleModel(tuple((r, float(v)) for r, v in zip(rules, w, strict=True) if abs(v) > 1e-6), bias)
 
 
-def train(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
+def train(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates: int = CANDIDATES) -> RuleModel:
     """Learn from ``statistics`` and ``labels`` (doc_id, label 0/1): at most ``sample`` labelled documents.
 
     Null labels are passed over; of several labels of a document the smallest counts, of rows that repeat a doc_id any one.
@@ -210,7 +214,7 @@ def train(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleM
     rows = measured.select("doc_id", *COLUMNS).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
     rows = sorted(rows.collect(), key=lambda r: r["doc_id"])
     x = np.array([[r[c] for c in COLUMNS] for r in rows], float).reshape(-1, len(STATISTICS))
-    return fit(x, np.array([r["label"] for r in rows], float))
+    return fit(x, np.array([r["label"] for r in rows], float), candidates=candidates)
 
 
 def score(measured: DataFrame, model: RuleModel, name: str = "score") -> DataFrame:

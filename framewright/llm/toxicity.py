@@ -29,7 +29,7 @@ BITS = 20
 PREFIXES = (4, 5, 6)  # beside the whole word, its first bytes: stems
 _LEAK = 0.03
 OFFENDING = 0.5  # a sentence with this probability or more offends
-_CHOSEN = 30_000  # features trained, those that speak most for the label; all others weigh nothing
+FEATURES = 30_000  # trained, those that speak most for the label; all others weigh nothing
 
 _OUTSIDE = np.ones(256, bool)
 _OUTSIDE[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(0x80, 0x100)]] = False
@@ -73,18 +73,19 @@ def _probabilities(model: Model, texts: pa.LargeStringArray) -> tuple[np.ndarray
     return -np.maximum(np.logaddexp(0, z) - model.background, 0.0), text[first], first, np.append(first[1:], len(found))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chosen: int = FEATURES) -> Model:
     """Learn from ``labels`` (doc_id, label 0/1) and ``docs`` (doc_id, text).
 
     Null labels are passed over; of several labels of a document the greatest counts. Without labelled documents, or
-    with one class only, the model gives every text with words that class.
+    with one class only, the model gives every text with words that class. ``chosen`` bounds the features that get a weight; it
+    bounds the model, not the rows.
     """
     spark = docs.sparkSession
     picked = labelled_sample(labels, sample, F.max)
 
     # ``picked`` has at most ``sample`` rows; of rows that repeat a doc_id any one is learned from.
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("label", "text")
-    able, kinds = _speaking(rows)
+    able, kinds = _speaking(rows, chosen)
     if min(kinds) == 0:
         return Model(np.zeros(1 << BITS, np.float32), -40.0 if kinds[1] == 0 else 40.0, 0.0)
     place = np.full(1 << BITS, -1, np.int32)
@@ -111,8 +112,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return _fit(rows.mapInArrow(gather, "label int, feature binary, sentence binary, loud long").collect(), able)
 
 
-def _speaking(rows: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
-    """The features that speak most for the label (at most ``_CHOSEN``), and the number of documents of each label."""
+def _speaking(rows: DataFrame, chosen: int) -> tuple[np.ndarray, tuple[int, int]]:
+    """The features that speak most for the label (at most ``chosen``), and the number of documents of each label."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks.slices(batches, "text"):
@@ -138,7 +139,7 @@ def _speaking(rows: DataFrame) -> tuple[np.ndarray, tuple[int, int]]:
     pos, neg = int(whole["pos"]), int(whole["neg"])
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
     best = sums.where("feature > 0 and pos >= 2").withColumn("odds", odds).where("odds > 0.5")
-    best = best.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "feature").limit(_CHOSEN).select("feature")
+    best = best.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "feature").limit(chosen).select("feature")
     return np.array([r["feature"] for r in best.collect()], np.int64), (neg, pos)
 
 

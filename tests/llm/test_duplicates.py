@@ -254,6 +254,20 @@ def test_pipeline_stages_against_plain_versions(spark, testdata):
     assert sorted(r["doc_id"] for r in stage["near_dedup"](spark, docs, testdata).collect()) == want
 
 
+def test_stages_keep_columns_of_any_name(spark, testdata):
+    docs = spark.read.parquet(f"{testdata}/documents.parquet")
+    odd = docs
+    for name in ("_stay", "_toxic", "toxic", "_good", "good", "others", "key", "content", "row_id", "_q_n_words", "a.b", "score", "label"):
+        odd = odd.withColumn(name, F.concat(F.lit("mine "), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, kept = stage(spark, docs, testdata), stage(spark, odd, testdata)
+        assert kept.columns == odd.columns, name
+        rows_kept = kept.collect()
+        assert sorted(r["doc_id"] for r in rows_kept) == sorted(r["doc_id"] for r in plain.collect()), name
+        assert all(r[c] == f"mine {r['doc_id']}" for r in rows_kept for c in odd.columns[len(docs.columns) :]), name
+    assert corpus_pipeline.pack(spark, odd, testdata).count() > 0
+
+
 def test_pipeline_packs_what_its_stages_kept(spark, testdata):
     pieces = corpus_pipeline.run(spark, testdata).select("doc_id", "length", "doc_tokens").groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).collect()
     docs = spark.read.parquet(f"{testdata}/documents.parquet")
