@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.llm import dedup, jaccard, packing, quality, tokens, toxicity
+from framewright.llm import dedup, jaccard, packing, quality, rows, tokens, toxicity
 from framewright.session import scratch_path
 
 TOXIC_FROM = 0.5  # documents with this score or more go
@@ -25,16 +25,18 @@ def _labels(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that noisy-or scoring does not reject."""
     model = toxicity.train(docs, _labels(spark, sf_dir, "toxic"))
-    scored = toxicity.score(docs, model, keep=tuple(docs.columns), name="_toxic")
-    return scored.where(F.col("_toxic") < TOXIC_FROM).select(*docs.columns)
+    scored = toxicity.score(rows.packed(docs), model, keep=("doc_id", "text", "others"), name="toxic")
+    return rows.unpacked(scored.where(F.col("toxic") < TOXIC_FROM), docs.columns)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble does not reject."""
-    measured = quality.statistics(docs)
+    """Documents that the rule ensemble does not reject. Every document is measured once; what was measured is written."""
+    path = scratch_path(spark)
+    quality.statistics(rows.packed(docs), keep=("doc_id", "text", "others")).write.parquet(path)
+    measured = spark.read.parquet(path)
     model = quality.train(measured, _labels(spark, sf_dir, "quality"))
-    scored = quality.score(quality.statistics(docs, keep=tuple(docs.columns)), model, name="_good")
-    return scored.where(F.col("_good") >= GOOD_FROM).select(*docs.columns)
+    scored = quality.score(measured, model, name="good")
+    return rows.unpacked(scored.where(F.col("good") >= GOOD_FROM), docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
