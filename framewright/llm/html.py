@@ -7,7 +7,11 @@ notices, adverts, forms, comments, scripts, styles) is left out before the scori
 
 Classes and ids may mislead. Words that name furniture and wrappers alike (widget, social, related) only cut the points
 of what stands in the element. So do the other words if the element has a good name too, holds an article, or holds
-most of the page's text. Inside the article, such elements stay if they score as well as a sibling must.
+most of the page's text. Inside the article, such elements stay if they score as well as a sibling must. A form is left out
+unless it holds an article, or most of the text of a page without one: some servers wrap whole pages into a form.
+
+All work is in proportion to the page: what an element needs to know of those around it is handed down when it opens,
+and sums are handed up once, in reverse order.
 """
 
 from __future__ import annotations
@@ -20,8 +24,9 @@ from pyspark.sql import DataFrame
 
 from framewright.llm import blocks
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_SLASH_VALUE = re.compile(r"""=\s*[^\s"'=]*/$""")  # the slash belongs to a value without quotes
 _PARTS = re.compile(r"[a-z]+")
 _LAYOUT = re.compile(r"\b(?:has|with|no|without)[-_][a-z-]+")  # "has-sidebar" says what stands beside the element
 
@@ -35,7 +40,7 @@ BLOCK = frozenset(
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BARRIER = frozenset("ul ol dl table article section div main body td th".split())
 FURNITURE_TAGS = frozenset(
-    "head script style noscript template iframe object embed svg canvas nav footer aside form button select textarea input dialog menu audio video title".split()
+    "head script style noscript template iframe object embed svg canvas nav footer aside button select textarea input dialog menu audio video title".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 FURNITURE_NAMES = frozenset(
@@ -50,8 +55,17 @@ GOOD_NAMES = frozenset("article body content entry main post story text".split()
 _PARAGRAPH = frozenset("p pre td th li dd dt blockquote h1 h2 h3 h4 h5 h6 figcaption summary".split())
 
 
+# For every tag, the elements that a start tag may end (of its group) and that it hides from tags inside it.
+_GROUPS = {"p": ({"p"}, _BARRIER)} | {tag: (closed, _BARRIER - closed) for tag, closed in _CLOSES.items()}
+_OPENS = {tag: [g for g, (closed, _) in _GROUPS.items() if tag in closed] for tag in _BARRIER | {"p"} | set().union(*_CLOSES.values())}
+_HIDES = {tag: [g for g, (_, barrier) in _GROUPS.items() if tag in barrier] for tag in _BARRIER}
+
+
 class Node:
-    __slots__ = ("tag", "parent", "names", "skip", "marks", "good", "prose", "holds", "most", "doubt", "gone", "factor", "known", "points", "chars", "linked")
+    __slots__ = (
+        "tag", "parent", "names", "skip", "marks", "good", "prose", "holds", "most", "doubt", "gone", "factor", "known", "points", "chars", "linked",
+        "owner", "below_link", "in_article", "near", "side", "chosen", "stays",
+    )
 
     def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), skip: bool = False, marks: frozenset = frozenset(), good: bool = False):
         self.tag, self.parent, self.names, self.skip, self.marks, self.good = tag, parent, names, skip, marks, good
@@ -59,12 +73,14 @@ class Node:
         self.holds = self.most = self.doubt = self.gone = False
         self.factor, self.known = 1.0, frozenset()
         self.points = 0.0
-
-    def ancestors(self):
-        node = self.parent
-        while node is not None:
-            yield node
-            node = node.parent
+        self.side, self.chosen, self.stays = None, False, True
+        # The block that holds its text; whether a link or an article is around it; open elements that a start tag may end.
+        self.owner = self if tag in BLOCK or parent is None else parent.owner
+        self.below_link = parent is not None and (parent.below_link or parent.tag == "a")
+        self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
+        self.near = {} if parent is None else parent.near
+        if tag in _OPENS or tag in _HIDES:
+            self.near = self.near | dict.fromkeys(_HIDES.get(tag, ())) | dict.fromkeys(_OPENS.get(tag, ()), self)
 
 
 def _furniture(tag: str, attributes: str, parent: Node) -> tuple[frozenset, bool, frozenset, bool]:
@@ -88,12 +104,12 @@ def _furniture(tag: str, attributes: str, parent: Node) -> tuple[frozenset, bool
             elif key == "style":
                 skip |= "display:none" in value.replace(" ", "")
     whole = tag in ("html", "body", "article", "main")  # an article's own names do not make it furniture
-    marks = frozenset() if skip or whole else frozenset(names & FURNITURE_NAMES)
+    marks = frozenset() if skip or whole else frozenset(names & FURNITURE_NAMES | ({"form"} if tag == "form" else set()))
     good = bool(GOOD_NAMES & (names if marks <= AMBIGUOUS_NAMES else clean))
     if marks == {"header"} and good:  # an entry's header belongs to it
         marks = frozenset()
     if not skip and tag == "header":  # a page's header; an article's own heading belongs to it
-        skip = not (parent.tag in ("article", "main") or any(n.tag in ("article", "main") for n in parent.ancestors()))
+        skip = not (parent.tag in ("article", "main") or parent.in_article)
     return frozenset(names), skip, marks, good
 
 
@@ -102,19 +118,25 @@ def parse(page: str) -> tuple[list[tuple[Node, list]], list[Node]]:
     and all elements, the root first and each before what it holds. Broken markup is read as far as it goes."""
     root = Node("html", None)
     node, found, text, nodes = root, [], [], [root]
+    opened: dict[str, int] = {}  # open elements of each tag, without the root
 
     def end_block() -> None:
         if text:
-            owner = node
-            while owner.tag not in BLOCK and owner.parent is not None:
-                owner = owner.parent
-            found.append((owner, text.copy()))
+            found.append((node.owner, text.copy()))
             text.clear()
 
     def add(piece: str) -> None:
         if piece and not node.skip:
-            inside = node.tag == "a" or (node.tag not in BLOCK and any(n.tag == "a" for n in node.ancestors()))
-            text.append((piece, inside, node))
+            text.append((piece, node.tag == "a" or (node.tag not in BLOCK and node.below_link), node))
+
+    def close(upto: Node) -> Node:
+        """End ``upto``, an open element, and all open ones inside it."""
+        n = node
+        while True:
+            opened[n.tag] -= 1
+            if n is upto:
+                return n.parent
+            n = n.parent
 
     at = 0
     while at < len(page):
@@ -131,36 +153,27 @@ def parse(page: str) -> tuple[list[tuple[Node, list]], list[Node]]:
         if tag in BLOCK:
             end_block()
         if closing:
-            n = node
-            while n.parent is not None and n.tag != tag:
-                n = n.parent
-            if n.parent is not None:
-                node = n.parent
+            if opened.get(tag):
+                n = node
+                while n.tag != tag:
+                    n = n.parent
+                node = close(n)
             continue
-        if tag in VOID:
+        if tag in VOID or tag == "html":  # the root is there already
             continue
-        if tag == "html":  # the root is there already
-            continue
-        if tag in BLOCK:  # an open paragraph ends here
-            n = node
-            while n.parent is not None and n.tag not in _BARRIER and n.tag != "p":
-                n = n.parent
-            if n.tag == "p" and n.parent is not None:
-                node = n.parent
-        if tag in _CLOSES:
-            n = node
-            while n.parent is not None and n.tag not in _CLOSES[tag] and n.tag not in _BARRIER - _CLOSES[tag]:
-                n = n.parent
-            if n.tag in _CLOSES[tag] and n.parent is not None:
-                node = n.parent
+        if tag in BLOCK and node.near.get("p") is not None:  # an open paragraph ends here
+            node = close(node.near["p"])
+        if tag in _CLOSES and node.near.get(tag) is not None:
+            node = close(node.near[tag])
         child = Node(tag, node, *_furniture(tag, match.group(3) or "", node))
         nodes.append(child)
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
             at = len(page) if end is None else end.end()
             continue
-        if not (match.group(3) or "").endswith("/"):
+        if not (match.group(3) or "").endswith("/") or _SLASH_VALUE.search(match.group(3)):
             node = child
+            opened[tag] = opened.get(tag, 0) + 1
     end_block()
     return found, nodes
 
@@ -186,6 +199,8 @@ def _judge(nodes: list[Node], spare: bool) -> None:
         if n.gone or not marks:
             continue
         n.most = n.prose >= _LEAST and n.prose > (0.9 if marks & _REPLIES else 0.5) * total
+        if marks == {"form"} and (n.holds or (n.most and not nodes[0].holds)):  # a form around the page
+            continue
         vague = marks <= AMBIGUOUS_NAMES
         if not (vague or n.good or n.holds or n.most or spare):
             n.gone = True
@@ -195,18 +210,22 @@ def _judge(nodes: list[Node], spare: bool) -> None:
             n.known = up.known | marks
 
 
-def _blocks(found: list[tuple[Node, list]]) -> list[tuple[Node, str]]:
-    """The blocks' words without what is gone; counts them for the elements around."""
+def _blocks(found: list[tuple[Node, list]], nodes: list[Node]) -> list[tuple[Node, str, float]]:
+    """The blocks' words without what is gone, and their share in links; counts words for the elements around."""
     left = []
+    for n in nodes:
+        n.chars = n.linked = 0
     for owner, pieces in found:
         pieces = [(t, inside) for t, inside, n in pieces if not n.gone]
         words = " ".join(html.unescape("".join(t for t, _ in pieces)).split())
         if words:
-            linked = sum(len(t) for t, inside in pieces if inside)
-            left.append((owner, words))
-            for n in (owner, *owner.ancestors()):
-                n.chars += len(words)
-                n.linked += min(linked, len(words))
+            linked = min(sum(len(t) for t, inside in pieces if inside), len(words))
+            left.append((owner, words, linked / len(words)))
+            owner.chars += len(words)
+            owner.linked += linked
+    for n in reversed(nodes[1:]):
+        n.parent.chars += n.chars
+        n.parent.linked += n.linked
     return left
 
 
@@ -219,14 +238,14 @@ def article(page: str) -> str:
     read, nodes = parse(page)
     _measure(read, nodes)
     _judge(nodes, spare=False)
-    found = _blocks(read)
+    found = _blocks(read, nodes)
     if not found and nodes[0].prose >= _LEAST:
         _judge(nodes, spare=True)
-        found = _blocks(read)
+        found = _blocks(read, nodes)
     if not found:
         return ""
     scored: dict[int, Node] = {}
-    for owner, words in found:
+    for owner, words, _ in found:
         points = (1 + words.count(",") + min(len(words) / 100, 3)) * owner.factor
         holder = owner.parent if owner.tag in _PARAGRAPH and owner.parent is not None else owner
         level = 0
@@ -238,8 +257,11 @@ def article(page: str) -> str:
             holder, level = holder.parent, level + 1
     final = {key: n.points * (1 - _link_share(n)) for key, n in scored.items()}
     best = scored[max(final, key=final.get)]
-    chosen = {id(best)}
-    around = {id(best), *(id(n) for n in best.ancestors())}
+    around = {id(best)}
+    n = best.parent
+    while n is not None:
+        around.add(id(n))
+        n = n.parent
 
     def scores(n: Node) -> bool:
         return final.get(id(n), 0.0) >= max(10 * max(n.factor, best.factor), 0.2 * final[id(best)])
@@ -250,27 +272,26 @@ def article(page: str) -> str:
             return True
         return n.chars >= 80 and _link_share(n) < 0.33 if n.good else scores(n)
 
+    for n in nodes[1:]:  # siblings: children of best's parent, handed down to what they hold
+        n.side = n if n.parent is best.parent else n.parent.side
+        n.stays = n.parent.stays and stays(n)
+    best.chosen = True
     verdicts: dict[int, bool] = {}
-    for owner, words in found:  # siblings: the child of best's parent that holds the block
-        side, n = None, owner
-        while n is not None:
-            if n.parent is best.parent and best.parent is not None:
-                side = n
-                break
-            n = n.parent
+    for owner, words, _ in found:
+        side = owner.side
         if side is None or side is best:
             continue
         if id(side) not in verdicts:
             verdicts[id(side)] = scores(side)
         plain = side.tag == "p" and _link_share(side) < 0.25 and (side.chars > 80 or words.endswith((".", "!", "?")))
-        if verdicts[id(side)] or plain:
-            chosen.add(id(side))
-    text = []
-    for owner, words in found:
-        path = (owner, *owner.ancestors())
-        if any(id(n) in chosen for n in path) and all(map(stays, path)):
-            text.append(words)
-    return " ".join(text)
+        side.chosen |= verdicts[id(side)] or plain
+    for n in nodes[1:]:
+        n.chosen |= n.parent.chosen
+    text = [(i, owner, words) for i, (owner, words, _) in enumerate(found) if owner.chosen and owner.stays]
+    if text and all(owner.tag != "h1" for _, owner, _ in text):  # a title that stands before the article's container
+        titles = (words for owner, words, linked in reversed(found[: text[0][0]]) if owner.tag == "h1" and owner.stays and linked < 0.5)
+        return " ".join([*(w for w in [next(titles, "")] if w), *(words for _, _, words in text)])
+    return " ".join(words for _, _, words in text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -231,6 +232,39 @@ def test_furniture_by_name_still_goes():
     assert html.article('<div class="ad">Buy this.</div>') == ""
 
 
+def test_a_form_around_the_page_is_no_form():
+    search = "<form action=/s><input name=q><p>Search this site</p></form>"
+    inner = f'<div id=ctl00><div class="nav"><a href=/>Home</a></div>{LONG}</div><input type=hidden name=state value="x>y">'
+    assert html.article(f"<body><form id=aspnetForm method=post>{inner}</form><footer>About</footer></body>").split() == LONG_TEXT
+    assert html.article(f"<body><form><article>{LONG}</article></form>{search}</body>").split() == LONG_TEXT
+    terms = "<form>" + "<p>By sending this you agree, fully, to all terms, now and later, as they stand.</p>" * 12 + "</form>"
+    assert html.article(f"<body><article>{LONG}</article>{terms}{search}</body>").split() == LONG_TEXT
+    assert html.article(f"<body><div>{LONG}{search}</div></body>").split() == LONG_TEXT
+
+
+@pytest.mark.parametrize("tag", ["<a href=x title=Bob's>", "<a href=x title=5\">", "<b data-x = 'a > b' class=\"c > d\">", "<i title=a'b'c>", "<img alt=don't>"])
+def test_quotes_in_attributes(tag):
+    name = re.match("<([a-z]+)", tag).group(1)
+    page = f"<article><p>First {tag}one</{name}> here, it's so.</p><p>Second, Ann's turn.</p></article>"
+    assert html.article(page) == "First one here, it's so. Second, Ann's turn."
+
+
+def test_a_title_before_the_container():
+    page = f'<body><div class="top"><h1>The title</h1></div><div><div class="wrap"><div>{LONG}</div></div></div></body>'
+    assert html.article(page).split() == ["The", "title", *LONG_TEXT]
+    logo = f"<body><h1><a href=/>Site name</a></h1><div><div><div>{LONG}</div></div></div></body>"
+    assert html.article(logo).split() == LONG_TEXT
+    own = f"<body><div><h1>Site</h1></div><div><article><h1>Own</h1>{LONG}</article></div></body>"
+    assert html.article(own).split() == ["Own", *LONG_TEXT]
+
+
+@pytest.mark.parametrize("piece", ["<i>word {}, <p>", "<i>word {} ", "<i><li></li>word {}", "<i></b>word {}<br>", "<a>word {}<div>", "<i><header>x</header>word {}<br>", "<p title='{}>word ", "<div class=ad><i>word {}"])
+def test_unclosed_elements_take_time_in_proportion(piece):
+    start = time.perf_counter()
+    html.article("".join(piece.format(i) for i in range(100_000)))
+    assert time.perf_counter() - start < 10  # some 2 seconds
+
+
 def test_deep_and_long_pages_are_read_whole():
     words = " ".join(f"w{i}" for i in range(50_000))
     assert html.article(f"<article><p>{words}</p></article>") == words
