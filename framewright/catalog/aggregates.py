@@ -143,13 +143,14 @@ def by_keep_null(t):
 @query("""select user_id, sum(k)::bigint as total, max(k) as largest, count(*) as n
 from (select user_id, json_extract(props, '$.k')::bigint as k from events) group by user_id""")
 def by_apply(t):
+    """A block in pandas over a column of numbers; its partial results are merged, so no user's rows come together."""
+
     def partial(rows: pd.DataFrame) -> pd.DataFrame:
-        k = pd.to_numeric(rows["props"].str.extract(r"(\d+)", expand=False))
-        found = k.groupby(rows["user_id"]).agg(total="sum", largest="max", n="size")
-        return found.astype("int64").reset_index()
+        return rows.groupby("user_id")["k"].agg(total="sum", largest="max", n="size").reset_index()
 
+    numbers = t.events.select("user_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
     return agg.by_block(
-        t.events.select("user_id", "props"), partial, "user_id bigint, total bigint, largest bigint, n bigint", "user_id",
+        numbers, partial, "user_id bigint, total bigint, largest bigint, n bigint", "user_id",
         total=F.sum("total"), largest=F.max("largest"), n=F.sum("n"),
     )
 

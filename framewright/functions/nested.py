@@ -41,6 +41,11 @@ def last_items(items: Column, n: int) -> Column:
     return F.slice(items, F.greatest(F.size(items) - F.lit(n), F.lit(0)) + 1, F.lit(n))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` worked out once: inside a lambda an outer expression would be worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sort_items(items: Column, key=lambda x: x, desc: bool = False, n: int | None = None) -> Column:
     """Sort an array by ``key(element)``; equal keys keep their order, missing keys come last. ``n``: the first so many only."""
 
@@ -48,10 +53,13 @@ def sort_items(items: Column, key=lambda x: x, desc: bool = False, n: int | None
         known = key(x).isNotNull() if desc else key(x).isNull()
         return F.struct(known.alias("known"), key(x).alias("key"), (-i if desc else i).alias("at"))
 
-    places = F.sort_array(F.transform(items, mark), asc=not desc)
-    if n is not None:
-        places = F.slice(places, 1, n)
-    return F.transform(places, lambda p: F.get(items, -p["at"] if desc else p["at"]))
+    def sort(whole: Column) -> Column:
+        places = F.sort_array(F.transform(whole, mark), asc=not desc)
+        if n is not None:
+            places = F.slice(places, 1, n)
+        return F.transform(places, lambda p: F.get(whole, -p["at"] if desc else p["at"]))
+
+    return let(items, sort)
 
 
 def top_items(items: Column, n: int) -> Column:
@@ -95,12 +103,31 @@ def nuniq_items(items: Column) -> Column:
 
 
 def freq_items(items: Column) -> Column:
-    """``(key, value)`` of every distinct element and how often it occurs, most frequent first, ties as first seen."""
+    """``(key, value)`` of every distinct element and how often it occurs, most frequent first, ties as first seen.
+
+    The elements are sorted with their places, so that equal ones stand together; a run ends where the next begins.
+    """
+
+    def begins(places: Column) -> Column:
+        def first(p: Column, j: Column) -> Column:
+            return (j == 0) | ~p["key"].eqNullSafe(F.get(places, j - 1)["key"])
+
+        marked = F.transform(places, lambda p, j: F.struct(p["key"].alias("key"), p["at"].alias("at"), j.alias("from"), first(p, j).alias("first")))
+        return F.filter(marked, lambda p: p["first"])
+
+    def runs(starts: Column, size: Column) -> Column:
+        def counted(p: Column, m: Column) -> Column:
+            n = (F.coalesce(F.get(starts, m + 1)["from"], size) - p["from"]).cast("bigint")
+            return F.struct((-n).alias("less"), p["at"].alias("at"), p["key"].alias("key"), n.alias("value"))
+
+        ordered = F.sort_array(F.transform(starts, counted))
+        return F.transform(ordered, lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))
 
-    def counted(x: Column) -> Column:
-        return F.struct(x.alias("key"), F.size(F.filter(items, lambda y: y.eqNullSafe(x))).cast("bigint").alias("value"))
+    def whole(xs: Column) -> Column:
+        placed = F.sort_array(F.transform(xs, lambda x, i: F.struct(x.alias("key"), i.alias("at"))))
+        return let(let(placed, begins), lambda starts: runs(starts, F.size(xs)))
 
-    return sort_items(F.transform(F.array_distinct(items), counted), lambda pair: pair["value"], desc=True)
+    return let(items, whole)
 
 
 def array_mean(items: Column) -> Column:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,11 +13,16 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_']+"
 LINE_END = r"\R|[\x1c-\x1e]"
 LINE_END_CHARACTERS = list("\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029")
-NUMBER = r"-?\d+(?:\.\d+)?"
+NUMBER = r"-?\p{Nd}+(?:\.\p{Nd}+)?"
 FENCED_BLOCK = r"(?s)```[^\n]*\n(.*?)```"
 BLANK = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+# The decimal digits of all scripts, and the ASCII digit of each, from the character database.
+_DIGITS = [c for c in map(chr, range(0x80, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd"]
+_VALUES = [str(unicodedata.digit(c)) for c in _DIGITS]
+
+
 def words(text: Column) -> Column:
     """All words of a text, accents included."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
@@ -63,7 +70,12 @@ def slice_text(text: Column, start: int | None, stop: int | None) -> Column:
 def numbers(text: Column) -> Column:
     """All numbers in a text, as doubles."""
     found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    return F.transform(found, lambda x: x.cast("double"))
+    return F.transform(found, lambda x: F.when(x.rlike("[^ -~]"), ascii_digits(x)).otherwise(x).cast("double"))
+
+
+def ascii_digits(text: Column) -> Column:
+    """Digits of other scripts as 0 to 9."""
+    return F.translate(text, "".join(_DIGITS), "".join(_VALUES))
 
 
 def masked(text: Column) -> Column:

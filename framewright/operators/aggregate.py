@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.functions.hashes import fingerprints
 from framewright.functions.numbers import round_even
+from framewright.operators.sketches import quantile_error
 from framewright.session import cut_lineage
 
-SKETCH_ACCURACY = 10_000
-SMALL_GROUP = 10 * SKETCH_ACCURACY  # in groups of fewer rows a bracket would span a handful of ranks: kept whole
+SKETCH_SIZE = 4_096
+SMALL_GROUP = 100_000  # rows of groups that are kept whole: a bracket would spare little
 
 
 def total(c) -> Column:
@@ -99,8 +102,9 @@ def nuniq(df: DataFrame, name: str) -> DataFrame:
 
 
 def nuniq_rows(df: DataFrame) -> DataFrame:
-    """Number of distinct rows."""
-    return df.distinct().agg(rows().alias("value"))
+    """Number of distinct rows, counted by their hashes: 16 bytes of a row are shuffled, whatever its width."""
+    one, two = fingerprints(df.columns)
+    return df.select(one.alias("one"), two.alias("two")).distinct().agg(rows().alias("value"))
 
 
 def percentiles(df: DataFrame, value: str, fractions: dict[str, float], by: tuple[str, ...] = (), few_groups: bool | None = None) -> DataFrame:
@@ -135,19 +139,18 @@ def _interpolated(spot: Column, among: Column | None = None) -> Column:
 def _bracketed(values: DataFrame, fractions: dict[str, float], by: tuple[str, ...]) -> DataFrame | None:
     """Percentiles from the rows near them; None if a bracket misses its rank after all.
 
-    The sketch errs by ``1 / SKETCH_ACCURACY`` of the rows at most, the brackets allow for five
-    times that. A group so small that this is less than a few rows is kept whole.
+    A sketch's quantiles are within ``quantile_error`` 99 times of 100, the brackets allow for five times that. Small groups
+    are kept whole.
     """
-    names, wanted = list(fractions), [float(f) for f in fractions.values()]
-    slack = 5 / SKETCH_ACCURACY
-    ends = [e for f in wanted for e in (max(f - slack, 0.0), min(f + slack, 1.0))]
+    names, wanted, slack = list(fractions), [float(f) for f in fractions.values()], 5 * quantile_error(SKETCH_SIZE)
+    ends = F.array(*[F.lit(e) for f in wanted for e in (max(f - slack, 0.0), min(f + slack, 1.0))])
     sketch = cut_lineage(
         values.groupBy(*by).agg(
             rows().alias("_all"),
             F.min("_v").alias("_min"),
             F.max("_v").alias("_max"),
-            F.percentile_approx("_v", ends, SKETCH_ACCURACY).alias("_ends"),
-        )
+            F.kll_sketch_agg_double("_v", SKETCH_SIZE).alias("_sketch"),
+        ).withColumn("_ends", F.when(F.col("_all") > 0, F.kll_sketch_get_quantile_double("_sketch", ends))).drop("_sketch")
     )
     pieces = []
     for i, f in enumerate(wanted):
@@ -167,9 +170,14 @@ def _bracketed(values: DataFrame, fractions: dict[str, float], by: tuple[str, ..
     spot = (F.col("_all") - 1) * F.get(F.array(*[F.lit(f) for f in wanted]), F.col("_f"))
     found = _values_at(counts, (*by, "_f"), F.array(F.floor(spot), F.ceil(spot)), total="_all")
     result = found.groupBy(*by).agg(*[_interpolated(spot, F.col("_f") == i).alias(n) for i, n in enumerate(names)])
+    if by:  # every group has a row, so that what is missing shows in it
+        groups = sketch.select(*(F.col(c).alias(f"_group{i}") for i, c in enumerate(by)))
+        same = [F.col(c).eqNullSafe(F.col(f"_group{i}")) for i, c in enumerate(by)]
+        result = groups.join(result, same, "left").select(*(F.col(f"_group{i}").alias(c) for i, c in enumerate(by)), *names)
     result = cut_lineage(result)
-    complete = result.dropna("any", subset=names).count() == sketch.where(F.col("_all") > 0).count()
-    return result if complete else None
+    missing = sum((F.col(n).isNull().cast("int") for n in names), F.lit(0)) > 0
+    empty = [] if by else [sketch.select("_all").scalar() > 0]  # no rows at all have no percentile
+    return result if result.where(reduce(lambda a, b: a & b, [missing, *empty])).limit(1).count() == 0 else None
 
 
 def _values_at(counts: DataFrame, keys: tuple[str, ...], ranks: Column, total: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from framewright.functions.nested import path
 from framewright.functions.text import slice_text
-from framewright.operators.order import with_position
+from framewright.operators.order import numbered, with_position
 from framewright.operators.select import items, same_key
 
 
@@ -91,16 +91,16 @@ def group_rows(df: DataFrame, key: str, seq: str, keep_null: bool = False) -> Da
     """All rows, group after group in order of first appearance, numbered inside their group.
 
     Adds ``group_pos`` (1 for the group seen first) and ``row_pos`` (1 for the first row of its
-    group). No group is gathered anywhere: the rows are range-sorted, so a hot group is spread
-    over as many tasks as its size asks for.
+    group). No group is gathered anywhere: the rows are range-sorted once, so a hot group is spread
+    over as many tasks as its size asks for. ``seq`` numbers the rows: no two have the same.
     """
     rows = df if keep_null else df.where(F.col(key).isNotNull())
     firsts = rows.groupBy(F.col(key).alias("_key")).agg(F.min(seq).alias("_first"))
     placed = with_position(
         rows.join(firsts, same_key(F.col(key), F.col("_key"))).drop("_key"), "_first", seq, name="_at"
     )
-    starts = placed.groupBy("_first").agg(F.min("_at").alias("_start"))
-    starts = with_position(starts, "_first", name="group_pos")
+    # A group's first row is the one whose seq is the group's first; those rows stand in order already.
+    starts = numbered(placed.where(F.col(seq) == F.col("_first")).select("_first", F.col("_at").alias("_start")), name="group_pos")
     return (
         placed.join(starts, "_first")
         .withColumn("row_pos", F.col("_at") - F.col("_start") + 1)

@@ -206,6 +206,25 @@ def test_row_differences(spark):
     b = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "n int, t string")
     assert {tuple(r) for r in curation.row_differences(a, b).collect()} == {(1, "x", 2, 1), (3, "z", 0, 1)}
     assert curation.row_differences(a, a).isEmpty()
+    plan = curation.row_differences(a, a)
+    assert plan.collect() == [] and "HashAggregate" in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_tables_whatever_their_order(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.choice([None, 1, 2]), rnd.choice([None, "x", "y"]), rnd.choice([None, 0.0, 1.5, float("nan")])) for _ in range(500)]
+    ddl = "a int, `b.c` string, d double"
+    one = spark.createDataFrame(rows, ddl)
+    shuffled = rnd.sample(rows, len(rows))
+    two = spark.createDataFrame([(a, b, -0.0 if d == 0.0 else d) for a, b, d in shuffled], ddl).repartition(5)
+    assert curation.equal_rows(one, two).first()["equal"]
+    for other in (rows[1:], rows + rows[:1], rows[1:] + rows[1:2], [*rows[1:], (None, "z", None)], [(1, None, None), *rows[1:]] if rows[0] != (1, None, None) else rows[1:]):
+        assert not curation.equal_rows(one, spark.createDataFrame(other, ddl)).first()["equal"]
+    # Nulls keep their columns apart, and two equal rows do not cancel out.
+    assert not curation.equal_rows(spark.createDataFrame([(1, None)], "a int, b int"), spark.createDataFrame([(None, 1)], "a int, b int")).first()["equal"]
+    assert not curation.equal_rows(spark.createDataFrame([(1,), (1,)], "a int"), spark.createDataFrame([(2,), (2,)], "a int")).first()["equal"]
+    assert curation.equal_rows(one.limit(0), two.limit(0)).first()["equal"]
+    assert curation.equal_rows(spark.createDataFrame([(1,)], "a int"), spark.createDataFrame([(1,)], "a bigint")).first()["equal"]
 
 
 @pytest.mark.parametrize("block", [2, 3, 1000])

@@ -131,10 +131,10 @@ def test_by_drops_null_keys_and_sums_nothing_to_zero(sales):
     assert aggregate.nuniq_rows(sales.select("item", "kind")).first()[0] == 4
 
 
-@pytest.mark.parametrize("few, small, accuracy", [(True, 100_000, 10_000), (True, 200, 100), (False, 200, 100), (True, 0, 10)])
-def test_percentiles_equal_numpy(spark, monkeypatch, few, small, accuracy):
+@pytest.mark.parametrize("few, small, size", [(True, 100_000, 4_096), (True, 200, 400), (False, 200, 400), (True, 0, 100)])
+def test_percentiles_equal_numpy(spark, monkeypatch, few, small, size):
     monkeypatch.setattr(aggregate, "SMALL_GROUP", small)
-    monkeypatch.setattr(aggregate, "SKETCH_ACCURACY", accuracy)
+    monkeypatch.setattr(aggregate, "SKETCH_SIZE", size)
     rnd = random.Random(9)
     rows = [("hot", float(rnd.choice([1, 2, 2, 2, 5, 8]))) for _ in range(4000)]
     rows += [("wide", rnd.uniform(-5, 5)) for _ in range(1504)] + [("one", 3.5), ("none", None), ("one", math.nan)]
@@ -147,6 +147,25 @@ def test_percentiles_equal_numpy(spark, monkeypatch, few, small, accuracy):
     assert {r.k for r in aggregate.median(frame, "v", ("k",), few_groups=few).collect()} == {"hot", "wide", "one"}
     whole = aggregate.percentiles(frame, "v", wanted).first()
     assert math.isclose(whole["p90"], data.v.quantile(0.9), abs_tol=1e-9)
+    nothing = frame.where("v is null")
+    assert aggregate.percentiles(nothing, "v", wanted, ("k",), few_groups=few).collect() == []
+    assert all(r["p50"] is None for r in aggregate.percentiles(nothing, "v", wanted).collect())
+
+
+def test_a_bracket_that_misses_is_made_up_for(spark, monkeypatch):
+    monkeypatch.setattr(aggregate, "SMALL_GROUP", 0)
+    monkeypatch.setattr(aggregate, "quantile_error", lambda size: -0.1)  # brackets that hold nothing
+    frame = spark.range(1, 1002).select((F.col("id") % 2).alias("k"), F.col("id").alias("v"))
+    assert {r.k: r["median"] for r in aggregate.median(frame, "v", ("k",), few_groups=True).collect()} == {0: 501.0, 1: 501.0}
+    assert aggregate.median(frame, "v").first()[0] == 501.0
+
+
+def test_distinct_rows_by_their_hashes(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([None, 1, 2]), rnd.choice([None, "x", ""]), rnd.choice([None, 0.0, -0.0, math.nan])) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "a int, `b.c` string, d double").repartition(4)
+    assert aggregate.nuniq_rows(frame).first()[0] == frame.distinct().count()
+    assert aggregate.nuniq_rows(frame.limit(0)).first()[0] == 0
 
 
 def test_percentile_when_one_partition_holds_all(spark):

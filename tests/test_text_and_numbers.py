@@ -159,21 +159,41 @@ def test_column_rounding_is_half_even_on_the_scaled_value(spark):
     assert [tuple(r) for r in rows.collect()] == expected
 
 
-@pytest.mark.parametrize(
-    "a, b, same",
-    [
-        ("total 12", "total 12.000", True),
-        ("rate -0.257", "rate -0.25", True),
-        ("rate 8.75", "rate 8.72", False),
-        ("left: 6", "right: 6", False),
-        (" 3 of 4 ", "3 of 4", True),
-        ("3", "3 4", False),
-        ("# 1", "1 #", True),  # a literal mark looks like a masked number
-    ],
-)
-def test_same_line(spark, a, b, same):
-    frame = spark.createDataFrame([(a, b)], "a string, b string")
-    assert frame.select(text.same_line(F.col("a"), F.col("b"))).first()[0] is same
+ZEROS = [0x30, 0x660, 0x966, 0xFF10, 0x1D7CE]  # the digit zero of five scripts, one beyond 16 bits
+
+
+def lines_by_rule(seed):
+    """(line, other, whether they are the same): a frame of words with numbers in it, moved by a distance that is known."""
+    rnd = random.Random(seed)
+    words = [rnd.choice(["", "-", "a", "b c", "#", "é", "_"]) for _ in range(rnd.randint(1, 3))]
+    values = [rnd.randint(-10_000, 10_000) / 16 for _ in words[1:]]
+    far = rnd.random() < 0.4 and bool(values)
+    moved = [v + rnd.choice([0, 0.004, -0.004]) for v in values]
+    if far:
+        moved[rnd.randrange(len(moved))] += rnd.choice([-1, 1]) * rnd.choice([0.03, 7])
+    other_words = list(words)
+    if changed := rnd.random() < 0.2:
+        other_words[rnd.randrange(len(words))] += "z"
+
+    def shown(parts, numbers, zero):
+        text = parts[0]
+        for part, v in zip(parts[1:], numbers):
+            text += " " + f"{v:.{rnd.randint(4, 6)}f}".translate({0x30 + i: zero + i for i in range(10)}) + " " + part
+        return rnd.choice(["", " "]) + text + rnd.choice(["", "\t"])
+
+    return shown(words, values, rnd.choice(ZEROS)), shown(other_words, moved, rnd.choice(ZEROS)), not (far or changed)
+
+
+def test_same_line(spark):
+    cases = [lines_by_rule(seed) for seed in range(600)]
+    frame = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    for row in frame.select("i", text.same_line(F.col("a"), F.col("b")).alias("same")).collect():
+        assert row["same"] is cases[row["i"]][2], cases[row["i"]]
+
+
+def test_lines_with_a_number_more_or_a_literal_mark(spark):
+    frame = spark.createDataFrame([("5 x 5", "5 x"), ("# of 8", "8 of #")], "a string, b string")
+    assert [r[0] for r in frame.select(text.same_line(F.col("a"), F.col("b"))).collect()] == [False, True]
 
 
 @pytest.mark.parametrize("a, b, same", [("\n \nup 7\ndown 8\n", "up 7.00\n\ndown 8", True), ("up 7\ndown 8", "up 7", False), (" \n", "", True)])
@@ -211,7 +231,7 @@ def test_templates(spark):
     with pytest.raises(ValueError):
         fill("{name:.2f}")
     with pytest.raises(ValueError):
-        fill("{v:e}")
+        fill("{v:x}")
 
 
 def test_text_of_values(spark):
