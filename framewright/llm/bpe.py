@@ -2,9 +2,15 @@
 
 Texts are cut into chunks by a rolling hash. A chunk that several texts have is encoded once, in the text that is
 named for it, and travels to the others as ids. Ids next to a cut depend on both sides, so only a chunk's body counts, from
-its first to its last safe blank (one with visible ASCII characters on both sides, before which tokenizers part a text in any
-surroundings); what lies between two bodies is encoded again as one piece, over the join, up to the blanks where both
-sides agree. A chunk without two safe blanks is not reused, so the piece reaches on into it.
+its first to its last safe blank (one with visible ASCII characters on both sides, before which most tokenizers part a text
+in any surroundings); what lies between two bodies is encoded again as one piece, over the join.
+
+Every join is then held against its surroundings. The piece is encoded once more together with the edges of both bodies,
+as far as the next blank inside them: the ids must be those of the three parts in a row, and the bodies' ids, which
+other texts made, must end and begin with those of their edges. Where they do not agree the repair goes on to the end: the
+text is encoded whole. With the tokenizers of ``tokens.PARTED`` a blank is such a place always, and no join disagrees; with
+others the reuse saves less, and agreement at the edges of both sides stands for a proof. A chunk without two safe blanks
+is not reused, so the piece reaches on into it.
 
 Equal texts are encoded once as well. Texts move once, compressed, to meet the list of their shared chunks.
 """
@@ -35,15 +41,20 @@ def _short(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def safe_blanks(text: np.ndarray) -> np.ndarray:
+    """Blanks with visible ASCII characters on both sides."""
+    if len(text) < 3:
+        return np.zeros(0, np.int64)
+    solid = (text > 0x20) & (text < 0x7F)
+    return np.flatnonzero(solid[:-2] & (text[1:-1] == 0x20) & solid[2:]) + 1
+
+
 def bodies(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Bodies of a text's chunks as start and end, and their digests. Chunks without a body are left out."""
     begin = chunking.cuts(text, np.array([0, len(text)]), MEAN_CHUNK)
+    at = safe_blanks(text)
     if len(text) < 3:
         return begin[:0], begin[:0], []
-    solid = (text > 0x20) & (text < 0x7F)
-    safe = np.zeros(len(text), bool)
-    safe[1:-1] = solid[:-2] & (text[1:-1] == 0x20) & solid[2:]
-    at = np.flatnonzero(safe)
     low = np.searchsorted(at, begin)
     high = np.searchsorted(at, np.append(begin[1:], len(text)) - 1) - 1  # the blank's right neighbour is in the chunk too
     good = high > low
@@ -99,9 +110,39 @@ def _arrays(texts: pa.LargeStringArray) -> Iterator[np.ndarray]:
         yield body[a:b]
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 _USES = "array<struct<at:int, chunk:binary, named:boolean>>"
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    return ids.astype("<u4").tobytes()
+
+
+def _joins(text: bytes, used: list[tuple[int, int, bytes]], blanks: np.ndarray) -> list[bytes]:
+    """For each stretch between used bodies: the edge of the body on its left, itself, the edge on its right, and all three.
+
+    An edge reaches to the next safe blank inside the body, or over all of it.
+    """
+    found, taken = [], 0
+    low = 0  # where the left edge begins
+    for start, end, _ in [*used, (len(text), len(text), b"")]:
+        inside = blanks[np.searchsorted(blanks, start, side="right") : np.searchsorted(blanks, end)]
+        high = int(inside[0]) if len(inside) else end
+        found += [text[low:taken], text[taken:start], text[start:high], text[low:high]]
+        low, taken = (int(inside[-1]) if len(inside) else start), end
+    return found
+
+
+def agree(ids: list[bytes], left: list[bytes | None], right: list[bytes | None]) -> bool:
+    """Whether the bodies (odd places) end and begin with the ids that the joins around them (even places) found for their edges."""
+    return all(ids[i].startswith(right[i - 1]) and ids[i].endswith(left[i + 1]) for i in range(1, len(ids), 2))
+
+
 def _shared_chunks(docs: DataFrame) -> DataFrame:
     """short (of the text's key), uses: the text's bodies (by number) that other texts have too, and whether it is the named one."""
     schema = pa.schema([("chunk", pa.binary()), ("short", pa.int64()), ("at", pa.int32())])
@@ -122,7 +163,8 @@ def _shared_chunks(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.binary()), pa.array(short, pa.int64()), pa.array(at, pa.int32())], schema=schema)
 
     met = docs.select("text").mapInArrow(find, "chunk binary, short long, at int")
-    shared = (
+    # Written, so that both sides of the join below are dealt out for it alone and the uses of a hot chunk can be split.
+    shared = _written(
         met.groupBy("chunk")
         .agg(F.min("short").alias("low"), F.max("short").alias("high"), F.min(F.struct("short", "at")).alias("named"))
         .where("low <> high")
@@ -166,7 +208,7 @@ def encode(docs: DataFrame, tokenizer: str, view: Callable = whole, columns: str
     work = texts.dropDuplicates(["short", "key"]).join(_shared_chunks(docs), "short", "left")
 
     parts = pa.schema(
-        [("key", pa.binary()), ("place", pa.int32()), ("chunk", pa.binary()), ("ids", pa.binary()), ("done", pa.struct(list(made)))]
+        [("key", pa.binary()), ("place", pa.int32()), ("chunk", pa.binary()), ("ids", pa.binary()), ("left", pa.binary()), ("right", pa.binary()), ("done", pa.struct(list(made)))]
     )
 
     def cook(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,65 +218,94 @@ def encode(docs: DataFrame, tokenizer: str, view: Callable = whole, columns: str
             sizes = batch.column("size").to_numpy(zero_copy_only=False)
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), blocks.SLICE_BYTES, side="right")) + at)
-                yield from _cook(batch.slice(at, stop - at), coder, reader)
+                yield _cook(batch.slice(at, stop - at), coder, reader)
                 at = stop
 
-    def _cook(rows: pa.RecordBatch, coder: tokens.Encoder, reader: Decoder) -> Iterator[pa.RecordBatch]:
+    def _cook(rows: pa.RecordBatch, coder: tokens.Encoder, reader: Decoder) -> pa.RecordBatch:
         pieces: list[bytes] = []  # what is to be encoded, one after the other
-        plan = []  # (key, place, chunk or None, number of the piece or None); place -1: the whole text
+        named_chunks, plans = [], []
         for key, size, packed, uses in zip(*(rows.column(c).to_pylist() for c in ("key", "size", "packed", "uses")), strict=True):
             text = pa.decompress(packed, size, "zstd", asbytes=True) if size else b""
             wanted = {(u["at"], u["chunk"]): u["named"] for u in uses or ()}
-            start, end, chunk = bodies(np.frombuffer(text, np.uint8)) if wanted else ((), (), ())
-            taken, place = 0, 0
+            body = np.frombuffer(text, np.uint8)
+            start, end, chunk = bodies(body) if wanted else ((), (), ())
+            used = []  # bodies whose ids come from elsewhere
             for i, digest in enumerate(chunk):
                 named = wanted.get((i, digest))
                 if named:
-                    plan.append((None, 0, digest, len(pieces)))
+                    named_chunks.append((digest, len(pieces)))
                     pieces.append(text[start[i] : end[i]])
                 elif named is False:
-                    plan.append((key, place, None, len(pieces)))
-                    pieces.append(text[taken : start[i]])
-                    plan.append((key, place + 1, digest, None))
-                    taken, place = end[i], place + 2
-            plan.append((key, place if place else -1, None, len(pieces)))
-            pieces.append(text[taken:])
+                    used.append((int(start[i]), int(end[i]), digest))
+            plans.append((key, text, used, len(pieces)))
+            pieces += _joins(text, used, safe_blanks(body)) if used else [text]
         ids, offsets = coder.encode(pa.array(pieces, pa.binary()).cast(pa.large_binary()).cast(pa.large_string()))
-        columns: list[list] = [[], [], [], [], []]
-        for key, place, chunk, piece in plan:
-            own = None if piece is None else ids[offsets[piece] : offsets[piece + 1]]
-            done = dict(zip(names, view(own, reader.decode(own)), strict=True)) if place == -1 else None
-            packed = None if own is None or done is not None else own.astype("<u4").tobytes()
-            for column, value in zip(columns, (key, place, chunk, packed, done), strict=True):
-                column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, parts, strict=True)], schema=parts)
+        coded = [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        out: list[tuple] = [(None, 0, digest, _packed(coded[n]), None, None, None) for digest, n in named_chunks]
+
+        def whole_text(key: bytes, own: np.ndarray) -> None:
+            out.append((key, -1, None, None, None, None, dict(zip(names, view(own, reader.decode(own)), strict=True))))
+
+        for key, text, used, first in plans:
+            if not used:
+                whole_text(key, coded[first])
+                continue
+            found = [coded[n : n + 4] for n in range(first, first + 4 * (len(used) + 1), 4)]
+            if not all(np.array_equal(np.concatenate([left, piece, right]), both) for left, piece, right, both in found):
+                whole_text(key, np.array(coder.encode(pa.array([text], pa.binary()).cast(pa.large_binary()).cast(pa.large_string()))[0]))
+                continue
+            for j, (left, piece, right, _) in enumerate(found):
+                out.append((key, 2 * j, None, _packed(piece), _packed(left), _packed(right), None))
+                if j < len(used):
+                    out.append((key, 2 * j + 1, used[j][2], None, None, None, None))
+        columns = list(zip(*out, strict=True)) if out else [[] for _ in parts]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, parts, strict=True)], schema=parts)
 
     path = scratch_path(spark)
-    schema = f"key binary, place int, chunk binary, ids binary, done struct<{', '.join(f'{f.name}:{_type(columns, f.name)}' for f in made)}>"
+    view_type = f"struct<{', '.join(f'{f.name}:{_type(columns, f.name)}' for f in made)}>"
+    schema = f"key binary, place int, chunk binary, ids binary, left binary, right binary, done {view_type}"
     work.select("key", "size", "packed", "uses").mapInArrow(cook, schema).write.option("compression", "zstd").parquet(path)
     cooked = spark.read.schema(schema).parquet(path)
 
-    chunks = cooked.where("key is null").groupBy("chunk").agg(F.min("ids").alias("ids"))
+    chunks = _written(cooked.where("key is null").groupBy("chunk").agg(F.min("ids").alias("ids")))
     wanted = cooked.where("key is not null and chunk is not null").select("key", "place", "chunk")
-    reused = wanted.join(chunks, "chunk").select("key", "place", "ids")
-    own = cooked.where("key is not null and chunk is null and place >= 0").select("key", "place", "ids")
-    strung = own.unionByName(reused).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("parts"))
+    nothing = F.lit(None).cast("binary")
+    reused = wanted.join(chunks, "chunk").select("key", "place", "ids", nothing.alias("left"), nothing.alias("right"))
+    own = cooked.where("key is not null and chunk is null and place >= 0").select("key", "place", "ids", "left", "right")
+    strung = own.unionByName(reused).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", "ids", "left", "right"))).alias("parts"))
 
     def string(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = decoder(tokenizer)
-        target = pa.schema([("key", pa.binary()), *made])
+        target = pa.schema([("key", pa.binary()), ("done", pa.struct(list(made)))])
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 rows = batch.slice(at, 64)
                 found = []
                 for parts_of in rows.column("parts"):
-                    ids = np.frombuffer(b"".join(parts_of.values.field("ids").to_pylist()), "<u4")
-                    found.append(view(ids, reader.decode(ids)))
-                columns = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([rows.column("key"), *(pa.array(c, f.type) for c, f in zip(columns, made, strict=True))], schema=target)
-
-    joined = strung.mapInArrow(string, f"key binary, {columns}")
-    results = cooked.where("done is not null").select("key", "done.*").unionByName(joined)
+                    of = parts_of.values
+                    if not agree(*(of.field(c).to_pylist() for c in ("ids", "left", "right"))):
+                        found.append(None)
+                        continue
+                    ids = np.frombuffer(b"".join(of.field("ids").to_pylist()), "<u4")
+                    found.append(dict(zip(names, view(ids, reader.decode(ids)), strict=True)))
+                yield pa.RecordBatch.from_arrays([rows.column("key"), pa.array(found, target.field("done").type)], schema=target)
+
+    joined = _written(strung.mapInArrow(string, f"key binary, done {view_type}"))
+    results = cooked.where("done is not null").select("key", "done.*").unionByName(joined.where("done is not null").select("key", "done.*"))
+    open_texts = joined.where("done is null").select("key")
+    if open_texts.limit(1).count():  # never, with the tokenizers of ``tokens.PARTED``
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            coder, reader = tokens.encoder(tokenizer), decoder(tokenizer)
+            for batch in batches:
+                for key, size, packed in zip(*(batch.column(c).to_pylist() for c in ("key", "size", "packed")), strict=True):
+                    text = pa.decompress(packed, size, "zstd", asbytes=True) if size else b""
+                    ids, _ = coder.encode(pa.array([text], pa.binary()).cast(pa.large_binary()).cast(pa.large_string()))
+                    row = [key, *view(ids, reader.decode(ids))]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, [pa.field("key", pa.binary()), *made], strict=True)], names=["key", *names])
+
+        left = texts.join(open_texts, "key", "left_semi").dropDuplicates(["key"]).select("key", "size", "packed")
+        results = results.unionByName(left.mapInArrow(again, f"key binary, {columns}"))
     named = blocks.mapped(docs.select("doc_id", "text"), "doc_id long, key binary", keys)
     return named.join(results, "key").drop("key")
 

@@ -4,11 +4,15 @@ Both kinds of tokenizer cut a text into pieces before they merge bytes, and some
 from the bytes alone: before a blank that starts or ends a run of white space, and between an ASCII letter
 and an ASCII sign. What lies between two such cuts is a "unit". Arrow's hash table finds the different units
 of a slice, only those not met before reach the tokenizer, and the ids are strung together. Where a special
-token's name stands in a text, the text is encoded whole.
+token's name stands in a text, the text is encoded whole; so are all texts by a tokenizer with other rules than the two
+that the cuts are proven for (``PARTED``).
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +24,12 @@ REMEMBERED = 600_000
 
 BYTE_LEVEL, WORD_END = "byte_bpe_50k.json", "word_bpe_49k.json"
 
+# Digests (``rules``) of how those two files normalise, part and merge, whatever their vocabulary.
+PARTED = {
+    "97a1aa9a68c076e9995377b331426330870c01b7c0ed9fdde1d2848b1e8b222b",
+    "b4e94907922ace7bbe30e0d3ec092dee4da38bbd5a67fae9ede282dcd197f57a",
+}
+
 _BLANK, _BREAK, _QUOTE = 0x20, 0x0A, 0x27
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
@@ -64,6 +74,13 @@ def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def rules(tokenizer) -> str:
+    """A digest of a tokenizer's settings without its vocabulary and merges."""
+    settings = json.loads(tokenizer.to_str())
+    model = {k: v for k, v in settings["model"].items() if k not in ("vocab", "merges")}
+    return hashlib.sha256(json.dumps([settings["normalizer"], settings["pre_tokenizer"], model], sort_keys=True).encode()).hexdigest()
+
+
 class Encoder:
     """Encodes lists of texts with one tokenizer file, without adding special tokens."""
 
@@ -73,6 +90,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.by_units = rules(self.tokenizer) in PARTED
         self.model = self.tokenizer.model
         self.keeps_blanks = self.tokenizer.normalizer is None  # byte level; else white space is dropped, case too
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -138,6 +156,10 @@ class Encoder:
         n = len(texts)
         if n == 0:
             return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        if not self.by_units:
+            found = [e.ids for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+            return np.array([i for x in found for i in x], np.uint32), offsets
         if len(self.known) > REMEMBERED:
             self._forget()
         apart = np.zeros(n, bool)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 from framewright.llm import bpe, cutting, packing, simple8b, tokenfiles, tokens
 from framewright.session import scratch_path
@@ -188,6 +188,61 @@ def test_chunks_are_shared_and_digests_right(spark, docs):
         assert (row["n_tokens"], row["ids_sha256"]) == (len(ids), hashlib.sha256(as_bytes(ids)).hexdigest())
 
 
+def odd_tokenizer(folder, normal=None):
+    """Merges go across blanks and signs, so that no place in a text is safe to part it."""
+    letters = sorted(set("abcdefgh .,\n"))
+    merges = [("e", " "), (" ", "a"), ("a", "b"), ("ab", "e "), ("c", "."), ("c.", " "), ("d", "d"), ("dd", "dd"), ("g", " a"), (" ", " ")]
+    vocabulary = {t: i for i, t in enumerate([*letters, *(a + b for a, b in merges)])}
+    tokenizer = Tokenizer(models.BPE(vocab=vocabulary, merges=merges))
+    tokenizer.save(f"{folder}/odd.json")
+    return f"{folder}/odd.json"
+
+
+def test_joins_are_repaired_until_they_agree(spark, tmp_path):
+    """With blanks that are not safe, joins disagree; the ids are right all the same."""
+    draw = random.Random(12)
+    path = odd_tokenizer(tmp_path)
+    tokenizer = Tokenizer.from_file(path)
+    word = lambda: "".join(draw.choice("abcdefgh.,") for _ in range(draw.randint(1, 6)))
+    shared = [" ".join(word() for _ in range(900)) for _ in range(3)]
+    texts = [" ".join(draw.choice([shared[draw.randrange(3)], " ".join(word() for _ in range(draw.randint(0, 300)))]) for _ in range(draw.randint(1, 4))) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert not tokens.encoder(path).by_units
+    open_joins = 0
+    for row in bpe.encode(frame, path).collect():
+        assert row["ids"] == tokenizer.encode(texts[row["doc_id"]], add_special_tokens=False).ids
+    for text in texts:
+        body = np.frombuffer(text.encode(), np.uint8)
+        start, end, chunk = bpe.bodies(body)
+        used = list(zip(start.tolist(), end.tolist(), chunk, strict=True))
+        coded = [tokenizer.encode(p.decode(), add_special_tokens=False).ids for p in bpe._joins(text.encode(), used, bpe.safe_blanks(body))]
+        open_joins += sum(coded[i] + coded[i + 1] + coded[i + 2] != coded[i + 3] for i in range(0, len(coded), 4))
+    assert open_joins > 20
+
+
+@pytest.mark.parametrize("name", [tokens.WORD_END, tokens.BYTE_LEVEL])
+def test_joins_of_known_tokenizers_always_agree(name):
+    draw = random.Random(13)
+    coder = tokens.encoder(tokens.tokenizer_path(name))
+    assert coder.by_units
+    for _ in range(60):
+        text = " ".join(draw.choice(["word", "it's", "x1", "é", "don't.", "3.5", "A", "—", "中文", "  ", "\n", "(b)"]) for _ in range(900))
+        body = np.frombuffer(text.encode(), np.uint8)
+        start, end, chunk = bpe.bodies(body)
+        used = list(zip(start.tolist(), end.tolist(), chunk, strict=True))
+        pieces = bpe._joins(text.encode(), used, bpe.safe_blanks(body))
+        ids, at = coder.encode(pa.array([p.decode() for p in pieces], pa.large_string()))
+        coded = [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert all(coded[i] + coded[i + 1] + coded[i + 2] == coded[i + 3] for i in range(0, len(coded), 4))
+
+
+def test_agreement_of_bodies_and_edges():
+    assert bpe.agree([b"aa"], [b""], [b""])
+    assert bpe.agree([b"aa", b"bbcc", b"d"], [b"", None, b"cc"], [b"bb", None, b""])
+    assert not bpe.agree([b"aa", b"bbcc", b"d"], [b"", None, b"xc"], [b"bb", None, b""])
+    assert not bpe.agree([b"aa", b"bbcc", b"d"], [b"", None, b"cc"], [b"xb", None, b""])
+
+
 def test_chunk_reuse_of_nothing(spark, docs):
     assert bpe.encode(docs.where("false"), tokens.tokenizer_path(tokens.WORD_END)).count() == 0
 
