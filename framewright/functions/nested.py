@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def path(name: str | int) -> Column:
-    """``a.0.b`` walks into column ``a``; a whole number as a step indexes a list.
+_STEPS = re.compile(r"`((?:[^`]|``)*)`|([^.]+)")
 
-    On a key/value frame the fields ``0`` and ``1`` are the key and the value.
+
+def path(name: str | int | Column) -> Column:
+    """``a.0.b`` walks into column ``a``; a whole number as a step indexes a list. A name with dots is quoted: ```x.y`.0``.
+
+    On a key/value frame the fields ``0`` and ``1`` are the key and the value. A Column is taken as it is.
     """
+    if isinstance(name, Column):
+        return name
     if isinstance(name, int):
         return F.col(("key", "value")[name])
-    first, *rest = str(name).split(".")
-    return walk(F.col(f"`{first}`"), rest)
+    steps = [quoted.replace("``", "`") if quoted else plain for quoted, plain in _STEPS.findall(str(name))]
+    first, *rest = steps
+    return walk(F.col(f"`{first.replace('`', '``')}`"), rest)
 
 
 def walk(c: Column, steps: list[str]) -> Column:

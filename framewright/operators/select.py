@@ -87,7 +87,7 @@ def condition(c: Column, dtype: T.DataType, op: str, value) -> Column:
 def where(df: DataFrame, field, op: str, value) -> DataFrame:
     """Keep the rows whose ``field`` compares with ``value``.
 
-    ``value`` is a literal, a list, another Column, or a one-value frame turned into a Column with
+    ``field`` is a name, a path, a name with dots in backticks, or a Column. ``value`` is a literal, a list, another Column, or a one-value frame turned into a Column with
     ``frame.scalar()``. Plain comparisons stay plain, so they reach the file scan.
     """
     return df.where(condition(path(field), field_type(df, field), op, value))
@@ -130,10 +130,26 @@ def same_key(key: Column, other: Column, types: tuple[T.DataType, T.DataType] |
     ``int`` key meets a ``bigint`` or a ``double`` one. The hash, a second join key, makes Spark shuffle the
     grouped side anew. Only between two plain shuffles can AQE split the partition of a hot key.
     """
+    lost = F.lit(False)
     if types is not None and types[0] != types[1]:
-        shared = common_type(*types)
-        key, other = key.cast(shared), other.cast(shared)
-    return key.eqNullSafe(other) & (F.xxhash64(key) == F.xxhash64(other))
+        if isinstance(common_type(*types), T.DoubleType) and any(isinstance(t, T.IntegralType) for t in types):
+            # Beyond 2^53 a double would stand for several whole numbers; one that is whole is a 64-bit number exactly.
+            (key, lost_key), (other, lost_other) = _whole(key, types[0]), _whole(other, types[1])
+            lost = lost_key | lost_other
+        else:
+            shared = common_type(*types)
+            key, other = key.cast(shared), other.cast(shared)
+    same = key.eqNullSafe(other) & (F.xxhash64(key) == F.xxhash64(other))
+    return same & ~lost if types is not None and types[0] != types[1] else same
+
+
+def _whole(c: Column, dtype: T.DataType) -> tuple[Column, Column]:
+    """A number as a 64-bit whole one, and whether it is a number that is none."""
+    if isinstance(dtype, T.IntegralType):
+        return c.cast("bigint"), F.lit(False)
+    number = c.cast("double")
+    fits = (number >= -(2.0**63)) & (number < 2.0**63) & (F.rint(number) == number)
+    return F.when(fits, number.cast("bigint")), c.isNotNull() & ~F.coalesce(fits, F.lit(False))
 
 
 def where_in_table(df: DataFrame, field: str, table: DataFrame, key: str | None = None, negate: bool = False) -> DataFrame:

@@ -302,3 +302,23 @@ def test_a_hot_key_is_split_in_joins(spark):
     finally:
         for name, value in before.items():
             spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
+
+
+def test_whole_keys_meet_doubles_by_value(spark):
+    big = 2**53
+    ids = spark.createDataFrame([(1, big), (2, big + 1), (3, None), (4, 7), (5, 2**63 - 1)], "id int, k bigint")
+    for values, hits in (([float(big)], {1}), ([7.0, 7.5], {4}), ([7.5, math.nan, math.inf, 2.0**63, None], set()), ([-0.0], set())):
+        table = spark.createDataFrame([(v,) for v in values], "w double")
+        assert {r.id for r in select.where_in_table(ids, "k", table, "w").collect()} == hits
+        assert {r.id for r in select.where_in_table(ids, "k", table, "w", negate=True).collect()} == {1, 2, 3, 4, 5} - hits
+    floats = spark.createDataFrame([(1, 7.0), (2, 7.5), (3, None), (4, float(big)), (5, math.nan)], "id int, k double")
+    wanted = spark.createDataFrame([(7,), (big + 1,), (None,)], "w bigint")
+    assert {r.id for r in select.where_in_table(floats, "k", wanted, "w").collect()} == {1}
+
+
+def test_fields_with_dots_and_columns(spark):
+    frame = spark.createDataFrame([(1, [4, 5], ("x",)), (2, [6], ("y",))], "`a.b` int, `c.d` array<int>, e struct<`f.g`: string>")
+    assert [r[0] for r in select.where(frame, "`a.b`", "eq", 2).collect()] == [2]
+    assert [r[0] for r in select.where(frame, "`c.d`.0", "gt", 4).collect()] == [2]
+    assert [r[0] for r in select.where(frame, "e.`f.g`", "eq", "x").collect()] == [1]
+    assert [r[0] for r in select.where(frame, F.col("`a.b`") + 1, "eq", 2).collect()] == [1]
