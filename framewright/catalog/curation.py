@@ -130,6 +130,20 @@ def cur_row_differences(t):
     return curation.row_differences(a, t.lineitem.select("l_orderkey", "l_linenumber", flag.alias("l_returnflag")))
 
 
+@query("""
+with p as (select l_orderkey, l_linenumber, l_shipdate, l_extendedprice from lineitem),
+c as (select l_orderkey, l_linenumber, l_shipdate, case when l_orderkey % 1000 = 7 then l_extendedprice + 1 else l_extendedprice end from p),
+d as (select count(*) as n from (select * from p except all select * from c))
+select 'sorted' as "case", true as equal union all select 'changed', n = 0 from d union all select 'doubled', count(*) = 0 from p""")
+def cur_tables_alike(t):
+    """Whole tables held against each other by hash sums: sorted otherwise, some prices changed, one row for each twice."""
+    p = t.lineitem.select("l_orderkey", "l_linenumber", "l_shipdate", "l_extendedprice")
+    changed = p.withColumn("l_extendedprice", F.col("l_extendedprice") + F.when(F.col("l_orderkey") % 1000 == 7, 1).otherwise(0))
+    cases = {"sorted": p.orderBy("l_shipdate"), "changed": changed, "doubled": p.unionByName(p)}
+    found = [curation.equal_rows(other, p).select(F.lit(name).alias("case"), "equal") for name, other in cases.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("""select sum((before > value)::int)::bigint as breaks from
   (select value, lag(value) over (order by event_id) as before from events)""")
 def cur_order_breaks(t):

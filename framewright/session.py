@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,9 +38,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_made: list[str] = []  # paths handed out and not released yet
+
+
 def scratch_path(spark: SparkSession) -> str:
-    """A new path inside the shared folder, for a table written in passing."""
-    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    """A new path inside the shared folder, for a table written in passing. ``scratch`` removes what was written."""
+    _made.append(f"{shared_folder(spark)}/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that operators wrote in passing inside it.
+
+    Operators give back lazy tables that read those files, so what is wanted of them must be written (or collected) inside, too.
+    """
+    before = len(_made)
+    try:
+        yield
+    finally:
+        ended, _made[before:] = _made[before:], []
+        for name in ended:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

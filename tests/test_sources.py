@@ -2,6 +2,7 @@
 
 import csv
 import glob
+import os
 import random
 
 import pandas as pd
@@ -86,6 +87,17 @@ def test_the_shared_folder_comes_from_the_session(spark):
     assert session.scratch_path(spark).startswith(folder)
 
 
+def test_scratch_tables_go_when_they_are_done_with(spark, folder):
+    outside = session.scratch_path(spark)
+    spark.range(3).write.parquet(outside)
+    with session.scratch(spark):
+        inside = session.scratch_path(spark)
+        spark.range(5).write.parquet(inside)
+        spark.read.parquet(inside).write.parquet(folder("kept"))
+    local = [p.removeprefix("file:") for p in (outside, inside)]
+    assert [os.path.exists(p) for p in local] == [True, False] and spark.read.parquet(folder("kept")).count() == 5
+
+
 def test_csv_gives_back_what_was_saved(spark, folder):
     rows = [(1234567890123456789, "  a "), (1234567890123456788, 'two\nlines "and" quotes, commas'), (-5, "\ttab"), (7, "plain")]
     frame = spark.createDataFrame(rows, "id bigint, t string").repartition(2)
