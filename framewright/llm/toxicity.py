@@ -25,6 +25,7 @@ from framewright.llm.sampling import labelled_sample
 from framewright.session import cut_lineage
 
 SAMPLE = 12_000  # labelled documents that the weights are trained on; the choice goes by a hash of the doc_id
+SAMPLE_BYTES = 64 << 20  # of their texts together: what comes to the driver follows their words
 BITS = 20
 PREFIXES = (4, 5, 6)  # beside the whole word, its first bytes: stems
 _LEAK = 0.03
@@ -73,18 +74,20 @@ def _probabilities(model: Model, texts: pa.LargeStringArray) -> tuple[np.ndarray
     return -np.maximum(np.logaddexp(0, z) - model.background, 0.0), text[first], first, np.append(first[1:], len(found))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chosen: int = FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chosen: int = FEATURES, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Learn from ``labels`` (doc_id, label 0/1) and ``docs`` (doc_id, text).
 
     Null labels are passed over; of several labels of a document the greatest counts. Without labelled documents, or
     with one class only, the model gives every text with words that class. ``chosen`` bounds the features that get a weight; it
-    bounds the model, not the rows.
+    bounds the model, not the rows. Learned from are at most ``sample`` labelled documents with at most ``sample_bytes`` of text
+    together, whole ones, in the order of a hash of their ids (documents that no longer fit are passed over).
     """
     spark = docs.sparkSession
     picked = labelled_sample(labels, sample, F.max)
 
     # ``picked`` has at most ``sample`` rows; of rows that repeat a doc_id any one is learned from.
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("label", "text")
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+    rows = _within(rows.select("label", "text", "doc_id"), sample_bytes)
     able, kinds = _speaking(rows, chosen)
     if min(kinds) == 0:
         return Model(np.zeros(1 << BITS, np.float32), -40.0 if kinds[1] == 0 else 40.0, 0.0)
@@ -112,6 +115,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chosen: int
     return _fit(rows.mapInArrow(gather, "label int, feature binary, sentence binary, loud long").collect(), able)
 
 
+def _within(rows: DataFrame, most: int) -> DataFrame:
+    """Labelled documents (a bounded number) whose texts have ``most`` bytes together: all of them, as a rule."""
+    sizes = rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"), F.xxhash64("doc_id").alias("turn")).collect()
+    if sum(r["size"] for r in sizes) <= most:
+        return rows.select("label", "text")
+    kept, room = [], most
+    for r in sorted(sizes, key=lambda r: (r["turn"], r["doc_id"])):
+        if r["size"] <= room:
+            kept.append((r["doc_id"],))
+            room -= r["size"]
+    chosen = rows.sparkSession.createDataFrame(kept, "doc_id long")
+    return rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("label", "text")
+
+
 def _speaking(rows: DataFrame, chosen: int) -> tuple[np.ndarray, tuple[int, int]]:
     """The features that speak most for the label (at most ``chosen``), and the number of documents of each label."""
 

@@ -288,6 +288,20 @@ def test_page_edges(spark):
     assert html.extract(frame.where("false")).count() == 0
 
 
+def test_toxicity_learns_from_so_many_bytes(spark):
+    rows = [(i, i % 2, "x" * (10 * i)) for i in range(1, 60)] + [(99, 1, "y" * 10_000), (100, 0, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, label int, text string")
+    every = toxicity._within(frame, 10**6)
+    assert every.count() == len(rows)
+    kept = toxicity._within(frame, 5_000).agg(F.sum(F.length("text")).alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    assert 4_000 < kept["n"] <= 5_000 and kept["rows"] > 10
+    calm = [(i, "a calm text about gardens. " * 5, 0) for i in range(40)] + [(100 + i, f"you are zorgle number {i}. a calm text.", 1) for i in range(40)]
+    table = spark.createDataFrame(calm, "doc_id long, text string, label int")
+    model = toxicity.train(table, table, sample_bytes=5_000)
+    found = {r["doc_id"]: r["score"] for r in toxicity.score(table, model).collect()}
+    assert all((found[i] >= 0.5) == bool(label) for i, _, label in calm)
+
+
 # Against SQL
 
 @pytest.mark.parametrize("name", list(registered.SQL))
