@@ -12,7 +12,8 @@ Links are pairs of documents whose shingle sets have at least ``percent`` of the
    small for that group's sizes is passed over, the rest is verified member by member, and the links that connect are kept.
 
 Groups whose classes are connected through the same bucket's leader already are not opened against each other, nor
-inside. No step makes rows for all pairs of a bucket or group, and no step drops a pair that could be a link.
+inside; in the matrix they are one entry, so a cluster of copies costs rows in proportion to its groups. No step makes
+rows for all pairs of a bucket or group, and no step drops a pair that could be a link.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import blocks
@@ -33,6 +34,8 @@ from framewright.session import scratch_path
 EXTRA_PERCENT = 10  # shingles looked at in the first bound beyond those that may be missed
 HELD = 2_000_000  # shingles that one task gathers before it deals them out
 BLOCK = 128  # classes in a group, about
+GROUP_SHINGLES = 256_000  # of all classes of a group together, about: long sets make smaller groups
+LED = 1_024  # classes that meet one copy of their leader, about
 SIZE_STEP = 1.1  # sets of a group differ in size by no more than this factor
 _SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0)
 
@@ -103,14 +106,18 @@ def _enough(n: str, percent: int):
     return F.expr(f"(cast(ceil({n} * {percent} / 100) as long) * {EXTRA_PERCENT}) div 100 + 1")
 
 
-def _shared_shingles(rows: DataFrame, prefixes) -> DataFrame:
+def _buckets(spark: SparkSession, shingles: int) -> int:
+    """Buckets for so many shingles: one task joins a bucket whole, so it gets ``HELD`` at most."""
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // HELD))
+
+
+def _shared_shingles(rows: DataFrame, prefixes, buckets: int) -> DataFrame:
     """owner, shared: at least how many of its prefix shingles other owners have in their prefixes too.
 
     ``prefixes(batch)`` gives (owner, prefix) pairs; an owner's prefixes are united. Shingles travel in arrays, dealt by
     hash. A shingle that several owners of a task have is sent for two of them, the others are credited at once: a
     shingle found everywhere costs two entries a task. Owners in several tasks may be credited too much, never too little.
     """
-    buckets = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         owners, held, size = [], [], 0
@@ -189,7 +196,10 @@ def _candidate_sets(docs: DataFrame, known: DataFrame, words: int, percent: int)
             for found in sets(texts, words):
                 yield _owner(_digest(found)), _prefix(found, percent)
 
-    shared = _shared_shingles(docs.select("text"), prefixes)
+    # Every document deals out its prefix, copies in a task once; all of them together are a bound.
+    in_prefixes = f"least(n, n - cast(ceil(n * {percent} / 100) as long) + n * {EXTRA_PERCENT} div 100 + 1)"
+    total = known.agg(F.coalesce(F.expr(f"sum({in_prefixes})"), F.lit(0))).first()[0]
+    shared = _shared_shingles(docs.select("text"), prefixes, _buckets(docs.sparkSession, total))
     one = known.where("n > 0").groupBy("node", "n").agg(F.min(F.struct("doc_id", "content")).alias("row")).withColumn("owner", _half("node"))
     chosen = one.join(shared, "owner").where(F.col("shared") >= _enough("n", percent))
     chosen = chosen.select(F.col("row.doc_id").alias("row_id"), F.col("row.content").alias("row_content"), "node")
@@ -242,9 +252,13 @@ def _leaders(found: DataFrame) -> DataFrame:
 
 def _to_leaders(found: DataFrame, percent: int) -> DataFrame:
     """The links u, v of classes to their leaders, verified; ``found`` has id, lead, tokens."""
-    sides = found.where("id <> lead").select("id", "lead", "tokens").join(
-        found.select(F.col("id").alias("lead"), F.col("tokens").alias("lead_tokens")), "lead"
-    )
+    # A leader of very many classes meets them in several copies; each class goes to one of them.
+    copies = found.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / LED).alias("copies")).where("copies > 1")
+    led = found.where("id <> lead").select("id", "lead", "tokens").join(copies, "lead", "left")
+    led = led.withColumn("copy", F.pmod(F.xxhash64("id"), F.coalesce("copies", F.lit(1))))
+    leaders = found.where("id = lead").select("lead", F.col("tokens").alias("lead_tokens")).join(copies, "lead", "left")
+    leaders = leaders.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)))
+    sides = led.drop("copies").join(leaders.drop("copies"), ["lead", "copy"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,9 +283,11 @@ def _groups(found: DataFrame, near: DataFrame) -> DataFrame:
     step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(SIZE_STEP))))
     # the leader is linked to itself
     flag = F.coalesce("sure", F.col("id") == F.col("lead"))
-    placed = found.join(sure, "id", "left").select("id", "tokens", "lead", step.alias("step"), flag.alias("sure"))
-    sizes = placed.groupBy("lead", "step", "sure").agg(F.count(F.lit(1)).alias("size"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
+    placed = found.join(sure, "id", "left").select("id", "n", "tokens", "lead", step.alias("step"), flag.alias("sure"))
+    sizes = placed.groupBy("lead", "step", "sure").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / GROUP_SHINGLES)).alias("parts")
+    )
+    part = F.pmod(F.xxhash64("id"), F.col("parts"))
     grouped = placed.join(sizes, ["lead", "step", "sure"]).groupBy("lead", "step", "sure", part.alias("part"))
     path = scratch_path(spark)
     made = grouped.agg(F.collect_list(F.struct("id", "tokens")).alias("members")).select("lead", "sure", "members")
@@ -291,7 +307,9 @@ def _matchable(groups: DataFrame, percent: int) -> DataFrame:
         for gid, members in zip(batch.column("gid").to_pylist(), batch.column("members"), strict=True):
             yield gid, np.unique(np.concatenate([_prefix(t, percent) for _, t in _members(members)]))
 
-    shared = _shared_shingles(groups.select("gid", "members"), prefixes)
+    held = F.aggregate("members", F.lit(0).cast("long"), lambda n, m: n + F.length(m["tokens"]))
+    total = groups.agg(F.coalesce(F.sum(held), F.lit(0))).first()[0] // 8
+    shared = _shared_shingles(groups.select("gid", "members"), prefixes, _buckets(groups.sparkSession, total))
     least = F.array_min(F.transform("members", lambda m: F.length(m["tokens"]))) / 8
     able = groups.select("gid", least.cast("long").alias("least")).join(shared.withColumnRenamed("owner", "gid"), "gid")
     return groups.join(able.where(F.col("shared") >= _enough("least", percent)).select("gid"), "gid")
@@ -320,7 +338,11 @@ def _pairs(groups: DataFrame, percent: int) -> DataFrame:
     # Shingles of two groups at least, with their number of classes: the order of rarity.
     several = held.groupBy("token").agg(F.min("gid").alias("low"), F.max("gid").alias("high"), F.sum("classes").alias("rarity"))
     path = scratch_path(spark)
-    held.join(several.where("low <> high").select("token", "rarity"), "token").select("gid", "token", "rarity").write.parquet(path)
+    # What is one entry: the groups that are all linked to the same leader, or a group alone.
+    entry = F.when(F.col("sure"), F.col("lead")).otherwise(-1 - F.col("gid"))
+    entries = groups.select("gid", entry.alias("entry"))
+    several = several.where("low <> high").select("token", "rarity")
+    held.join(several, "token").join(entries, "gid").select("gid", "token", "rarity", "entry").write.parquet(path)
     matrix = spark.read.parquet(path)
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,22 +367,19 @@ def _pairs(groups: DataFrame, percent: int) -> DataFrame:
 
     shared = matrix.groupBy("gid").agg(F.collect_list(F.struct("token", "rarity")).alias("shared"))
     asking = groups.select("gid", "members").join(shared, "gid").mapInArrow(rarest, "gid long, token long")
-    asked = matrix.select("token", F.col("gid").alias("asked"))
+    # First which entries are asked, other than the group's own; then their groups that have the shingle.
+    own = asking.join(entries, "gid").withColumnRenamed("entry", "own")
+    others = matrix.select("token", "entry").distinct()
+    met = own.join(others, "token").where("own <> entry").select("gid", "token", "entry")
+    theirs = matrix.select("token", "entry", F.col("gid").alias("asked"))
     path = scratch_path(spark)
-    asking.join(asked, "token").where("asked < gid").select("gid", "asked").distinct().write.parquet(path)
+    met.join(theirs, ["token", "entry"]).where("asked < gid").select("gid", "asked").distinct().write.parquet(path)
     return spark.read.parquet(path)
 
 
 def _opened(groups: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Links u, v inside groups and between those of a pair, as many as connect what is linked."""
-    names = groups.select("gid", "lead", "sure")
-    theirs = names.toDF("asked", "their_lead", "their_sure")
-    useful = (
-        pairs.join(names, "gid").join(theirs, "asked")
-        .where(~((F.col("lead") == F.col("their_lead")) & F.col("sure") & F.col("their_sure")))
-        .select("gid", "asked")
-    )
-    both = useful.join(groups.select("gid", "members"), "gid").join(
+    both = pairs.join(groups.select("gid", "members"), "gid").join(
         groups.select(F.col("gid").alias("asked"), F.col("members").alias("others")), "asked"
     )
     alone = groups.where(~F.col("sure") & (F.size("members") > 1)).select("members", F.lit(None).cast(groups.schema["members"].dataType).alias("others"))
@@ -435,7 +454,10 @@ def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
     label = found.join(components(near).toDF("id", "label_id"), "id").join(
         found.select(F.col("id").alias("label_id"), F.col("node").alias("label")), "label_id"
     )
-    named = known.join(label.select("node", "label"), "node", "left")
+    # Written, so that the join can split the copies of a hot class.
+    path = scratch_path(docs.sparkSession)
+    label.select("node", "label").write.parquet(path)
+    named = known.join(docs.sparkSession.read.parquet(path), "node", "left")
     return named.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
 
 
@@ -447,7 +469,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     are copies of each other. A null doc_id never names a component if another document is in it. No rows give none.
     """
     labelled = _labelled(docs, words, percent)
-    groups = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    path = scratch_path(docs.sparkSession)
+    labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")).write.parquet(path)
+    groups = docs.sparkSession.read.parquet(path)
     return labelled.join(groups, "label", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -213,6 +213,28 @@ def test_one_of_each_group_stays(spark):
     assert jaccard.join(docs.where("false")).count() == 0
 
 
+def test_clusters_of_near_copies_cost_rows_in_proportion(spark, monkeypatch):
+    """Many small groups of one leader, leaders in several copies, tiny buckets: the same components."""
+    for name, value in (("BLOCK", 4), ("LED", 8), ("GROUP_SHINGLES", 300), ("HELD", 500)):
+        monkeypatch.setattr(jaccard, name, value)
+    draw = random.Random(21)
+    pairs = []
+    for size in (70, 40, 9, 1):
+        base = [f"w{draw.randrange(400)}" for _ in range(200)]
+        for _ in range(size):
+            words = list(base)
+            words[draw.randrange(200)] = f"x{draw.randrange(10_000)}"
+            pairs.append((len(pairs), " ".join(words)))
+    docs = frame(spark, pairs, 5)
+    want = {i: (n, c) for i, n, c in brute(pairs, 4, 85)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, 4, 85).collect()}
+    assert got == want and len({c for _, c in want.values()}) == 4
+    made = []
+    monkeypatch.setattr(jaccard, "_opened", lambda groups, pairs, percent, plain=jaccard._opened: made.append((groups.count(), pairs.count())) or plain(groups, pairs, percent))
+    jaccard.join(docs, 4, 85).collect()
+    assert made[0][0] > 30 and made[0][1] <= made[0][0] * 12  # far from the square
+
+
 def test_short_and_long_shingles_do_not_meet():
     found = jaccard.sets(pa.array(["a b c", "a b c d", "", "a b"], pa.large_string()), 4)
     assert [len(f) for f in found] == [1, 1, 0, 1] and len({f[0] for f in (found[0], found[1], found[3])}) == 3
