@@ -217,6 +217,16 @@ def train(measured: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidat
     return fit(x, np.array([r["label"] for r in rows], float), candidates=candidates)
 
 
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, candidates: int = CANDIDATES) -> RuleModel:
+    """``train`` for documents (doc_id, text) that nothing has measured yet: only the labelled sample is."""
+    picked = labelled_sample(labels, sample, F.min)  # at most ``sample`` rows
+    labelled = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    rows = statistics(labelled, keep=("doc_id", "label")).dropDuplicates(["doc_id"]).collect()
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    x = np.array([[r[c] for c in COLUMNS] for r in rows], float).reshape(-1, len(STATISTICS))
+    return fit(x, np.array([r["label"] for r in rows], float), candidates=candidates)
+
+
 def score(measured: DataFrame, model: RuleModel, name: str = "score") -> DataFrame:
     """``measured`` with the score (0 to 1) as column ``name`` in place of the statistics."""
     return measured.withColumn(name, model.column()).drop(*COLUMNS)
