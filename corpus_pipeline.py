@@ -30,11 +30,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble does not reject. Every document is measured once; what was measured is written."""
-    path = scratch_path(spark)
-    quality.statistics(rows.packed(docs), keep=("doc_id", "text", "others")).write.parquet(path)
-    measured = spark.read.parquet(path)
-    model = quality.train(measured, _labels(spark, sf_dir, "quality"))
+    """Documents that the rule ensemble does not reject. Only the labelled sample is measured twice, to learn and to score."""
+    model = quality.learn(docs, _labels(spark, sf_dir, "quality"))
+    measured = quality.statistics(rows.packed(docs), keep=("doc_id", "text", "others"))
     scored = quality.score(measured, model, name="good")
     return rows.unpacked(scored.where(F.col("good") >= GOOD_FROM), docs.columns)
 
