@@ -16,6 +16,7 @@ from framewright.session import cut_lineage
 
 SKETCH_SIZE = 4_096
 SMALL_GROUP = 100_000  # rows of groups that are kept whole: a bracket would spare little
+FEW_GROUPS = 1_000  # groups whose brackets are sent to every task, a few numbers each
 
 
 def total(c) -> Column:
@@ -111,8 +112,8 @@ def percentiles(df: DataFrame, value: str, fractions: dict[str, float], by: tupl
     """Exact percentiles with linear interpolation, one column per entry of ``fractions``.
 
     With ``few_groups`` (the default without ``by``) a sketch per group first brackets every percentile; rows outside
-    the brackets are only counted, so little is left to sort. Otherwise all distinct values are sorted. Both give the
-    same values; the caller knows which suits the table, nothing is counted to decide it.
+    the brackets are only counted, so little is left to sort. Otherwise, and with more than ``FEW_GROUPS`` groups after
+    all, the distinct values are sorted. Both give the same values; the caller knows which suits the table.
     """
     by = tuple(by)
     few_groups = not by if few_groups is None else few_groups
@@ -137,10 +138,11 @@ def _interpolated(spot: Column, among: Column | None = None) -> Column:
 
 
 def _bracketed(values: DataFrame, fractions: dict[str, float], by: tuple[str, ...]) -> DataFrame | None:
-    """Percentiles from the rows near them; None if a bracket misses its rank after all.
+    """Percentiles from the rows near them; None if a bracket misses its rank after all, or there are too many groups.
 
     A sketch's quantiles are within ``quantile_error`` 99 times of 100, the brackets allow for five times that. Small groups
-    are kept whole.
+    are kept whole. The brackets go to the rows, which stay where they were read until those outside are counted: a join
+    that shuffles would bring a group together in one task.
     """
     names, wanted, slack = list(fractions), [float(f) for f in fractions.values()], 5 * quantile_error(SKETCH_SIZE)
     ends = F.array(*[F.lit(e) for f in wanted for e in (max(f - slack, 0.0), min(f + slack, 1.0))])
@@ -152,6 +154,8 @@ def _bracketed(values: DataFrame, fractions: dict[str, float], by: tuple[str, ..
             F.kll_sketch_agg_double("_v", SKETCH_SIZE).alias("_sketch"),
         ).withColumn("_ends", F.when(F.col("_all") > 0, F.kll_sketch_get_quantile_double("_sketch", ends))).drop("_sketch")
     )
+    if by and sketch.limit(FEW_GROUPS + 1).count() > FEW_GROUPS:
+        return None
     pieces = []
     for i, f in enumerate(wanted):
         whole = F.col("_all") <= SMALL_GROUP
@@ -161,7 +165,7 @@ def _bracketed(values: DataFrame, fractions: dict[str, float], by: tuple[str, ..
         piece = F.struct(F.lit(i).alias("_f"), F.when(F.col("_v") >= low, F.col("_v")).alias("_v"))
         pieces.append(F.when(F.col("_v") <= high, piece))
     if by:
-        near = values.join(sketch, list(by))
+        near = values.join(F.broadcast(sketch), list(by))  # FEW_GROUPS rows at most
     else:
         bounds = {c: sketch.select(c).scalar() for c in ("_all", "_min", "_max", "_ends")}
         near = values.select("_v", *[c.alias(name) for name, c in bounds.items()])

@@ -160,6 +160,42 @@ def test_a_bracket_that_misses_is_made_up_for(spark, monkeypatch):
     assert aggregate.median(frame, "v").first()[0] == 501.0
 
 
+@pytest.fixture
+def counted(monkeypatch):
+    """The tables of counts that percentiles are looked up in."""
+    seen, values_at = [], aggregate._values_at
+    monkeypatch.setattr(aggregate, "_values_at", lambda counts, *a, **k: seen.append(counts) or values_at(counts, *a, **k))
+    return seen
+
+
+def test_no_task_gets_the_rows_of_a_group(spark, monkeypatch, counted):
+    monkeypatch.setattr(aggregate, "SMALL_GROUP", 0)
+    monkeypatch.setattr(aggregate, "SKETCH_SIZE", 400)
+    frame = spark.range(0, 30_000, 1, 6).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    name = "spark.sql.autoBroadcastJoinThreshold"  # the sketch of a large table is not known to be small
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "-1")
+        found = aggregate.percentiles(frame, "v", {"p90": 0.9, "p25": 0.25}, ("k",), few_groups=True).collect()
+        (counts,) = counted
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert {(r.k, round(r.p90, 6), round(r.p25, 6)) for r in found} == {(k, round(26997.3 + k, 6), round(7499.25 + k, 6)) for k in range(3)}
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1  # of the counts, none of the rows
+
+
+def test_more_groups_than_are_sent_to_every_task(spark, monkeypatch, counted):
+    monkeypatch.setattr(aggregate, "FEW_GROUPS", 2)
+    for groups, bracketed in ((2, True), (3, False)):
+        counted.clear()
+        frame = spark.range(0, 3_000, 1, 4).select((F.col("id") % groups).alias("k"), F.col("id").alias("v"))
+        medians = {r.k: r["median"] for r in aggregate.median(frame, "v", ("k",), few_groups=True).collect()}
+        assert medians == {k: float(np.median(range(k, 3_000, groups))) for k in range(groups)}
+        assert [("_f" in c.columns) for c in counted] == [bracketed]
+
+
 def test_distinct_rows_by_their_hashes(spark):
     rnd = random.Random(4)
     rows = [(rnd.choice([None, 1, 2]), rnd.choice([None, "x", ""]), rnd.choice([None, 0.0, -0.0, math.nan])) for _ in range(400)]
