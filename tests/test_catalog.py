@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from framewright import catalog
+from framewright.operators import aggregate
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
@@ -66,6 +67,20 @@ def test_no_query_pairs_all_rows(spark, testdata):
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name
 
 
+@pytest.mark.parametrize("name", ["by_median", "stat_percentile"])
+def test_grouped_percentiles_shuffle_no_rows(spark, testdata, monkeypatch, name):
+    seen, values_at = [], aggregate._values_at
+    monkeypatch.setattr(aggregate, "_values_at", lambda counts, *a, **k: seen.append(plan(counts)) or values_at(counts, *a, **k))
+    setting = "spark.sql.autoBroadcastJoinThreshold"  # the sketch of a large table is not known to be small
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, "-1")
+        entry.queries()[name](spark, testdata)
+    finally:
+        spark.conf.set(setting, before)
+    assert len(seen) == 1 and "BroadcastHashJoin" in seen[0] and "SortMergeJoin" not in seen[0]
+
+
 def test_top_k_is_a_heap_per_task(spark, testdata):
     assert "TakeOrderedAndProject" in plan(entry.queries()["top_pairs"](spark, testdata))
 
