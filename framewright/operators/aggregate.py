@@ -113,7 +113,8 @@ def percentiles(df: DataFrame, value: str, fractions: dict[str, float], by: tupl
 
     With ``few_groups`` (the default without ``by``) a sketch per group first brackets every percentile; rows outside
     the brackets are only counted, so little is left to sort. Otherwise, and with more than ``FEW_GROUPS`` groups after
-    all, the distinct values are sorted. Both give the same values; the caller knows which suits the table.
+    all, the distinct values are sorted. Both give the same values; the caller knows which suits the table. Rows with
+    a null key are a group as in SQL.
     """
     by = tuple(by)
     few_groups = not by if few_groups is None else few_groups
@@ -164,8 +165,10 @@ def _bracketed(values: DataFrame, fractions: dict[str, float], by: tuple[str, ..
         # a value below the bracket is counted as null, a value above it falls out
         piece = F.struct(F.lit(i).alias("_f"), F.when(F.col("_v") >= low, F.col("_v")).alias("_v"))
         pieces.append(F.when(F.col("_v") <= high, piece))
-    if by:
-        near = values.join(F.broadcast(sketch), list(by))  # FEW_GROUPS rows at most
+    if by:  # a missing key is a group, too: an equality would lose it, and a lost group costs the general way
+        groups = sketch.select(*(F.col(c).alias(f"_group{i}") for i, c in enumerate(by)), "_all", "_min", "_max", "_ends")
+        same = [F.col(c).eqNullSafe(F.col(f"_group{i}")) for i, c in enumerate(by)]
+        near = values.join(F.broadcast(groups), same)  # FEW_GROUPS rows at most
     else:
         bounds = {c: sketch.select(c).scalar() for c in ("_all", "_min", "_max", "_ends")}
         near = values.select("_v", *[c.alias(name) for name, c in bounds.items()])
@@ -175,8 +178,6 @@ def _bracketed(values: DataFrame, fractions: dict[str, float], by: tuple[str, ..
     found = _values_at(counts, (*by, "_f"), F.array(F.floor(spot), F.ceil(spot)), total="_all")
     result = found.groupBy(*by).agg(*[_interpolated(spot, F.col("_f") == i).alias(n) for i, n in enumerate(names)])
     if by:  # every group has a row, so that what is missing shows in it
-        groups = sketch.select(*(F.col(c).alias(f"_group{i}") for i, c in enumerate(by)))
-        same = [F.col(c).eqNullSafe(F.col(f"_group{i}")) for i, c in enumerate(by)]
         result = groups.join(result, same, "left").select(*(F.col(f"_group{i}").alias(c) for i, c in enumerate(by)), *names)
     result = cut_lineage(result)
     missing = sum((F.col(n).isNull().cast("int") for n in names), F.lit(0)) > 0
@@ -205,10 +206,9 @@ def _values_at(counts: DataFrame, keys: tuple[str, ...], ranks: Column, total: s
     spans = spans.withColumn("_ranks", F.array_distinct(F.filter(ranks, inside))).where(F.size("_ranks") > 0)
 
     # running counts inside the partitions that hold a wanted rank
-    near = ranked.select(*keys, "_part", "_v", "_n").join(
-        spans.select(*keys, "_part", "_before", "_all", "_ranks"), [*keys, "_part"]
-    )
-    upto = Window.partitionBy(*keys, "_part").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*keys, "_part").alias("_at")  # equal also where keys are null
+    near = ranked.select(*keys, at, "_v", "_n").join(spans.select(at, "_before", "_all", "_ranks"), "_at")
+    upto = Window.partitionBy("_at").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, -1)
     near = near.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
     here = F.filter("_ranks", lambda r: (r >= F.col("_from")) & (r < F.col("_from") + F.col("_n")))
     return near.select(*keys, "_all", "_v", F.explode(here).alias("_rank"))

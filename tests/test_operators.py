@@ -196,6 +196,21 @@ def test_more_groups_than_are_sent_to_every_task(spark, monkeypatch, counted):
         assert [("_f" in c.columns) for c in counted] == [bracketed]
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_a_missing_key_is_a_group_of_its_own(spark, monkeypatch, counted, few):
+    monkeypatch.setattr(aggregate, "SMALL_GROUP", 0)
+    frame = spark.range(0, 9_000, 1, 6).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("k"), F.when(F.col("id") % 2 > 0, "x").alias("j"), F.col("id").alias("v")
+    )
+    data = pd.DataFrame({"id": range(9_000)})
+    found = {r.k: r["median"] for r in aggregate.median(frame, "v", ("k",), few_groups=few).collect()}
+    assert found == {k or None: g.median() for k, g in data.id.groupby(data.id % 3)}
+    assert ["_f" in c.columns for c in counted] == [few]  # a bracket for every group, the general way is not called in
+    found = {(r.k, r.j): r["median"] for r in aggregate.median(frame, "v", ("k", "j"), few_groups=few).collect()}
+    assert found == {(k or None, "x" if j else None): g.median() for (k, j), g in data.id.groupby([data.id % 3, data.id % 2])}
+    assert ["_f" in c.columns for c in counted] == [few] * 2
+
+
 def test_distinct_rows_by_their_hashes(spark):
     rnd = random.Random(4)
     rows = [(rnd.choice([None, 1, 2]), rnd.choice([None, "x", ""]), rnd.choice([None, 0.0, -0.0, math.nan])) for _ in range(400)]
